@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,28 +41,34 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Cut record batches into runs of whole rows holding about ``max_bytes`` of ``column``.
+def array_slices(col: pa.Array, max_bytes: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Cut a string array into runs of whole rows holding about ``max_bytes``.
 
-    Yields (rows, bytes, offsets): the UTF-8 bytes of the run as one uint8 array and its len+1 row
-    offsets.  Nulls count as empty.  A single longer text makes a run of its own.
+    Yields (first row, end row, bytes, offsets): the UTF-8 bytes of the run as one uint8 array and its
+    row offsets.  Nulls count as empty.  A longer text makes a run of its own.
     """
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    if col.null_count:
+        col = pc.fill_null(col, b"" if pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type) else "")
+    wide = pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type)
+    bufs = col.buffers()
+    offs = np.frombuffer(bufs[1], np.int64 if wide else np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64) if len(col) else np.zeros(1, np.int64)
+    data = np.frombuffer(bufs[2], np.uint8) if bufs[2] is not None else np.zeros(0, np.uint8)
+    start = 0
+    while start < len(col):
+        end = int(np.searchsorted(offs, offs[start] + max_bytes, "right")) - 1
+        end = min(max(start + 1, end), len(col))
+        yield start, end, data[offs[start] : offs[end]], offs[start : end + 1] - offs[start]
+        start = end
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """The same over record batches: yields (rows of the run, bytes, offsets)."""
     for batch in batches:
-        if batch.num_rows == 0:
-            continue
         col = batch.column(batch.schema.get_field_index(column))
-        if col.null_count:
-            col = pa.compute.fill_null(col, "" if not pa.types.is_binary(col.type) else b"")
-        wide = pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type)
-        bufs = col.buffers()
-        offs = np.frombuffer(bufs[1], np.int64 if wide else np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
-        data = np.frombuffer(bufs[2], np.uint8) if bufs[2] is not None else np.zeros(0, np.uint8)
-        start = 0
-        while start < len(col):
-            end = max(start + 1, int(np.searchsorted(offs, offs[start] + max_bytes, "right")) - 1)
-            end = min(end, len(col))
-            yield batch.slice(start, end - start), data[offs[start] : offs[end]], offs[start : end + 1] - offs[start]
-            start = end
+        for start, end, data, offs in array_slices(col, max_bytes):
+            yield batch.slice(start, end - start), data, offs
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

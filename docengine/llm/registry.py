@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat, mixing
+from . import chat, mixing, quality
 
-MODULES = (chat, mixing)
+MODULES = (chat, mixing, quality)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}

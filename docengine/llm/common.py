@@ -18,6 +18,8 @@ IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Read a table; batches sent to Python are bounded by rows, so that long texts don't pile up in a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -63,6 +65,13 @@ def array_slices(col: pa.Array, max_bytes: int = 4 << 20) -> Iterator[tuple[int,
         start = end
 
 
+def strings(col: pa.Array, rows: int = 256) -> Iterator[str]:
+    """The texts of an array as Python strings, a few at a time; null is empty."""
+    for start in range(0, len(col), rows):
+        for text in col.slice(start, rows).to_pylist():
+            yield text or ""
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """The same over record batches: yields (rows of the run, bytes, offsets)."""
     for batch in batches:

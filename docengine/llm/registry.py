@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat, mixing, pii, quality, secrets
+from . import chat, decontaminate, mixing, pii, quality, secrets
 
-MODULES = (chat, mixing, pii, quality, secrets)
+MODULES = (chat, decontaminate, mixing, pii, quality, secrets)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}

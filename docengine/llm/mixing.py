@@ -47,8 +47,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     s = s.withColumn("left", share * F.sum("source_size").over(all_) - most * F.coalesce(F.sum("source_size").over(upto), F.lit(0)))
     s = s.withColumn("left_w", F.sum("weight").over(all_) - F.coalesce(F.sum("weight").over(upto), F.lit(0.0)))
     s = s.withColumn("level", F.col("left") / F.col("left_w"))
-    s = s.withColumn("open", most * F.col("source_size") > F.col("level") * F.col("weight"))
-    s = s.withColumn("water", F.min(F.when(F.col("open"), F.col("level"))).over(all_))
+    s = s.withColumn("place", F.row_number().over(order)).withColumn("open", most * F.col("source_size") > F.col("level") * F.col("weight"))
+    s = s.withColumn("water", F.min(F.when(F.col("open"), F.struct("place", "level"))).over(all_)["level"])
     cap = most * F.col("source_size")
     target = F.when(F.col("water").isNull(), cap).otherwise(F.least(cap, F.col("water") * F.col("weight"))).cast("double")
     return s.select("source", "source_size", "weight", target.alias("target"))
@@ -151,7 +151,7 @@ l AS (
   FROM s WINDOW o AS (ORDER BY source_size / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (
   SELECT source, source_size,
-         least(2.0::DOUBLE * source_size, coalesce((SELECT min(level) FROM l WHERE 2.0 * source_size > level * weight), 1e300::DOUBLE) * weight)::DOUBLE AS target
+         least(2.0::DOUBLE * source_size, coalesce((SELECT level FROM l WHERE 2.0 * source_size > level * weight ORDER BY source_size / weight, source ASC NULLS LAST LIMIT 1), 1e300::DOUBLE) * weight)::DOUBLE AS target
   FROM l),
 p AS (
   SELECT source, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS INTEGER) ELSE 0 END AS rounds FROM t),

@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat, decontaminate, mixing, pii, quality, secrets, simhash, topk
+from . import chat, decontaminate, mixing, pii, quality, secrets, simhash, suffix, topk
 
-MODULES = (chat, decontaminate, mixing, pii, quality, secrets, simhash, topk)
+MODULES = (chat, decontaminate, mixing, pii, quality, secrets, simhash, suffix, topk)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}

@@ -177,6 +177,7 @@ def common_prefixes(sa: np.ndarray, words: np.ndarray, starts: np.ndarray, sizes
             add[part] = sum((d < np.uint64(1 << b)).astype(np.int64) for b in (8, 16, 24, 32, 40, 48, 56))
             same[todo] += add
             todo = todo[~part & (same[todo] < limit)]
+        same = np.minimum(same, n - np.maximum(i, j))  # the padding is not text
         got[:live] = same
         out[i] = same
     return out
@@ -199,7 +200,7 @@ def repeated_windows(texts: list[bytes], length: int) -> tuple[np.ndarray, np.nd
     at = np.flatnonzero(whole[sa])
     if not len(at):
         return (np.zeros(0, np.int64),) * 3
-    least = np.minimum.reduceat(lcp, np.minimum(np.concatenate([[0], at[:-1] + 1]), n - 1))[: len(at)]
+    least = np.minimum.reduceat(lcp[: at[-1] + 1], np.concatenate([[0], at[:-1] + 1]))
     cls = np.cumsum(np.concatenate([[True], least[1:] < length])) - 1
     return text[sa[at]], sa[at] - starts[text[sa[at]]], cls
 

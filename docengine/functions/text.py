@@ -203,7 +203,7 @@ def cue_time(seconds: Column, mark: str = ",") -> Column:
 def file_size(n: Column) -> Column:
     kib, mib, gib = 1024.0, 1024.0**2, 1024.0**3
     whole = lambda x: F.floor(x + 0.5).cast("string")
-    return F.when(n.isNull() | (n == 0), "?").when(n >= gib, F.concat(F.format_number(n / gib, "0.00"), F.lit(" GB"))).when(n >= mib, F.concat(whole(n / mib), F.lit(" MB"))).otherwise(F.concat(whole(n / kib), F.lit(" KB")))
+    return F.when(n.isNull() | (n == 0), "?").when(n >= gib, F.concat(F.call_function("format_number", n / gib, F.lit("0.00")), F.lit(" GB"))).when(n >= mib, F.concat(whole(n / mib), F.lit(" MB"))).otherwise(F.concat(whole(n / kib), F.lit(" KB")))
 
 
 def parse_duration(text: Column) -> Column:

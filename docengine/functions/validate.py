@@ -24,10 +24,8 @@ def _digit(s: Column, i: Column | int) -> Column:
 
 
 def _weighted(s: Column, weights: list[int]) -> Column:
-    total = F.lit(0)
-    for i, w in enumerate(weights):
-        total = total + _digit(s, i + 1) * w
-    return total
+    digits = F.slice(F.regexp_extract_all(s, F.lit("([0-9])")), 1, len(weights))
+    return F.aggregate(F.zip_with(digits, F.array(*[F.lit(w) for w in weights]), lambda d, w: d.cast("int") * w), F.lit(0), lambda a, x: a + x)
 
 
 def _mod11(total: Column) -> Column:

@@ -21,6 +21,10 @@ DOC_TYPES = (
 )
 
 
+#: The edge of a word of ASCII signs (Java's own takes all letters).
+WORD_EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+
+
 def doc_types(spark: SparkSession) -> DataFrame:
     """The types as a small dimension table."""
     return spark.createDataFrame([(i, *t) for i, t in enumerate(DOC_TYPES)], "place int, id string, hints array<string>, validators array<string>, key array<string>, compare array<string>")
@@ -44,7 +48,7 @@ def hint_scores(docs: DataFrame, types: list[tuple], id_col: str = "doc_id", tex
         total = F.lit(0)
         for h in (h.lower() for h in hints):
             pattern = h.startswith("/") and h.rfind("/") > 0
-            hit = F.regexp_like(sample, F.lit("(?i)" + h[1 : h.rfind("/")])) if pattern else F.contains(sample, F.lit(h))
+            hit = F.regexp_like(sample, F.lit("(?i)" + h[1 : h.rfind("/")].replace(r"\b", WORD_EDGE))) if pattern else F.contains(sample, F.lit(h))
             total = total + F.when(hit, 2 if pattern else 1).otherwise(0)
         scores.append(F.struct(F.lit(name).alias("type"), F.lit(place).alias("place"), total.alias("score")))
     all_ = docs.select(F.col(id_col).alias("id"), F.inline(F.array(*scores)))

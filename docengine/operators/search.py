@@ -26,9 +26,8 @@ def pool_size(k: int) -> int:
 def _count(words: Column, phrase: list[str]) -> Column:
     if len(phrase) == 1:
         return F.size(F.filter(words, lambda w: w == phrase[0]))
-    places = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)))
-    want = F.array(*[F.lit(p) for p in phrase])
-    return F.size(F.filter(places, lambda i: F.slice(words, i, F.lit(len(phrase))) == want))
+    # A look-ahead counts overlapping runs too; the text is joined once, not once per place.
+    return F.regexp_count(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), F.lit(f"(?= {' '.join(phrase)} )"))
 
 
 def bm25(docs: DataFrame, query: str, id_col: str = "doc_id", text: str = "text", keep: Column | None = None) -> DataFrame:
@@ -52,7 +51,7 @@ def bm25(docs: DataFrame, query: str, id_col: str = "doc_id", text: str = "text"
     return counted.where(F.col("_keep") & (any_hit > 0)).crossJoin(F.broadcast(stats)).select("id", score.alias("score"))  # one row of statistics
 
 
-def top(scored: DataFrame, k: int, digits: int = 6) -> DataFrame:
+def top(scored: DataFrame, k: int, digits: int = 12) -> DataFrame:
     """(id, score, rank): the k best of all rows, ties to the smaller id; the window sees k rows."""
     best = scored.select("id", F.round("score", digits).alias("score")).orderBy(F.desc("score"), "id").limit(k)
     return best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "id")))
@@ -82,12 +81,21 @@ def semantic(vectors: DataFrame, query: list[float], id_col: str = "vec_id", vec
     return vectors.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), cosine(F.col(vector), q).alias("score"))
 
 
-def semantic_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, id, score, rank): k best for each of a stated, small set of queries (query_id, query_vector).
+def semantic_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", block: int = 1024) -> DataFrame:
+    """(query_id, id, score, rank): k best for each of a stated set of queries (query_id, query_vector).
 
-    Queries meet the vectors in blocks: each task keeps the k best of its rows per query before anything is shuffled.
+    Up to ``block`` queries are broadcast.  More are dealt into blocks that meet salted slices of the vectors by shuffle.
+    Either way a task keeps the k best of its rows per query before ranks are taken.
     """
-    pairs = vectors.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("_v")).join(queries, F.col("id") != F.col("query_id"))
+    v = vectors.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("_v"))
+    n = queries.count()
+    if n <= block:
+        pairs = v.join(F.broadcast(queries), F.col("id") != F.col("query_id"))
+    else:
+        parts, salts = -(-n // block), 64
+        q = queries.withColumn("_part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        v = v.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        pairs = v.join(q, ["_part", "_salt"]).where(F.col("id") != F.col("query_id"))
     scored = pairs.select("query_id", "id", F.round(cosine(F.col("_v"), F.col("query_vector")), 6).alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-MODULES = ()
+from . import records, search
+
+MODULES = (search, records)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}

@@ -62,7 +62,7 @@ def model_format(content: Column) -> Column:
     head = F.hex(F.substring(content, 1, 16))
     text = F.lower(F.ltrim(F.decode(F.substring(content, 1, 512), "ISO-8859-1")))
     starts = lambda x: F.startswith(head, F.lit(x))
-    size = F.conv(F.hex(F.reverse(F.substring(content, 1, 8).cast("binary"))), 16, 10) if False else F.conv(F.concat(*[F.substring(head, i, 2) for i in range(15, 0, -2)]), 16, 10).cast("decimal(20,0)")
+    size = F.conv(F.concat(*[F.substring(head, i, 2) for i in range(15, 0, -2)]), 16, 10).cast("decimal(20,0)")
     kind = F.when(F.length(content) < 4, "unknown").when(starts("47475546"), "gguf").when(starts("6C6D6767") | starts("67676D6C"), "ggml").when(F.regexp_like(head, F.lit("^504B0[35]")), "zip")
     kind = kind.when((F.length(content) >= 9) & (size > 0) & (size < 512 << 20) & (F.substring(head, 17, 2) == "7B"), "safetensors")
     return kind.when(F.regexp_like(text, F.lit(r"^(<!doctype|<html|<\?xml)|<head>")), "html").when(F.regexp_like(text, F.lit(r"^[{\[]")), "json").when(starts("08") & (F.regexp_like(F.substring(text, 1, 64), F.lit("onnx|pytorch")) | (F.substring(head, 5, 2) == "12")), "onnx").otherwise("bin")

@@ -170,12 +170,17 @@ def guess_delimiter(text: Column) -> Column:
     return F.when(count["n"] > 0, count["d"]).otherwise(",")
 
 
+def _counter(sign: str) -> Callable[[Column], Column]:
+    """A function of one argument (Spark would pass the place in the array as a second)."""
+    return lambda x: F.length(x) - F.length(F.replace(x, F.lit(sign), F.lit("")))
+
+
 def looks_tabular(text: Column) -> Column:
     """The first five filled lines hold the same number, one or more, of one separator."""
     lines = F.slice(F.filter(F.split(text, r"\r?\n"), lambda x: F.trim(x) != ""), 1, 5)
     hit = F.lit(False)
     for d in (",", ";", "\t"):
-        n = F.transform(lines, lambda x, d=d: F.length(x) - F.length(F.replace(x, F.lit(d), F.lit(""))))
+        n = F.transform(lines, _counter(d))
         hit = hit | ((F.array_min(n) == F.array_max(n)) & (F.array_min(n) >= 1))
     return F.coalesce((F.size(lines) >= 2) & hit, F.lit(False))
 

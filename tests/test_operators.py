@@ -73,13 +73,14 @@ def test_sources(spark, tmp_path):
     (tmp_path / "a.docx").write_bytes(docx())
     (tmp_path / "broken.docx").write_bytes(b"PK\x03\x04word/document.xml")
     (tmp_path / "b.csv").write_bytes(b"numero;valor\r\n1;2\r\n")
+    (tmp_path / "h.txt").write_bytes(b"a;b\n1;2\n3;4\n")
     (tmp_path / "c.html").write_bytes("<html><body><h1>Olá</h1></body></html>".encode("latin-1"))
     (tmp_path / "d.xlsx").write_bytes(b"%PDF-1.4")
     (tmp_path / "e.txt").write_bytes(b"\x89PNG\r\n\x1a\n")
     (tmp_path / "f.bin").write_bytes(b"RIFF0000WAVE")
     (tmp_path / "g.eml").write_bytes("Subject: =?utf-8?B?T2zDoQ==?=\nFrom: a@b.c\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: quoted-printable\n\nd=C3=A9bito".encode())
     got = {r.path.rsplit("/", 1)[-1]: r for r in files.extract(files.read_files(spark, str(tmp_path))).collect()}
-    assert {k: r.kind for k, r in got.items()} == {"a.docx": "docx", "broken.docx": "docx", "b.csv": "csv", "c.html": "html", "d.xlsx": "pdf", "e.txt": "image", "f.bin": "audio", "g.eml": "eml"}
+    assert {k: r.kind for k, r in got.items()} == {"a.docx": "docx", "broken.docx": "docx", "b.csv": "csv", "c.html": "html", "d.xlsx": "pdf", "e.txt": "image", "f.bin": "audio", "g.eml": "eml", "h.txt": "csv"}
     assert got["a.docx"].markdown == "# Título\n\ntexto\n\n- item\n\n| a | b |\n| --- | --- |\n| 1 | 2 |"
     assert got["broken.docx"].error and got["c.html"].markdown == "# Olá" and got["b.csv"].markdown == "| numero | valor |\n| --- | --- |\n| 1 | 2 |"
     assert got["g.eml"].markdown == "# Olá\n**From:** a@b.c\n\ndébito" and got["d.xlsx"].needs_ocr and got["f.bin"].needs_transcription

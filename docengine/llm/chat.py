@@ -100,6 +100,10 @@ def canonical_turns(df: DataFrame, mappings: dict[tuple[str, ...], str] = MAPPIN
     return rec.withColumn("turns", F.expr(sql.replace("{r}", "_rec"))).drop("_rec")
 
 
+def _prefixed(prefix: str):
+    return lambda k: F.concat(F.lit(prefix), k)
+
+
 def canonical_turns_json(df: DataFrame, column: str = "record", mappings: dict[tuple[str, ...], str] = MAPPINGS) -> DataFrame:
     """Add ``layout`` (fingerprint) and ``turns`` to a table of JSON records in mixed layouts.
 
@@ -110,7 +114,8 @@ def canonical_turns_json(df: DataFrame, column: str = "record", mappings: dict[t
     parts = [F.filter(F.coalesce(keys, F.array().cast("array<string>")), lambda k: ~k.isin(lists))]
     for name in lists:
         inner = F.expr(f"json_object_keys(get_json_object({column}, '$.{name}[0]'))")
-        parts.append(F.transform(F.coalesce(inner, F.array().cast("array<string>")), lambda k, n=name: F.concat(F.lit(n + "[]."), k)))
+        # A lambda of one argument: Spark passes the place in the array to a second one.
+        parts.append(F.transform(F.coalesce(inner, F.array().cast("array<string>")), _prefixed(f"{name}[].")))
     out = df.withColumn("layout", fingerprint(F.concat(*parts)))
     turns = F.lit(None).cast("array<struct<role:string,text:string>>")
     for paths, sql in mappings.items():

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import records, search
+from . import catalog, records, search
 
-MODULES = (search, records)
+MODULES = (search, records, catalog)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}

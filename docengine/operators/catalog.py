@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import json
+import struct
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docengine.functions.text import params_from_name, quant_from_name
+from docengine.operators.records import pick_by_preference
+
 
 def find_models(refs: DataFrame, library: DataFrame, ref: str = "ref") -> DataFrame:
     """(ref, id, level): the model that each reference means; references that mean none are out.
@@ -159,6 +163,140 @@ def classify_tensors(names: Column) -> Column:
     return F.coalesce(*fits, what(None, "unknown", None))
 
 
+#: Scalar types of GGUF metadata, by number (signed bytes are read as unsigned ones).
+SCALARS = {0: "<B", 1: "<B", 2: "<H", 3: "<h", 4: "<I", 5: "<i", 6: "<f", 7: "<?", 10: "<Q", 11: "<q", 12: "<d"}
+TEXT, LIST = 8, 9
+
+
+def gguf_values(content: bytes | None) -> dict[str, str] | None:
+    """Metadata of a GGUF head as JSON texts: scalars whole, lists as their length.  None if it isn't one of version 2 or 3 or is cut short."""
+    data, at = memoryview(content or b""), 24
+
+    def scalar(fmt: str):
+        nonlocal at
+        (value,) = struct.unpack_from(fmt, data, at)
+        at += struct.calcsize(fmt)
+        return value
+
+    def text() -> str:
+        nonlocal at
+        n = scalar("<Q")
+        if n > len(data) - at:
+            raise ValueError
+        at += n
+        return bytes(data[at - n : at]).decode("utf-8", "replace")
+
+    def items() -> int:
+        nonlocal at
+        kind, n = scalar("<I"), scalar("<Q")
+        if kind in SCALARS:
+            at += n * struct.calcsize(SCALARS[kind])
+            if at > len(data):
+                raise ValueError
+            return n
+        if kind not in (TEXT, LIST) or n > len(data):
+            raise ValueError
+        for _ in range(n):
+            text() if kind == TEXT else items()
+        return n
+
+    try:
+        magic, version, _, pairs = struct.unpack_from("<4sIQQ", data)
+        if magic != b"GGUF" or version not in (2, 3):
+            return None
+        out = {}
+        for _ in range(pairs):
+            key, kind = text(), scalar("<I")
+            if kind not in (*SCALARS, TEXT, LIST):
+                return None
+            out[key] = json.dumps(text() if kind == TEXT else items() if kind == LIST else scalar(SCALARS[kind]), ensure_ascii=False)
+        return out
+    except (struct.error, ValueError, RecursionError):
+        return None
+
+
+def gguf_metadata(content: Column) -> Column:
+    """Metadata in the first bytes of a GGUF file as a map of JSON texts, or null."""
+
+    @F.pandas_udf("map<string,string>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(gguf_values)
+
+    return run(content)
+
+
+#: Quantisations by file type, and families of architectures.
+FILE_TYPES = {
+    0: "F32", 1: "F16", 2: "Q4_0", 3: "Q4_1", 7: "Q8_0", 8: "Q5_0", 9: "Q5_1", 10: "Q2_K", 11: "Q3_K_S", 12: "Q3_K_M", 13: "Q3_K_L", 14: "Q4_K_S", 15: "Q4_K_M", 16: "Q5_K_S", 17: "Q5_K_M", 18: "Q6_K",
+    19: "IQ2_XXS", 20: "IQ2_XS", 21: "Q2_K_S", 22: "IQ3_XS", 23: "IQ3_XXS", 24: "IQ1_S", 25: "IQ4_NL", 26: "IQ3_S", 27: "IQ3_M", 28: "IQ2_S", 29: "IQ2_M", 30: "IQ4_XS", 31: "IQ1_M", 32: "BF16",
+}
+EMBEDDING = ["bert", "nomic-bert", "jina-bert-v2", "xlm-roberta", "gte", "modernbert", "gemma-embedding", "qwen3-embedding"]
+DIFFUSION = ["flux", "flux2", "sd1", "sd2", "sdxl", "sd3", "wan", "ltx", "qwen_image", "z_image", "hunyuan", "chroma", "hidream", "lumina2"]
+ENCODERS = ["clip", "t5", "t5encoder", "umt5", "clip-vision", "siglip"]
+VISION = r"ocr|vl\b|vision|-v-|glm4v|qwen2vl|qwen2\.5vl|qwen3vl|llava|minicpmv|gemma3"
+
+
+def classify_gguf(values: Column, filename: Column) -> Column:
+    """struct<kind, role, arch, quant, params, context, vision> of a GGUF model by its metadata and, where that is silent, its name."""
+    plain = lambda k: F.get_json_object(F.concat(F.lit('{"v":'), F.try_element_at(values, k if isinstance(k, Column) else F.lit(k)), F.lit("}")), "$.v")
+    arch = F.nullif(F.lower(F.coalesce(plain("general.architecture"), F.lit(""))), F.lit(""))
+    type_, name, file_type = F.lower(F.coalesce(plain("general.type"), F.lit("model"))), plain("general.name"), plain("general.file_type").try_cast("int")
+    shown, low_file = F.lower(F.coalesce(name, filename)), F.lower(filename)
+    a = F.coalesce(arch, F.lit(""))
+    says = lambda c, p: F.regexp_like(c, F.lit(p))
+    as_ = lambda kind, role: F.struct(F.lit(kind).alias("kind"), F.lit(role).alias("role"))
+    projector = (type_ == "mmproj") | ((a == "clip") & F.map_contains_key(values, "clip.has_vision_encoder")) | says(low_file, "mmproj")
+    rerank, every = says(shown, "rerank"), F.lower(F.concat_ws(" ", a, name, filename))
+    ocr = says(F.lower(F.concat_ws(" ", name, filename)), "ocr")
+    what = F.when(projector, as_("vision", "mmproj")).when(type_ == "adapter", as_("text", "lora")).when(a.isin(DIFFUSION), as_("image", "diffusion"))
+    what = what.when(a.isin(ENCODERS), as_("image", "text_encoder")).when(a == "vae", as_("image", "vae")).when(a == "whisper", as_("speech", "main"))
+    what = what.when(a == "wavtokenizer-dec", as_("tts", "vae")).when(says(a, "tts"), as_("tts", "main")).when(rerank, as_("rerank", "main"))
+    what = what.when((a != "") & (a.isin(EMBEDDING) | says(shown, "embed")), as_("embeddings", "main")).when(ocr, as_("ocr", "main")).otherwise(as_("text", "main"))
+    types = F.create_map(*[F.lit(x) for kv in FILE_TYPES.items() for x in kv])
+    quant = F.when(file_type.isNull(), quant_from_name(filename)).otherwise(F.coalesce(F.try_element_at(types, file_type), F.concat(F.lit("ft"), file_type.cast("string"))))
+    params = F.coalesce(plain("general.parameter_count").try_cast("long"), params_from_name(F.coalesce(name, filename)))
+    vision = (what["role"] == "mmproj") | ((what["role"] == "main") & what["kind"].isin("text", "ocr") & says(every, VISION))
+    return F.struct(what["kind"].alias("kind"), what["role"].alias("role"), F.when(projector, F.coalesce(arch, F.lit("clip"))).otherwise(arch).alias("arch"), quant.alias("quant"), params.alias("params"), plain(F.concat(arch, F.lit(".context_length"))).try_cast("long").alias("context"), vision.alias("vision"))
+
+
+#: Quantisations by preference.
+PREFER = {
+    "small": ["Q8_0", "f16", "Q6_K", "Q4_K_M", "bf16"],
+    "image": ["Q4_K_S", "Q4_K_M", "Q4_0", "Q5_K_S", "Q5_0", "Q6_K", "Q8_0", "Q3_K_S", "Q3_K_M", "F16", "BF16"],
+    "text": ["Q4_K_M", "Q5_K_M", "Q4_K_S", "Q6_K", "Q8_0", "Q3_K_M", "IQ4_XS", "Q4_0", "F16", "BF16"],
+}
+
+
+def repo_kind(repo: Column) -> Column:
+    """Kind of a GGUF repository by its name."""
+    name = F.lower(F.substring_index(repo, "/", -1))
+    says = lambda p: F.regexp_like(name, F.lit(p))
+    return F.when(says("ocr"), "ocr").when(says("embed"), "embeddings").when(says("rerank"), "rerank").when(says("whisper"), "speech").otherwise("text")
+
+
+def plan_gguf(files: DataFrame, budget: Column, kind: Column | None = None) -> DataFrame:
+    """(repo, path, size, role, fits): what to download of each repository: all parts of one model and the best projector.
+
+    ``files`` has repo, path and size.  ``kind`` overrides the kind read from the repository's name.
+    """
+    k = F.coalesce(kind, repo_kind(F.col("repo"))) if kind is not None else repo_kind(F.col("repo"))
+    low = F.lower("path")
+    g = files.where(F.endswith(low, F.lit(".gguf"))).withColumn("kind", k).withColumn("size", F.coalesce(F.col("size").cast("long"), F.lit(0))).withColumn("projector", F.contains(low, F.lit("mmproj")))
+    base = F.regexp_replace("path", r"-\d{5}-of-(\d{5})", "-of-$1")
+    mains = g.where("not projector").withColumn("base", base)
+    models = mains.groupBy("repo", "kind", "base").agg(F.min("path").alias("path"), F.sum("size").alias("size")).withColumn("quant", quant_from_name(F.col("path")))
+    lists = {n: F.array(*[F.lit(q.lower()) for q in qs]) for n, qs in PREFER.items()}
+    prefer = F.when(F.col("kind").isin("ocr", "embeddings", "rerank"), lists["small"]).when(F.col("kind").isin("image", "video"), lists["image"]).otherwise(lists["text"])
+    # Ranked by the base name's first part; the base tells which parts belong to it.
+    chosen = pick_by_preference(models, "repo", "quant", "size", "path", prefer, budget).select("repo", base.alias("base"), "fits")
+    role = F.when(F.col("kind").isin("image", "video"), "diffusion").otherwise("main")
+    parts = mains.join(chosen, ["repo", "base"]).select("repo", "path", "size", role.alias("role"), "fits")
+    rank = F.when(F.contains(low, F.lit("q8_0")), 3).when(F.contains(low, F.lit("f16")), 2).otherwise(0)
+    best = g.where("projector").groupBy("repo").agg(F.min_by(F.struct("path", "size"), F.struct(-rank, "path")).alias("r"))
+    best = best.join(chosen.select("repo"), "repo", "left_semi")
+    return parts.unionByName(best.select("repo", "r.path", "r.size", F.lit("mmproj").alias("role"), F.lit(True).alias("fits")))
+
+
 #: Keys that a patch may change.  Numbers: (whole, least, most, may be null, allowed word).
 NUMBERS = {
     "server.port": (True, 1, 65535, False, None),

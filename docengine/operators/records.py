@@ -119,10 +119,11 @@ def evictions(running: DataFrame, by: str, last_used: Column, size: Column, need
     return running.withColumn("_left", F.sum(size).over(w) - before).where(F.col("_left") + need > budget).drop("_left")
 
 
-def pick_by_preference(files: DataFrame, by: str, quant: str, size: str, path: str, prefer: list[str], budget: Column, override: str | None = None) -> DataFrame:
-    """One file per group: the override, else the first preferred that fits, else the smallest."""
+def pick_by_preference(files: DataFrame, by: str, quant: str, size: str, path: str, prefer: list[str] | Column, budget: Column, override: str | None = None) -> DataFrame:
+    """One file per group: the override, else the first preferred that fits, else the smallest.  A column ``prefer`` holds small letters."""
     q = F.lower(F.coalesce(F.col(quant), F.lit("")))
-    place = F.array_position(F.array(*[F.lit(p.lower()) for p in prefer]), q).cast("int")
+    wanted = prefer if isinstance(prefer, Column) else F.array(*[F.lit(p.lower()) for p in prefer])
+    place = F.array_position(wanted, q).cast("int")
     fits = F.col(size) <= budget
     exact = q == override.lower() if override else F.lit(False)
     good = (place > 0) & fits

@@ -106,6 +106,18 @@ def json_salvage(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", C.extract_json(answer).alias("found"))
 
 
+def gguf_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as files of their brand's repository; every tenth is a projector, and line numbers are parts of split files."""
+    p = table(spark, sf, "part")
+    quant = F.element_at(F.array(*[F.lit(q) for q in ("Q4_K_M", "Q5_K_M", "Q8_0", "IQ1_S")]), F.col("p_size") % 4 + 1)
+    key, n = F.col("p_partkey").cast("string"), F.explode(F.sequence(F.lit(1), F.when(F.col("p_partkey") % 10 == 0, 1).otherwise(2)))
+    p = p.select("*", n.alias("n"))
+    whole = F.concat(F.lit("mmproj-"), F.when(F.col("p_size") % 2 == 0, "F16").otherwise("Q8_0"), F.lit("-"), key, F.lit(".gguf"))
+    split = F.concat(F.lit("m"), key, F.lit("-"), quant, F.lit("-0000"), F.col("n").cast("string"), F.lit("-of-00002.gguf"))
+    files = p.select(F.concat(F.lit("o/"), F.regexp_replace("p_brand", "#", "-")).alias("repo"), F.when(F.col("p_partkey") % 10 == 0, whole).otherwise(split).alias("path"), (F.col("p_size") * F.col("n")).cast("long").alias("size"))
+    return C.plan_gguf(files, F.lit(60))
+
+
 def recording_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Events as ticks of one recording per user; a tick's length is the time since the first hour."""
     e = table(spark, sf, "events")
@@ -114,7 +126,7 @@ def recording_windows(spark: SparkSession, sf: str) -> DataFrame:
     return streams.growing_windows(t.withColumn("final", F.lit(False)), "who", "ts", "total", "final", 600.0)
 
 
-QUERIES = {f.__name__: f for f in (model_lookup, device_merge, device_backend, slot_args, voice_pack_kinds, voice_catalog, voice_default, provider_split, provider_models, flatten_settings, check_settings, json_salvage, recording_windows)}
+QUERIES = {f.__name__: f for f in (model_lookup, device_merge, device_backend, slot_args, voice_pack_kinds, voice_catalog, voice_default, provider_split, provider_models, flatten_settings, check_settings, json_salvage, gguf_plan, recording_windows)}
 
 _DEVICES = """SELECT s_suppkey % 97 AS host, s_name AS name, 'nvidia' AS vendor FROM supplier UNION ALL
 SELECT c_custkey % 97, c_name, ['nvidia', 'amd', 'intel', 'other'][c_custkey % 4 + 1] FROM customer
@@ -143,4 +155,10 @@ SELECT language, coalesce((SELECT arg_min(id, name) FROM v WHERE lower(v.languag
 WHEN 'server.port' THEN CASE WHEN o_orderkey % 5 = 0 THEN 'whole' WHEN o_orderkey % 7 = 0 THEN 'empty' WHEN o_custkey * 97 < 1 THEN 'least' WHEN o_custkey * 97 > 65535 THEN 'most' ELSE '-' END ELSE '-' END AS problem
 FROM orders, (SELECT unnest(['server.port', 'server.apiKey', 'ui.theme', 'agent.enabled', 'agent.workspace', 'agent.no.such']) AS key)""",
     "json_salvage": "SELECT event_id, CASE WHEN event_id % 4 IN (0, 1) THEN props WHEN event_id % 4 = 2 THEN '[1, {}]' END AS found FROM events",
+    "gguf_plan": """WITH f AS (SELECT 'o/' || replace(p_brand, '#', '-') AS repo, p_partkey AS k, p_size AS z, ['Q4_K_M', 'Q5_K_M', 'Q8_0', 'IQ1_S'][p_size % 4 + 1] AS q FROM part),
+m AS (SELECT *, 3 * z <= 60 AND q <> 'IQ1_S' AS good, CASE q WHEN 'Q4_K_M' THEN 1 WHEN 'Q5_K_M' THEN 2 ELSE 5 END AS place FROM f WHERE k % 10 <> 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY NOT good, CASE WHEN good THEN place ELSE 0 END, CASE WHEN good THEN 0 ELSE 3 * z END, 'm' || k || '-' || q || '-') AS n FROM m),
+x AS (SELECT repo, 'mmproj-' || CASE WHEN z % 2 = 0 THEN 'F16' ELSE 'Q8_0' END || '-' || k || '.gguf' AS path, z, row_number() OVER (PARTITION BY repo ORDER BY z % 2 = 0, k::VARCHAR || '.') AS n FROM f WHERE k % 10 = 0 AND repo IN (SELECT repo FROM m))
+SELECT repo, 'm' || k || '-' || q || '-0000' || i || '-of-00002.gguf' AS path, CAST(z * i AS BIGINT) AS size, 'main' AS role, 3 * z <= 60 AS fits FROM r, (SELECT unnest([1, 2]) AS i) WHERE n = 1
+UNION ALL SELECT repo, path, CAST(z AS BIGINT), 'mmproj', true FROM x WHERE n = 1""",
 }

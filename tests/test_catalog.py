@@ -84,3 +84,43 @@ def test_growing_windows_as_stream(spark, tmp_path):
         s = spark.readStream.schema(t.schema).parquet(str(tmp_path / "in"))
         streams.growing_windows(s, "id", "at", "total", "final").writeStream.format("memory").queryName(f"grown{i}").option("checkpointLocation", str(tmp_path / f"cp{i}")).trigger(availableNow=True).start().awaitTermination(60)
     assert sorted(tuple(r) for r in spark.table("grown0").collect()) == SPANS[:1]
+
+
+def _gguf(values: dict, version: int = 3) -> bytearray:
+    text = lambda t: struct.pack("<Q", len(t.encode())) + t.encode()
+    body = b""
+    for k, v in values.items():
+        body += text(k)
+        if isinstance(v, str):
+            body += struct.pack("<I", 8) + text(v)
+        elif isinstance(v, list):
+            body += struct.pack("<IIQ", 9, 8, len(v)) + b"".join(map(text, v))
+        else:
+            body += struct.pack("<II", 4, v)
+    return bytearray(b"GGUF" + struct.pack("<IQQ", version, 0, len(values)) + body)
+
+
+def test_gguf_models(spark):
+    rows = [
+        (_gguf({"general.architecture": "llama", "tokens": ["a", "bc"], "general.file_type": 15, "llama.context_length": 4096, "general.name": "X 8B"}), "x.gguf"),
+        (_gguf({"general.architecture": "clip"}), "mmproj-x-F16.gguf"),
+        (_gguf({"general.architecture": "bert"}), "e-Q8_0.gguf"),
+        (_gguf({"general.architecture": "flux"}, 2), "f-Q4_0.gguf"),
+        (_gguf({"general.architecture": "qwen2vl"}), "GLM-OCR-0.9B-Q8_0.gguf"),
+        (_gguf({"general.architecture": "llama"}), "bge-reranker-Q8_0.gguf"),
+    ]
+    df = spark.createDataFrame(rows, "c binary, f string").withColumn("v", C.gguf_metadata(F.col("c")))
+    got = {r.f: tuple(r.k) for r in df.select("f", C.classify_gguf(F.col("v"), F.col("f")).alias("k")).collect()}
+    assert got == {
+        "x.gguf": ("text", "main", "llama", "Q4_K_M", 8_000_000_000, 4096, False),
+        "mmproj-x-F16.gguf": ("vision", "mmproj", "clip", "F16", None, None, True),
+        "e-Q8_0.gguf": ("embeddings", "main", "bert", "Q8_0", None, None, False),
+        "f-Q4_0.gguf": ("image", "diffusion", "flux", "Q4_0", None, None, False),
+        "GLM-OCR-0.9B-Q8_0.gguf": ("ocr", "main", "qwen2vl", "Q8_0", 900_000_000, None, True),
+        "bge-reranker-Q8_0.gguf": ("rerank", "main", "llama", "Q8_0", None, None, False),
+    }
+
+
+@pytest.mark.parametrize("content", [None, b"", b"GGUF", b"<html><body>no model at all</body></html>", bytes(_gguf({"a": "b"}))[:-1], bytes(_gguf({"a": 1}, 9))])
+def test_broken_gguf(content):
+    assert C.gguf_values(content) is None

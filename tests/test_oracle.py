@@ -1,5 +1,7 @@
 """Every query of the engine against its SQL in DuckDB, on the smallest tables."""
 
+from numbers import Number
+
 import duckdb
 import pandas as pd
 import pytest
@@ -13,9 +15,9 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def cells(df: pd.DataFrame, cols: list[str]) -> list[tuple]:
     def cell(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and pd.isna(v)):
+        if pd.api.types.is_scalar(v) and pd.isna(v):
             return ""
-        return repr(float(v)) if isinstance(v, (int, float)) else str(v)
+        return repr(float(v)) if isinstance(v, Number) else str(v)
 
     return sorted(tuple(cell(v) for v in row) for row in df[cols].itertuples(index=False))
 

@@ -129,6 +129,21 @@ def test_chaining_splits_hot_seeds(spark):
         assert len(got) == 40 and {r.component_id for r in got} == {0}
 
 
+@pytest.mark.parametrize("hot", [4, 4096])
+def test_chaining_finds_passages_of_frequent_lines(spark, hot):
+    rng = random.Random(8)
+    lines = [words(rng, 14) for _ in range(5)]
+    passage = [w for line in lines for w in line]
+    # Parts of the passage, two lines each, stand alone in earlier documents, so each seed is seen first elsewhere.
+    texts = [" ".join(words(rng, 60) + lines[i] + lines[i + 1] + words(rng, 60)) for i in range(4) for _ in range(5)]
+    texts += [" ".join(words(rng, 60) + passage + words(rng, 60)) for _ in range(2)]
+    # The last has all its lines once alone before the passage.
+    texts.append(" ".join([w for line in lines for w in words(rng, 30) + line] + words(rng, 30) + passage))
+    got = {r.doc_id: r for r in chaining.repeated_passages(frame(spark, texts), hot, 1).collect()}
+    assert set(got) == {20, 21, 22} and {r.component_id for r in got.values()} == {20}
+    assert all(r.n_words >= len(passage) for r in got.values())
+
+
 def test_mix(spark):
     d = frame(spark, [None, "", "a b c"] + [f"w{i} " * (i % 40) for i in range(600)]).withColumn("source", F.when(F.col("doc_id") % 50 == 7, None).otherwise(F.col("source")))
     once, again = (mixing.mix(d).orderBy("doc_id").collect() for _ in range(2))

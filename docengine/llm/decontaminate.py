@@ -2,7 +2,8 @@
 
 Words are reduced to their core, lower-cased and hashed; numbers, names (capitalised inside a sentence) and units (after a
 number) become typed placeholders.  Windows of five template words of the benchmark are joined by hash with the windows
-of all documents, matches are chained along both texts, and a chain counts if it covers most of its item, or is long, and
+of all documents, each match is chained to its best predecessor in both texts (so windows that an item holds twice make
+parallel chains), and a chain counts if it covers most of its item, or is long, and
 its slots map item values to document values consistently (so re-parameterised questions are caught and
 mere look-alikes are not).
 
@@ -17,8 +18,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import RollingHash, materialize, mix64, table, text_slices, words_of
 
@@ -164,6 +165,40 @@ def template_windows(rows: DataFrame, key: list[str], text: str, widths: list[in
     return rows.select(*key, text).mapInArrow(emit, schema)
 
 
+BEST = T.StructType([T.StructField("covered", T.IntegerType()), T.StructField("coverage", T.DoubleType()), T.StructField("start_word", T.IntegerType()), T.StructField("end_word", T.IntegerType()), T.StructField("same_slots", T.BooleanType())])
+
+
+def item_chains(matches: list[tuple[int, int, int, list[str], list[str]]]) -> list[tuple[int, int, int, bool, bool]]:
+    """Matches (pos, ipos, width, item's slots, document's slots) of one item in one text -> its chains.
+
+    Returns (covered, first word, end word, are the slots consistent, are they the same).  Each match follows the one with most
+    words covered, less the words by which the two texts move apart; a chain moves on in both texts at every step.
+    """
+    matches = sorted(matches)
+    score, back, low = [0] * len(matches), [-1] * len(matches), 0
+    for i, (pos, ipos, width, _, _) in enumerate(matches):
+        while matches[low][0] < pos - WINDOW - 8:
+            low += 1
+        score[i] = width
+        for k in range(low, i):
+            step, istep = pos - matches[k][0], ipos - matches[k][1]
+            if step > 0 < istep and abs(step - istep) <= 8 and (new := score[k] + min(width, istep) - abs(step - istep)) > score[i]:
+                score[i], back[i] = new, k
+    used, out = [False] * len(matches), []
+    for i in sorted(range(len(matches)), key=lambda i: (-score[i], i)):
+        if used[i]:
+            continue
+        chain, at = [], i
+        while at >= 0:
+            used[at] = True
+            chain.append(matches[at])
+            at = back[at]
+        covered = chain[0][2] + sum(min(a[2], a[1] - b[1]) for a, b in zip(chain, chain[1:], strict=False))
+        pairs = {p for c in chain for p in zip(c[3], c[4], strict=False)}
+        out.append((covered, chain[-1][0], chain[0][0] + chain[0][2], len(pairs) == len({a for a, _ in pairs}), all(a == b for a, b in pairs)))
+    return out
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, long: int = LONG, max_filter: int = MAX_FILTER) -> DataFrame:
     """Pairs of a document and a benchmark item that it contains.
 
@@ -181,21 +216,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     found = template_windows(rows, ["doc_id", "tag"], "text", widths, wanted).select("doc_id", "tag", "pos", "width", "h", "slots")
     i = items.select("item_id", F.col("pos").alias("ipos"), F.col("n_words").alias("iwords"), F.col("h").alias("ih"), F.col("slots").alias("islots"), F.col("width").alias("iwidth"))
     m = found.join(i, (F.col("h") == F.col("ih")) & (F.col("width") == F.col("iwidth"))).dropDuplicates(["doc_id", "tag", "item_id", "pos", "ipos"])
-    # Chains: matches in document order that move alike in the item.
-    order = W.partitionBy("doc_id", "tag", "item_id").orderBy("pos", "ipos")
-    step, istep = F.col("pos") - F.lag("pos").over(order), F.col("ipos") - F.lag("ipos").over(order)
-    new = step.isNull() | (step > WINDOW + 8) | (istep < 0) | (F.abs(step - istep) > 8)
-    m = m.withColumn("new", new.cast("int")).withColumn("chain", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    g = m.withColumn("pairs", F.zip_with("islots", "slots", lambda a, b: F.struct(a.alias("i"), b.alias("d"))))
-    c = g.groupBy("doc_id", "tag", "item_id", "chain").agg(F.array_sort(F.collect_set("ipos")).alias("at"), F.max("width").alias("width"), F.max("iwords").alias("iwords"), F.min("pos").alias("start_word"), (F.max("pos") + F.max("width")).alias("end_word"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
-    steps = F.expr("aggregate(sequence(1, size(at) - 1, 1), 0, (s, k) -> s + least(width, at[k] - at[k - 1]))")
-    c = c.withColumn("covered", F.when(F.size("at") > 1, steps).otherwise(0) + F.col("width"))
-    c = c.withColumn("coverage", F.col("covered") / F.col("iwords"))
-    c = c.withColumn("consistent", F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))))
-    c = c.withColumn("same_slots", F.forall("pairs", lambda p: p["i"] == p["d"]))
-    c = c.where(((F.col("coverage") >= coverage) | (F.col("covered") >= long)) & F.col("consistent"))
-    best = F.max_by(F.struct("covered", "coverage", "start_word", "end_word", "same_slots"), F.struct("covered", F.col("same_slots"), -F.col("start_word"), -F.col("end_word"))).alias("best")
-    return c.groupBy("doc_id", "tag", "item_id").agg(best).select("doc_id", "tag", "item_id", "best.*")
+    match = F.struct("pos", "ipos", "width", "islots", "slots")
+    g = m.groupBy("doc_id", "tag", "item_id").agg(F.max("iwords").alias("iwords"), F.collect_list(match).alias("matches"))
+    # So few windows can't cover enough.
+    g = g.where(F.size("matches") * WINDOW >= F.least(F.lit(long), coverage * F.col("iwords")))
+
+    @F.arrow_udf(BEST)
+    def best(matches: pa.Array, iwords: pa.Array) -> pa.Array:
+        out = []
+        for k in range(len(matches)):
+            found = [(c, c / iwords[k].as_py(), s, e, same) for c, s, e, fits, same in item_chains([tuple(x.values()) for x in matches[k].as_py()]) if fits]
+            found = [x for x in found if x[1] >= coverage or x[0] >= long]
+            top = max(found, key=lambda x: (x[0], x[4], -x[2], -x[3]), default=None)
+            out.append(dict(zip(BEST.names, top, strict=True)) if top else None)
+        return pa.array(out, pa.struct([("covered", pa.int32()), ("coverage", pa.float64()), ("start_word", pa.int32()), ("end_word", pa.int32()), ("same_slots", pa.bool_())]))
+
+    found = g.withColumn("best", best("matches", "iwords")).where("best is not null")
+    return found.select("doc_id", "tag", "item_id", "best.*")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -185,6 +185,19 @@ def test_decontaminate(spark):
     assert {r.doc_id for r in decontaminate.contaminated(d, b, max_filter=0).collect()} == {0, 1}
 
 
+def test_decontaminate_items_with_repeated_clauses(spark):
+    clause = "the baker sold 3 loaves of brown bread before noon"
+    item = f"when the shop opened {clause} and then later on {clause} so how many loaves did he sell altogether that day"
+    b = spark.createDataFrame([(0, item)], "item_id long, text string")
+    rng = random.Random(9)
+    filler = lambda: " ".join(words(rng, 40))
+    d = frame(spark, [f"{filler()} {t} {filler()}" for t in (item, item.replace(" 3 ", " 8 "), clause, item.replace(" 3 ", " 8 ", 1))])
+    got = {r.doc_id: r for r in decontaminate.contaminated(d, b).collect()}
+    assert set(got) == {0, 1} and got[0].same_slots and not got[1].same_slots
+    assert got[0].coverage == 1 and (got[0].start_word, got[0].end_word) == (40, 40 + len(item.split()))
+    assert {r.doc_id for r in decontaminate.drop_contaminated(d, b).collect()} == {2, 3}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -30,6 +30,8 @@ NAME_WEIGHTS = {"password": 3.0, "passwd": 3.0, "passphrase": 3.0, "pwd": 2.5, "
 #: Literals that stand for no secret.
 PLACEHOLDERS = {"", "none", "null", "true", "false", "changeme", "example", "placeholder", "undefined", "password", "secret", "token", "xxxx", "xxxxxxxx"}
 LEX_THRESHOLD = 3.5
+#: More characters than the longest placeholder has.
+HEAD = 16
 
 _HINT = re.compile(r"passw|passphrase|pwd|secret|token|key|credential|auth|bearer|signing|connection_string")
 _NAME = r"[A-Za-z_][A-Za-z0-9_]*(?:[.-][A-Za-z0-9_]+)*"
@@ -43,38 +45,70 @@ def name_score(name: str) -> float:
     return max((w for part, w in NAME_WEIGHTS.items() if part in low), default=0.0)
 
 
+class Held:
+    """What a name stands for: spans of its own, other names' parts, and the value's first characters and character counts.
+
+    Parts are referred to, not copied, so a text's names take room in proportion to it however they are joined.
+    """
+
+    def __init__(self, value: str = ""):
+        self.spans: list[tuple[int, int]] = []
+        self.parts: list[Held] = []
+        self.head, self.counts, self.found = value[:HEAD], Counter(value), False
+
+    def join(self, head: str, chars: str | Counter) -> None:
+        self.head = (self.head + head)[:HEAD]
+        self.counts.update(chars)
+
+    def score(self) -> float:
+        """0 for placeholders, words and short literals; up to 2 for long ones of mixed characters."""
+        n = self.counts.total()
+        if n < 6 or self.head.lower() in PLACEHOLDERS or self.head.startswith(("$", "%", "<", "{")):
+            return -10.0
+        bits = -sum(p * math.log2(p) for p in (c / n for c in self.counts.values()) if p)
+        chars = "".join(self.counts)
+        kinds = sum(bool(re.search(p, chars)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+        return min(1.0, bits / 4) + (0.5 if kinds >= 2 else 0.0) + (0.5 if n >= 16 else 0.0)
+
+    def collect(self, found: set[tuple[int, int]]) -> None:
+        """Add the spans of all parts, each part once in a text."""
+        stack = [self]
+        while stack:
+            at = stack.pop()
+            if not at.found:
+                at.found = True
+                found.update((s, e) for s, e in at.spans if e > s)
+                stack += at.parts
+
+
 def literal_score(value: str) -> float:
-    """0 for placeholders, words and short literals; up to 2 for long ones of mixed characters."""
-    if len(value) < 6 or value.lower() in PLACEHOLDERS or value.startswith(("$", "%", "<", "{")):
-        return -10.0
-    n = len(value)
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(1.0, bits / 4) + (0.5 if kinds >= 2 else 0.0) + (0.5 if n >= 16 else 0.0)
+    return Held(value).score()
 
 
 def lex_spans(text: str) -> list[tuple[int, int]]:
     """Spans of the literals that a sensitive name stands for, in order."""
     if ("=" not in text and ":" not in text) or not _HINT.search(text.lower()):
         return []
-    held: dict[str, list[tuple[int, int, str]]] = {}
+    held: dict[str, Held] = {}
     found: set[tuple[int, int]] = set()
     for m in STATEMENT.finditer(text):
         kind = m.lastgroup
-        parts: list[tuple[int, int, str]] = []
+        new = Held()
         at = m
         while at:
             kind = next(k for k in ("dq", "sq", "bare") if at.group(k) is not None)
             value = at.group(kind)
             if kind == "bare" and value in held:
-                parts += held[value]
+                new.parts.append(held[value])
+                new.join(held[value].head, held[value].counts)
             elif kind != "bare" or at is m:
-                parts.append((*at.span(kind), value))
+                new.spans.append(at.span(kind))
+                new.join(value[:HEAD], value)
             at = _MORE.match(text, at.end()) if kind != "bare" or value in held else None
         name = m["name"]
-        held[name] = parts[:64]
-        if (score := name_score(name)) and score + literal_score("".join(p[2] for p in parts)) >= LEX_THRESHOLD:
-            found.update((s, e) for s, e, _ in parts if e > s)
+        held[name] = new
+        if (score := name_score(name)) and score + new.score() >= LEX_THRESHOLD:
+            new.collect(found)
     return sorted(found)
 
 

@@ -84,6 +84,14 @@ def test_constants_are_followed():
     assert secrets.lex_spans(text) == [(5, 21)]
 
 
+def test_constants_of_many_pieces_are_whole():
+    pieces = [f"aB{i:04d}xY" for i in range(100)]
+    text = "k = " + " +\n".join(f'"{p}"' for p in pieces).replace("\n", " ") + "\npassword = k\n"
+    assert [text[s:e] for s, e in secrets.lex_spans(text)] == pieces
+    grown = 'k = "aB3x"\n' + "k = k + k\n" * 3000 + "k = k + 'z9'\npassword = k\n"
+    assert [grown[s:e] for s, e in secrets.lex_spans(grown)] == ["aB3x", "z9"]
+
+
 def test_quality(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = quality.op6_quality(spark, "/root/testdata/sf0.01").join(labels, "doc_id").where("held_out").collect()

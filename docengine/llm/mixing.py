@@ -55,7 +55,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
 
 def block_of(key: Column, blocks: int = BLOCKS) -> Column:
-    return (F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 4), 16, 10).cast("int") % blocks).cast("int")
+    return (F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("\u0000null")).cast("binary")), 1, 4), 16, 10).cast("int") % blocks).cast("int")
 
 
 def _rand(*parts: Column) -> Column:
@@ -107,6 +107,7 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
 
     Returns ``docs`` with _size, _source_size, _target, _copies (0, 1 or 2), _shards (one output shard per
     copy) and _order (the local shuffle key).  Null text has size 0; null source is a source of its own, last in order;
+    null keys are dealt like one value;
     repeated rows are drawn on their own merits; empty input gives an empty result; extra columns pass through
     (names that start with an underscore and clash are replaced).
     """

@@ -158,6 +158,13 @@ def test_mix(spark):
     assert mixing.mix(d.where("false")).count() == 0
 
 
+def test_mix_keeps_null_keys(spark):
+    d = frame(spark, [f"w{i} " * 5 for i in range(60)]).withColumn("doc_id", F.when(F.col("doc_id") % 20 > 0, F.col("doc_id")))
+    got = mixing.mix(d).collect()
+    assert len(got) == 60 and sum(r.doc_id is None for r in got) == 3
+    assert all(r._copies in (0, 1, 2) and len(r._shards) == r._copies for r in got)
+
+
 def test_topk_is_brute_force(spark):
     rng = random.Random(6)
     v = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(120)] + [(200, None), (201, [float("nan")] * 8), (202, [0.5] * 8), (203, [0.5] * 8), (204, [None] + [0.5] * 7)]

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII whitespace: space and 0x09-0x0D.
@@ -18,16 +18,23 @@ IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read a table; batches sent to Python are bounded by rows, so that long texts don't pile up in a worker."""
+    """Read a table.  Batches sent to Python are bounded by rows and bytes, so that long texts don't pile up in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
+    """The application's folder under ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where the session names no such folder, a local session gets a temporary one (tests); on a cluster that would lose data,
+    so it is an error there.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named.rstrip("/")
+        return f"{named.rstrip('/')}/docengine-{spark.sparkContext.applicationId}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     made = getattr(spark, "_docengine_shared", None)
     if made is None:
         made = "file://" + tempfile.mkdtemp(prefix="docengine-")
@@ -35,6 +42,12 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def clear_shared(spark: SparkSession) -> None:
+    """Delete the tables that this application has written by ``materialize``, once their results have been read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -43,6 +56,49 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most bits of a membership filter: 16 MB, whatever the size of the data.
+FILTER_BITS = 1 << 27
+
+
+def drop_rows(rows: DataFrame, ident: list[str | Column], gone: DataFrame) -> DataFrame:
+    """``rows`` without those whose ``ident`` equals (null-safe) a row of ``gone``, which has as many columns.
+
+    Wide rows hardly move: a bit filter of bounded size over ``gone`` lets the rows through that can't be in it, and only the rest
+    (those in ``gone`` and a few more, or all once ``gone`` outgrows the filter) goes through the exact join.
+    """
+    n = gone.count()
+    if not n:
+        return rows
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (12 * n - 1).bit_length()))
+
+    def places(cols: list[Column]) -> list[Column]:
+        return [F.pmod(F.xxhash64(F.lit(k), *[F.coalesce(c.cast("string"), F.lit("null")) for c in cols]), F.lit(bits)) for k in range(3)]
+
+    keys = [F.col(f"`{c}`") for c in gone.columns]
+    at = gone.select(F.explode(F.array(*places(keys))).alias("at")).select((F.col("at") + 1).alias("at"))
+    parts = at.groupBy(F.bitmap_bucket_number("at").alias("chunk")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    table = np.zeros(bits // 8, np.uint8)
+    for r in parts:
+        table[(r.chunk - 1) * 4096 : r.chunk * 4096] = np.frombuffer(r.bits, np.uint8)
+
+    @F.arrow_udf("boolean")
+    def maybe(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+        hit = np.ones(len(a), bool)
+        for x in (a, b, c):
+            x = x.to_numpy()
+            hit &= (table[x >> 3] >> (x & 7).astype(np.uint8) & 1) > 0
+        return pa.array(hit)
+
+    cols = [F.col(i) if isinstance(i, str) else i for i in ident]
+    seen = maybe(*places(cols))
+    right = gone.select(*[F.col(f"`{c}`").alias(f"_gone_{k}") for k, c in enumerate(gone.columns)]).distinct()
+    same = F.lit(True)
+    for k, c in enumerate(cols):
+        same = same & c.eqNullSafe(F.col(f"_gone_{k}"))
+    rest = rows.where(seen).join(right.hint("merge"), same, "left_anti")
+    return rows.where(~seen).unionByName(rest)
+
+
 def array_slices(col: pa.Array, max_bytes: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string array into runs of whole rows holding about ``max_bytes``.
 

@@ -1,14 +1,19 @@
 """Operator 3: mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Native: DataFrame functions only.  Each source's rows are dealt by hash into a fixed number of blocks.
-Source targets in words become block quotas.  A binary tree over the output shards splits the
-multiset of quota units: at every node a uniformly random half (all units ranked by a keyed hash)
-goes left, so the counts per source on either side follow the multivariate hypergeometric law and
-always add up to the exact quotas.  Each shard then draws its disjoint run of the source's permuted
-blocks, and rows are ordered inside their shard by a keyed hash.
-
-All of this happens on a table of (source, block) rows whose size doesn't depend on the number of
-documents; documents themselves are aggregated once and joined once with that table.
+Native: DataFrame functions only.
+
+1. Sizes.  Words are counted once per row; all decisions are made on the narrow table of (key, source, size).
+2. Blocks.  A source's rows are dealt by hash into blocks, as many as its share of all words asks for; rows of two or more
+   blocks' words are blocks of their own.  The numbers of output shards and of blocks follow the number of words.
+3. Quotas.  A source's target is filled with its blocks in permuted order: whole rounds first, then each block that still
+   fits, then rows of one cut block that still fit.
+4. Tree.  A binary tree over the output shards splits the quotas: at every node a uniformly random half of the drawn blocks
+   (all ranked by a keyed hash) goes left, so the counts per source on either side follow the multivariate
+   hypergeometric law and always add up to the exact quotas.
+5. Draws.  Each shard draws its disjoint run of the source's permuted blocks.  A block lies in one shard with all its copies, so
+   a text moves once; a row is taken as often as its block is drawn there.  Rows are shuffled inside their shard by a keyed hash.
+
+Windows over all sources and all blocks hold one row per source or block, about 16 per shard, never documents.
 """
 
 from __future__ import annotations
@@ -22,15 +27,20 @@ from .common import materialize, table
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights by the source's place in code-point order, repeating (null comes last).
 WEIGHTS = (5, 2, 1)
-BLOCKS = 128
+SHARE, MOST = 1.5, 2.0
+#: Words of an output shard, fewest levels of the tree, and blocks for each shard.
+SHARD_WORDS = 20_000_000
 LEVELS = 3
+PER_SHARD = 16
+#: How often blocks, and rows of the cut block, that still fit are looked for.
+PASSES = 3
 
 
 def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
+def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """(source, source_size) -> with weight and target.  Water-filling in closed form.
 
     Sources, sorted by size over weight, are capped at ``most`` times their size one after the other; the
@@ -54,117 +64,192 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return s.select("source", "source_size", "weight", target.alias("target"))
 
 
-def block_of(key: Column, blocks: int = BLOCKS) -> Column:
-    return (F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("\u0000null")).cast("binary")), 1, 4), 16, 10).cast("int") % blocks).cast("int")
+def _name(value: Column) -> Column:
+    """A string for each value, null included."""
+    return F.coalesce(F.concat(F.lit("v"), value.cast("string")), F.lit("n"))
 
 
-def _rand(*parts: Column) -> Column:
-    return F.md5(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("\u0000null")) for p in parts]).cast("binary"))
+def _rand(*parts: Column | str) -> Column:
+    return F.md5(F.concat_ws("|", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]).cast("binary"))
 
 
-def block_plan(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
-    """(source, block, words) -> (targets by source, plan by source and block).
+def _block(kid: Column, size: Column, source_size: Column, blocks: Column) -> Column:
+    """A row's block; one with twice the words of a block, or more, is its own."""
+    dealt = (F.conv(F.substring(_rand("deal", kid), 1, 8), 16, 10).cast("long") % blocks).cast("string")
+    return F.when(size * blocks >= 2 * source_size, F.when(size > 0, F.concat(F.lit("k"), kid))).otherwise(dealt)
 
-    The plan tells, for each block, how often it is taken whole (``whole``), how many words remain for the
-    one cut block of the source (``rest``, else null) and the output shards of the first and second draw.
-    """
-    totals = sizes.groupBy("source").agg(F.sum("words").alias("source_size"))
-    targets = source_targets(totals, weights, share, most)
-    same = F.col("source").eqNullSafe(F.col("t_source"))
-    b = sizes.join(targets.withColumnRenamed("source", "t_source"), same).drop("t_source")
-    order = W.partitionBy("source").orderBy(_rand(F.lit("block"), F.col("source"), F.col("block")), "block")
-    b = b.withColumn("before", F.coalesce(F.sum("words").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    b = b.withColumn("place", F.row_number().over(order))
-    rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
-    b = b.withColumn("rounds", rounds).withColumn("part", F.col("target") - F.col("rounds") * F.col("source_size"))
-    inside = F.col("before") + F.col("words") <= F.col("part")
-    cut = ~inside & (F.col("before") < F.col("part"))
-    b = b.withColumn("whole", F.col("rounds") + F.when(inside, 1).otherwise(0))
-    b = b.withColumn("rest", F.when(cut, F.col("part") - F.col("before")))
-    # Quota units: a draw of a block.  The tree decides only how many of a source's units each shard gets.
-    draws = b.withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("whole") + F.when(F.col("rest").isNotNull(), 1).otherwise(0) + 1)))
-    draws = draws.where(F.col("draw") <= F.col("whole") + F.when(F.col("rest").isNotNull(), 1).otherwise(0))
-    unit = F.row_number().over(W.partitionBy("source").orderBy("draw", "place"))
-    draws = draws.select("source", "block", "draw", unit.alias("unit"))
-    split = draws.select("source", "unit", F.lit(0).alias("node"))
+
+def _fit(rows: DataFrame, by: list[str], order: list[str], words: str, room: Column) -> DataFrame:
+    """Add ``fits``: rows taken in order while they fit into ``room``, then again among those left; and ``left``, the room left."""
+    within, at = W.partitionBy(*by), W.partitionBy(*by).orderBy(*order)
+    out = rows.withColumn("fits", F.lit(False)).withColumn("left", room)
+    for _ in range(PASSES):
+        may = ~F.col("fits") & (F.col(words) <= F.col("left"))
+        out = out.withColumn("may", may).withColumn("run", F.sum(F.when(F.col("may"), F.col(words)).otherwise(0)).over(at))
+        out = out.withColumn("new", F.col("may") & (F.col("run") <= F.col("left")))
+        out = out.withColumn("left", F.col("left") - F.coalesce(F.sum(F.when(F.col("new"), F.col(words))).over(within), F.lit(0)))
+        out = out.withColumn("fits", F.col("fits") | F.col("new"))
+    return out.drop("may", "run", "new")
+
+
+def split_tree(units: DataFrame, levels: int) -> DataFrame:
+    """(name, unit) -> (name, unit, shard): 2**levels shards; units of a name are numbered in permuted order from 1."""
+    split = units.select("name", "unit", F.lit(0).alias("node"))
     for level in range(levels):
         at = W.partitionBy("node")
-        rank = F.row_number().over(at.orderBy(_rand(F.lit(f"split{level}"), F.col("node"), F.col("source"), F.col("unit"))))
+        rank = F.row_number().over(at.orderBy(_rand(f"split{level}", F.col("node"), F.col("name"), F.col("unit")), "name", "unit"))
         split = split.withColumn("right", (rank * 2 > F.count("*").over(at) + F.col("node") % 2).cast("int"))
-        split = split.select("source", "unit", (F.col("node") * 2 + F.col("right")).alias("node"))
-    quota = split.groupBy("source", F.col("node").alias("shard")).agg(F.count("*").alias("quota"))
-    upto = W.partitionBy("source").orderBy("shard").rowsBetween(W.unboundedPreceding, 0)
-    quota = quota.select(F.col("source").alias("q_source"), "shard", F.sum("quota").over(upto).alias("upto"), "quota")
-    drawn = draws.join(quota, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("unit") <= F.col("upto")) & (F.col("unit") > F.col("upto") - F.col("quota")))
-    shards = drawn.groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("draw", "shard"))).alias("draws"))
-    shards = shards.select(F.col("source").alias("s_source"), F.col("block").alias("s_block"), F.transform("draws", lambda d: d["shard"]).alias("shards"))
-    plan = b.join(shards, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("block") == F.col("s_block")), "left")
-    return targets, plan.select(F.col("source").alias("p_source"), F.col("block").alias("p_block"), "source_size", "target", "whole", "rest", F.coalesce("shards", F.array().cast("array<int>")).alias("shards"))
-
-
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, blocks: int = BLOCKS, levels: int = LEVELS) -> DataFrame:
-    """Decide how often every row is taken.
-
-    Returns ``docs`` with _size, _source_size, _target, _copies (0, 1 or 2), _shards (one output shard per
-    copy) and _order (the local shuffle key).  Null text has size 0; null source is a source of its own, last in order;
-    null keys are dealt like one value;
-    repeated rows are drawn on their own merits; empty input gives an empty result; extra columns pass through
-    (names that start with an underscore and clash are replaced).
+        split = split.select("name", "unit", (F.col("node") * 2 + F.col("right")).alias("node"))
+    # The tree gives each shard its quota of a source; shards in order draw the next units of the source's permuted blocks.
+    return split.select("name", F.row_number().over(W.partitionBy("name").orderBy("node", "unit")).alias("unit"), F.col("node").alias("shard"))
+
+
+def mix_sizes(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(kid, source, size) -> the plan: sources, drawn blocks, and rows taken from cut blocks (all written tables).
+
+    sources: (name, source_size, target, blocks); blocks: (name, block, copies, shard, cut); taken: (name, kid), once more than
+    their block's copies.
     """
-    d = docs.withColumn("_size", word_count(F.col(text))).withColumn("_block", block_of(F.col(key), blocks))
-    sizes = materialize(d.groupBy(F.col(source).alias("source"), F.col("_block").alias("block")).agg(F.sum("_size").alias("words")), "sizes")
-    _, plan = block_plan(sizes, weights, share, most, levels)
-    plan = materialize(plan, "plan")
-    # Only rows of cut blocks (one block in 128 of a source) are ranked.
-    cuts = d.select(F.col(source).alias("source"), F.col("_block").alias("block"), F.col(key).alias("key"), F.col("_size").alias("size"))
-    cut_plan = plan.where("rest is not null").select("p_source", "p_block", "rest")
-    cuts = cuts.join(cut_plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("block") == F.col("p_block")))
-    run = W.partitionBy("source", "block").orderBy(_rand(F.lit("row"), F.col("key")), "key").rangeBetween(W.unboundedPreceding, 0)
-    cuts = cuts.withColumn("upto", F.sum("size").over(run)).where(F.col("upto") <= F.col("rest"))
-    cuts = cuts.groupBy(F.col("source").alias("c_source"), F.col("key").alias("c_key")).agg(F.lit(1).alias("_extra"))
-    out = d.join(plan, F.col(source).eqNullSafe(F.col("p_source")) & (F.col("_block") == F.col("p_block")))
-    cut_rows = F.col("rest").isNotNull()
-    out = out.join(cuts, cut_rows & F.col(source).eqNullSafe(F.col("c_source")) & F.col(key).eqNullSafe(F.col("c_key")), "left")
-    out = out.withColumn("_copies", (F.col("whole") + F.coalesce("_extra", F.lit(0))).cast("int"))
-    out = out.withColumn("_shards", F.slice("shards", F.lit(1), F.col("_copies")))
-    out = out.withColumn("_order", _rand(F.lit("shuffle"), F.col(key)))
-    return out.select(*[F.col(c) for c in docs.columns], "_size", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_copies", "_shards", "_order")
+    totals = rows.groupBy(F.col("source")).agg(F.sum("size").alias("source_size"))
+    sources = materialize(source_targets(totals, weights, share, most).withColumn("name", _name(F.col("source"))), "sources")
+    total = sources.agg(F.sum("source_size")).first()[0] or 0
+    levels = LEVELS
+    while shard_words << levels < share * total:
+        levels += 1
+    blocks = F.greatest(F.lit(1), F.ceil(F.lit(float(PER_SHARD << levels)) * F.col("source_size") / F.lit(float(max(total, 1))))).cast("long")
+    sources = sources.select("name", "source_size", "target", blocks.alias("blocks"))
+    r = rows.select("kid", _name(F.col("source")).alias("name"), "size").join(sources, "name")
+    r = r.withColumn("block", _block(F.col("kid"), F.col("size"), F.col("source_size"), F.col("blocks")))
+    b = materialize(r.groupBy("name", "block").agg(F.sum("size").alias("words")).where("block is not null"), "blocks").join(sources, "name")
+    rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
+    b = b.withColumn("rounds", rounds).withColumn("order", _rand("block", F.col("name"), F.col("block")))
+    b = _fit(b, ["name"], ["order", "block"], "words", F.col("target") - F.col("rounds") * F.col("source_size"))
+    # One of the blocks left is cut, a block of many rows.
+    open_ = ~F.col("fits") & (F.substring("block", 1, 1) != "k")
+    first = F.row_number().over(W.partitionBy("name").orderBy(F.when(open_, 0).otherwise(1), "order", "block"))
+    b = b.withColumn("cut", open_ & (first == 1) & (F.col("left") > 0))
+    b = b.withColumn("copies", (F.col("rounds") + F.col("fits").cast("int")).cast("int"))
+    drawn = materialize(b.where("copies > 0 or cut").withColumn("unit", F.row_number().over(W.partitionBy("name").orderBy("order", "block"))), "drawn")
+    shards = split_tree(drawn.select("name", "unit"), levels)
+    plan = materialize(drawn.join(shards, ["name", "unit"]).select("name", "block", "copies", "shard", F.when(F.col("cut"), F.col("left")).alias("cut")), "plan")
+    inside = r.select("kid", "name", "block", "size").join(plan.where("cut is not null").select("name", "block", "cut"), ["name", "block"])
+    inside = inside.groupBy("name", "kid", "cut").agg(F.sum("size").alias("size")).withColumn("order", _rand("row", F.col("kid")))
+    taken = materialize(_fit(inside, ["name"], ["order", "kid"], "size", F.col("cut")).where("fits").select("name", "kid"), "taken")
+    return sources, plan, taken
+
+
+def _decide(rows: DataFrame, plan: tuple[DataFrame, DataFrame, DataFrame], name: Column, kid: Column, block) -> DataFrame:
+    """Rows with _size, _source_size, _target, _copies and _shard (null for rows not taken) beside their own columns."""
+    sources, blocks, taken = plan
+    s = sources.select(F.col("name").alias("_s_name"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("blocks").alias("_s_blocks"))
+    b = blocks.select(F.col("name").alias("_b_name"), F.col("block").alias("_b_block"), F.col("copies").alias("_b_copies"), F.col("shard").alias("_b_shard"), F.col("cut").isNotNull().alias("_b_cut"))
+    t = taken.select(F.col("name").alias("_t_name"), F.col("kid").alias("_t_kid"))
+    out = rows.withColumn("_name", name).withColumn("_kid", kid).join(s, F.col("_name") == F.col("_s_name"))
+    out = out.withColumn("_block", block(F.col("_kid"), F.col("_source_size"), F.col("_s_blocks")))
+    out = out.join(b, (F.col("_name") == F.col("_b_name")) & (F.col("_block") == F.col("_b_block")), "left")
+    out = out.join(t, F.col("_b_cut") & (F.col("_name") == F.col("_t_name")) & (F.col("_kid") == F.col("_t_kid")), "left")
+    out = out.withColumn("_copies", F.coalesce(F.col("_b_copies") + F.col("_t_kid").isNotNull().cast("int"), F.lit(0)))
+    return out.withColumn("_shard", F.when(F.col("_copies") > 0, F.col("_b_shard")))
+
+
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """Decide how often every row is taken, and into which output shard.
+
+    Returns ``docs`` with _source_size, _target, _copies (0, 1 or 2), _shard (null if not taken) and _order (the local shuffle
+    key).  Null text has size 0; null source is a source of its own, last in order; rows with one key (null is a key) are taken
+    alike; empty input gives an empty result; extra columns pass through whatever their names, but for these five and other
+    names from ``OWN``, which are replaced or dropped.
+    """
+    own = [c for c in docs.columns if c in OWN]
+    docs = docs.drop(*own)
+    sizes = docs.select(_name(F.col(f"`{key}`")).alias("kid"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"))
+    plan = mix_sizes(materialize(sizes, "sizes"), weights, share, most, shard_words)
+
+    def block(kid: Column, source_size: Column, blocks: Column) -> Column:
+        # A text has at most as many words as every other byte of it, so most are not counted again.
+        short = (F.octet_length(F.coalesce(F.col(f"`{text}`"), F.lit(""))) + 1) * blocks < 4 * source_size
+        return F.when(short, _block(kid, F.lit(0), F.lit(1), blocks)).otherwise(_block(kid, word_count(F.col(f"`{text}`")), source_size, blocks))
+
+    out = _decide(docs, plan, _name(F.col(f"`{source}`")), _name(F.col(f"`{key}`")), block)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "_source_size", "_target", "_copies", "_shard", _rand("shuffle", F.col("_kid")).alias("_order"))
+
+
+OWN = {"_name", "_kid", "_block", "_source_size", "_target", "_copies", "_shard", "_order", "_s_name", "_s_blocks", "_b_name", "_b_block", "_b_copies", "_b_shard", "_b_cut", "_t_name", "_t_kid"}
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    m = mix(docs)
-    return m.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").cast("long").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).cast("long").alias("taken"))
+    docs = table(spark, sf_dir, "documents")
+    rows = materialize(docs.select("doc_id", _name(F.col("doc_id")).alias("kid"), "source", word_count("text").alias("size")), "sizes")
+    plan = mix_sizes(rows.select("kid", "source", "size"))
+    m = _decide(rows, plan, _name(F.col("source")), F.col("kid"), lambda kid, source_size, blocks: _block(kid, F.col("size"), source_size, blocks))
+    return m.select("doc_id", F.col("size").cast("long").alias("size"), F.col("_source_size").cast("long").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("size")).cast("long").alias("taken"), F.col("_shard").cast("int").alias("shard"))
+
+
+def _fit_sql(source: str, out: str, by: str, order: str, words: str, room: str) -> str:
+    """The passes of ``_fit`` as a chain of common table expressions."""
+    steps = [f"{out}_0 AS (SELECT *, false AS fits, CAST({room} AS DOUBLE) AS rest FROM {source})"]
+    for k in range(PASSES):
+        steps.append(f"{out}_{k}r AS (SELECT *, sum(CASE WHEN NOT fits AND {words} <= rest THEN {words} ELSE 0 END) OVER (PARTITION BY {by} ORDER BY {order} ROWS UNBOUNDED PRECEDING) AS run FROM {out}_{k})")
+        steps.append(f"{out}_{k}n AS (SELECT *, NOT fits AND {words} <= rest AND run <= rest AS fresh FROM {out}_{k}r)")
+        steps.append(f"{out}_{k + 1} AS (SELECT * EXCLUDE (fits, rest, run, fresh), fits OR fresh AS fits, rest - coalesce(sum(CASE WHEN fresh THEN {words} END) OVER (PARTITION BY {by}), 0) AS rest FROM {out}_{k}n)")
+    return ",\n".join([*steps, f"{out} AS (SELECT * FROM {out}_{PASSES})"])
+
+
+def _tree_sql() -> str:
+    """Three levels of the tree: enough for tables of up to eight shards' words."""
+    steps = ["n0 AS (SELECT name, unit, 0 AS node FROM drawn)"]
+    for k in range(LEVELS):
+        steps.append(f"m{k} AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY md5(concat_ws('|', 'split{k}', node, name, unit)), name, unit) AS rank, count(*) OVER (PARTITION BY node) AS many FROM n{k})")
+        steps.append(f"n{k + 1} AS (SELECT name, unit, node * 2 + CASE WHEN rank * 2 > many + node % 2 THEN 1 ELSE 0 END AS node FROM m{k})")
+    return ",\n".join([*steps, f"shards AS (SELECT name, row_number() OVER (PARTITION BY name ORDER BY node, unit) AS unit, node AS shard FROM n{LEVELS})"])
 
 
-OP3_SQL = r"""
+OP3_SQL = rf"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 4)) AS INTEGER) % 128 AS block
+  SELECT doc_id, source, coalesce('v' || doc_id, 'n') AS kid, coalesce('v' || source, 'n') AS name,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size
   FROM documents),
 s AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+  SELECT source, name, CAST(sum(size) AS BIGINT) AS source_size,
          CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS weight
-  FROM d GROUP BY source),
+  FROM d GROUP BY source, name),
 l AS (
   SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - 2.0::DOUBLE * coalesce(sum(source_size) OVER o, 0))
             / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0.0::DOUBLE)) AS level
   FROM s WINDOW o AS (ORDER BY source_size / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (
-  SELECT source, source_size,
-         least(2.0::DOUBLE * source_size, coalesce((SELECT level FROM l WHERE 2.0 * source_size > level * weight ORDER BY source_size / weight, source ASC NULLS LAST LIMIT 1), 1e300::DOUBLE) * weight)::DOUBLE AS target
+  SELECT name, source_size,
+         least(2.0::DOUBLE * source_size, coalesce((SELECT level FROM l WHERE 2.0 * source_size > level * weight ORDER BY source_size / weight, source ASC NULLS LAST LIMIT 1), 1e300::DOUBLE) * weight)::DOUBLE AS target,
+         greatest(1, CAST(ceil({PER_SHARD << LEVELS}::DOUBLE * source_size / greatest(sum(source_size) OVER (), 1)::DOUBLE) AS BIGINT)) AS blocks
   FROM l),
-p AS (
-  SELECT source, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS INTEGER) ELSE 0 END AS rounds FROM t),
 r AS (
-  SELECT d.doc_id, d.size, p.source_size, p.target, p.rounds, p.target - p.rounds * p.source_size AS part,
-         sum(d.size) OVER (PARTITION BY d.source
-           ORDER BY md5('block|' || coalesce(d.source, chr(0) || 'null') || '|' || d.block), d.block, md5('row|' || d.doc_id), d.doc_id
-           RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
-  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(size * (rounds + CASE WHEN upto <= part THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM r
+  SELECT d.doc_id, d.kid, d.name, d.size, t.source_size, t.target,
+         CASE WHEN size * blocks >= 2 * source_size THEN CASE WHEN size > 0 THEN 'k' || kid END
+              ELSE CAST(CAST('0x' || substr(md5('deal|' || kid), 1, 8) AS BIGINT) % blocks AS VARCHAR) END AS block
+  FROM d JOIN t ON d.name = t.name),
+b AS (
+  SELECT name, block, any_value(source_size) AS source_size, any_value(target) AS target, CAST(sum(size) AS BIGINT) AS words,
+         CASE WHEN any_value(source_size) > 0 THEN CAST(floor(any_value(target) / any_value(source_size)) AS INTEGER) ELSE 0 END AS rounds,
+         md5('block|' || name || '|' || block) AS place
+  FROM r WHERE block IS NOT NULL GROUP BY name, block),
+{_fit_sql("b", "f", "name", "place, block", "words", "target - rounds * source_size")},
+c AS (
+  SELECT *, NOT fits AND block[1] <> 'k' AND rest > 0
+            AND row_number() OVER (PARTITION BY name ORDER BY CASE WHEN NOT fits AND block[1] <> 'k' THEN 0 ELSE 1 END, place, block) = 1 AS cut,
+         rounds + CASE WHEN fits THEN 1 ELSE 0 END AS copies
+  FROM f),
+drawn AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY place, block) AS unit FROM c WHERE copies > 0 OR cut),
+{_tree_sql()},
+plan AS (SELECT drawn.name, block, copies, cut, rest, shard FROM drawn JOIN shards ON drawn.name = shards.name AND drawn.unit = shards.unit),
+i AS (
+  SELECT r.name, kid, CAST(sum(size) AS BIGINT) AS size, any_value(rest) AS room, md5('row|' || kid) AS place
+  FROM r JOIN plan ON r.name = plan.name AND r.block = plan.block AND cut GROUP BY r.name, kid),
+{_fit_sql("i", "g", "name", "place, kid", "size", "room")},
+z AS (
+  SELECT r.doc_id, r.size, r.source_size, r.target, plan.shard, coalesce(plan.copies + CASE WHEN plan.cut AND g.kid IS NOT NULL THEN 1 ELSE 0 END, 0) AS copies
+  FROM r LEFT JOIN plan ON r.name = plan.name AND r.block = plan.block LEFT JOIN (SELECT name, kid FROM g WHERE fits) g ON r.name = g.name AND r.kid = g.kid)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * copies AS BIGINT) AS taken, CASE WHEN copies > 0 THEN CAST(shard AS INTEGER) END AS shard
+FROM z
 """
 
 QUERIES = {"op3_mix_sources": op3_mix_sources}

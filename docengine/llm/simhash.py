@@ -11,7 +11,9 @@ pruned, and if even their varying bits together keep within four, one link joins
 split until single fingerprints meet.  A node keeps a spanning forest of its links, never all pairs.
 
 A node with more than ``NODE`` fingerprints (hot patterns, say a huge family of near copies) is dealt by hash into parts,
-and each pair of parts is handled as a node of its own, so that no task holds an unbounded group and no link is lost.
+and each pair of parts is handled as a node of its own, so that no task holds an unbounded group and no link is lost.  With
+more than eight times that, the bits that the node leaves open are cut into six fields first and the nodes below it, which fix
+two of these as well, take its place: 15 rows a fingerprint whatever the node's size, so large inputs don't grow by pairs.
 """
 
 from __future__ import annotations
@@ -21,16 +23,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import array_slices, connected_components, materialize, table
+from .common import array_slices, connected_components, drop_rows, materialize, table
 
 SHINGLE = 4
 DISTANCE = 4
-#: Bits of the six fields.
-FIELDS = (11, 11, 11, 11, 10, 10)
 NODE = 4096
 RUN = 8
 
@@ -164,31 +164,50 @@ def node_links(fp: np.ndarray, side: np.ndarray | None, distance: int = DISTANCE
     return forest.find(np.arange(len(fp)))
 
 
-def _patterns() -> list[tuple[int, int]]:
-    masks, at = [], 64
-    for width in FIELDS:
-        at -= width
-        masks.append(((1 << width) - 1) << at)
-    return [(k, masks[i] | masks[j]) for k, (i, j) in enumerate((i, j) for i in range(len(FIELDS)) for j in range(i + 1, len(FIELDS)))]
+def _fields(bits: list[int]) -> list[int]:
+    """Six masks that share the given bit places out among them."""
+    cuts = [round(k * len(bits) / 6) for k in range(7)]
+    return [sum(1 << b for b in bits[s:e]) for s, e in zip(cuts, cuts[1:], strict=False)]
+
+
+def _pairs(masks: list[int]) -> list[int]:
+    return [masks[i] | masks[j] for i in range(len(masks)) for j in range(i + 1, len(masks))]
+
+
+#: Masks of the upper nodes, and below each the masks of the nodes that fix two fields of the bits left open.
+PATTERNS = _pairs(_fields(list(range(63, -1, -1))))
+BELOW = [_pairs(_fields([b for b in range(63, -1, -1) if not m >> b & 1])) for m in PATTERNS]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def fingerprint_links(distinct: DataFrame, node: int = NODE) -> DataFrame:
-    """(fp) distinct fingerprints -> (a, b): links that span each component under every node."""
-    nodes = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for k, m in _patterns()])
-    keyed = distinct.select("fp", F.explode(nodes).alias("n")).select("fp", F.xxhash64("n.k", "n.bits").alias("node"))
-    counts = materialize(keyed.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "nodes")
+def _masked(masks: list[int]) -> Column:
+    return F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for k, m in enumerate(masks)])
+
+
+def _deal(keyed: DataFrame, node: int, counts: DataFrame) -> DataFrame:
+    """(node, fp) -> (node, fp, side): nodes as they are, and those with more than ``node`` fingerprints by pairs of parts."""
     big = counts.where(F.col("size") > node).select("node", F.ceil(F.col("size") / (node // 2)).cast("int").alias("parts"))
-    shared = keyed.join(counts.select("node", "size"), "node")
-    small = shared.where(F.col("size") <= node).select("node", "fp", F.lit(0).alias("side"))
+    small = keyed.join(counts.where(F.col("size") <= node).select("node"), "node").select("node", "fp", F.lit(0).alias("side"))
     hot = keyed.join(big, "node").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pair = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
-    hot = hot.select(pair.alias("node"), "fp", (F.col("own") > F.col("other")).cast("int").alias("side"))
-    dealt = small.unionAll(hot).repartition("node").sortWithinPartitions("node")
+    return small.unionAll(hot.select(pair.alias("node"), "fp", (F.col("own") > F.col("other")).cast("int").alias("side")))
+
+
+def fingerprint_links(distinct: DataFrame, node: int = NODE) -> DataFrame:
+    """(fp) distinct fingerprints -> (a, b): links that span each component under every node."""
+    keyed = distinct.select("fp", F.explode(_masked(PATTERNS)).alias("n")).select("fp", "n.k", F.xxhash64("n.k", "n.bits").alias("node"))
+    counts = materialize(keyed.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "nodes")
+    # Far too many for pairs of parts: the same again on the bits that the node leaves open, 15 rows a fingerprint.
+    deep = counts.where(F.col("size") > 8 * node).select("node")
+    under = F.element_at(F.array(*[_masked(m) for m in BELOW]), F.col("k") + 1)
+    lower = keyed.join(deep, "node").select("fp", "node", F.explode(under).alias("n")).select("fp", F.xxhash64("node", "n.k", "n.bits").alias("node"))
+    lower_counts = materialize(lower.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "nodes")
+    dealt = _deal(keyed.select("fp", "node"), node, counts.where(F.col("size") <= 8 * node)).unionAll(_deal(lower, node, lower_counts))
+    dealt = dealt.repartition("node").sortWithinPartitions("node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_node, held_fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -226,34 +245,45 @@ def fingerprint_links(distinct: DataFrame, node: int = NODE) -> DataFrame:
     return dealt.select("node", "fp").mapInArrow(run, "a long, b long")
 
 
+def _members(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(key, tag, fp) of every row and (c_fp, root) of every distinct fingerprint; ``tag`` tells rows of one key apart by their text."""
+    prints = materialize(docs.select(key, F.xxhash64(text).alias("tag"), fingerprint_udf(F.col(text)).alias("fp")), "prints")
+    classes = materialize(prints.select("fp").distinct(), "classes")
+    found = materialize(connected_components(fingerprint_links(classes)), "components")
+    return prints, materialize(classes.join(found, classes["fp"] == found["node"], "left").select(F.col("fp").alias("c_fp"), F.coalesce("component", "fp").alias("root")), "members")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fp, component): the fingerprint and the smallest key reachable over links, for every row.
 
     Null and empty texts have fingerprint zero and link like any other; equal texts share a fingerprint; rows with a null key are
     linked too but never name a component unless alone in it.  Extra columns are ignored; an empty table gives no rows.
     """
-    prints = materialize(docs.select(key, fingerprint_udf(F.col(text)).alias("fp")), "prints")
-    classes = materialize(prints.groupBy("fp").agg(F.min(key).alias("least")), "classes")
-    found = materialize(connected_components(fingerprint_links(classes.select("fp"))), "components")
-    named = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    roots = materialize(named.groupBy("root").agg(F.min("least").alias("component")), "roots")
-    member = materialize(named.join(roots, "root").select(F.col("fp").alias("c_fp"), "component"), "members")
-    return prints.join(member, prints["fp"] == member["c_fp"]).select(key, "fp", "component")
+    prints, member = _members(docs, key, text)
+    least = prints.groupBy("fp").agg(F.min(key).alias("least"))
+    roots = materialize(least.join(member, F.col("fp") == F.col("c_fp")).groupBy(F.col("root").alias("r_root")).agg(F.min("least").alias("component")), "roots")
+    named = materialize(member.join(roots, F.col("root") == F.col("r_root")).select("c_fp", "component"), "named")
+    return prints.join(named, prints["fp"] == named["c_fp"]).select(key, "fp", "component")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each component stays: the one with the smallest doc_id; columns unchanged.
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component stays: the one with the smallest key (of rows that share it, the one of the least hash of text).
 
-    Equal rows are kept once; rows that share a doc_id but not the text are told apart by their fingerprints.
+    Columns are unchanged.  Equal rows are kept once; a row with a null key stays only if its component has no other key.
+    Texts are read but hardly moved: decisions are made on fingerprints, and only rows that go meet the list of what goes.
     """
-    found = materialize(near_duplicates(docs), "near")
-    kept = materialize(found.where(F.col("doc_id").eqNullSafe(F.col("component"))).select(F.col("doc_id").alias("_keep")).distinct(), "kept")
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep"]), "left_semi")
-    repeated = materialize(found.groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("n")).where("n > 1").select("_again"), "again")
-    if repeated.isEmpty():
+    prints, member = _members(docs, key, text)
+    per = prints.groupBy("fp").agg(F.min(F.struct(F.col(key).isNull().alias("z"), F.col(key).alias("k"), F.col("tag").alias("t"))).alias("best"))
+    best = per.join(member, F.col("fp") == F.col("c_fp")).groupBy(F.col("root").alias("b_root")).agg(F.min("best").alias("best"))
+    best = materialize(best.select("b_root", "best.k", "best.t"), "best")
+    every = prints.select(key, "tag", "fp").join(member, F.col("fp") == F.col("c_fp")).join(best, F.col("root") == F.col("b_root"))
+    every = materialize(every.select(F.col(key).alias("_key"), F.col("tag").alias("_tag"), (F.col(key).eqNullSafe(F.col("k")) & (F.col("tag") == F.col("t"))).alias("_stays")), "every")
+    out = drop_rows(docs, [key, F.xxhash64(text)], materialize(every.where("not _stays").select("_key", "_tag").distinct(), "gone"))
+    again = materialize(every.where("_stays").groupBy("_key", "_tag").agg(F.count("*").alias("n")).where("n > 1").select("_key", "_tag"), "again")
+    if again.isEmpty():
         return out
-    same = out["doc_id"].eqNullSafe(repeated["_again"])
-    return out.join(repeated, same, "left_anti").unionByName(out.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_tag"))
+    return out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates([key, text]))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """The corpus pipeline: five stages from raw documents to a mixed training corpus.
 
 Each stage is a function (spark, docs, sf_dir) -> DataFrame; its result is written as Parquet and read again as the next
-stage's input.  All but the last return the columns of ``documents``; the last adds the output shard, the copy and the
-order inside the shard, and repeats documents as the mix takes them.
+stage's input.  All but the last return the columns of ``documents``; the last adds the output shard, its slice, the copy and
+the order inside the slice, and repeats documents as the mix takes them.
 """
 
 from __future__ import annotations
@@ -40,11 +40,17 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, dealt to shards and shuffled inside them."""
-    drawn = mix(docs).select(*docs.columns, F.posexplode("_shards").alias("copy", "shard"), "_order")
-    drawn = drawn.withColumn("order", F.md5(F.concat_ws("|", "_order", "copy").cast("binary"))).drop("_order")
-    drawn = drawn.withColumn("_slice", F.substring("order", 1, 1))
-    return drawn.repartition("shard", "_slice").sortWithinPartitions("shard", "order").drop("_slice")
+    """Documents as often as the mix takes them, dealt to shards and shuffled inside them.
+
+    A text moves once, to its shard and one of the shard's slices; its copies are made after that.  Columns that the documents
+    have under the names of the four that are added are replaced.
+    """
+    drawn = mix(docs.drop("shard", "slice", "copy", "order")).where("_copies > 0")
+    drawn = drawn.withColumn("shard", F.col("_shard")).withColumn("slice", F.substring("_order", 1, 1))
+    drawn = drawn.repartition("shard", "slice").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    drawn = drawn.withColumn("order", F.md5(F.concat_ws("|", "_order", "copy").cast("binary")))
+    kept = [c for c in docs.columns if c not in ("shard", "slice", "copy", "order")]
+    return drawn.sortWithinPartitions("shard", "slice", "order").select(*kept, "shard", "slice", "copy", "order")
 
 
 STAGES = [

@@ -128,6 +128,19 @@ def strings(col: pa.Array, rows: int = 256) -> Iterator[str]:
             yield text or ""
 
 
+def text_groups(col: pa.Array, chars: int = 1 << 20) -> Iterator[list[str]]:
+    """The same in lists of about so many characters."""
+    held, size = [], 0
+    for text in strings(col, 64):
+        held.append(text)
+        size += len(text)
+        if size >= chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """The same over record batches: yields (rows of the run, bytes, offsets)."""
     for batch in batches:

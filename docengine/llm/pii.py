@@ -1,9 +1,10 @@
 """Operator 4: personal data.  Fixed patterns, and a linear-chain CRF over word shapes that adds spans.
 
 The CRF is trained on the driver from the small labelled table below (whole run: about a second), by gradient ascent on the
-penalised log likelihood with forward-backward recursions in numpy.  Tasks decode with Viterbi in padded batches.
-Chains are the runs of words within three words of one that holds a digit or an at sign: no other word shape
-carries a label in training, so words farther away are outside by definition of the operator.
+penalised log likelihood with forward-backward recursions in numpy.  A whole text is one chain; every word is scored.  Words
+of equal features share one row of weights, so scoring is a gather.  Tasks decode with Viterbi in padded batches, and only
+where it can matter: words that no run of other states around them could win back from "outside", by an upper bound on scores
+and transitions, are outside in the best path, so the chain may be cut there without changing the path.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import strings, table
+from .common import table, text_groups
 
 KINDS = ("email", "ip", "card", "phone")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+", re.ASCII)
@@ -78,27 +79,41 @@ follow @someone and @other there
 the a1 road and b2 road
 words only and nothing else here
 call me at the end dot
+the river runs past the old mill and the children play there
+We went to Paris in spring, and Anna met us at the station.
+Nothing more was said; the meeting ended early (as planned).
+a short line at home
+one more thing: prices rise, wages fall, people wait
+At at At he said at last, at At home
+they sat at the table and ate dot after dot of paint
+er sagte nichts und ging nach Hause
+il y a longtemps que je t'aime, dit-elle
+no hay nada que hacer por ahora
+THE END OF THE STORY
+license: free software under the same terms, e.g. a/b or c|d
+- first item * second item # heading
 """
 
 STATES = ("O", *KINDS)
-WINDOW = 3
+PUNCTUATION = ".,;:!?\"'"
+CUES = frozenset(("at", "dot", "(at)", "phone", "call", "tel", "fax", "card", "ip", "mail", "number", "contact", "to", "from", "host"))
 
 
 def shape(word: str) -> str:
     """Digits to 9, capitals to A, small letters to a; runs of the same sign longer than four are cut to four and marked."""
-    s = "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in word[:64])
-    return re.sub(r"(.)\1{4,}", r"\1\1\1\1+", s) + ("~" if len(word) > 64 else "")
+    s = "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in word)
+    return re.sub(r"(.)\1{4,}", r"\1\1\1\1+", s)
 
 
 def word_features(word: str) -> tuple[str, ...]:
-    core = word.strip(".,;:!?\"'")
+    core = word.strip(PUNCTUATION)
     s, digits = shape(core), sum(c.isdigit() for c in core)
     rough = re.sub(r"(.)\1+", r"\1", s)
     out = [f"s={s}", f"r={rough}", f"d={min(digits, 20) // 2 if digits > 4 else digits}", f"dots={min(core.count('.'), 4)}{'9' if digits and not any(c.isalpha() for c in core) else 'a'}"]
     out += [f"c={c}" for c in "@+()-:" if c in core]
     if digits + sum(c in ".-() +" for c in core) == len(core) and digits:
         out.append("numeric")
-    if core.lower() in ("at", "dot", "(at)", "phone", "call", "tel", "fax", "card", "ip", "mail", "number", "contact", "to", "from", "host"):
+    if core.lower() in CUES:
         out.append(f"w={core.lower()}")
     return tuple(out)
 
@@ -121,18 +136,120 @@ def labelled_chains() -> list[tuple[list[str], list[int]]]:
     return out
 
 
+def alike(word: str) -> str:
+    """A word with the same features; plain words, most by far, share one for each length up to five and case."""
+    core = word.strip(PUNCTUATION)
+    if core.isalpha() and core.lower() not in CUES:
+        if core.islower():
+            return "aaaaa"[: len(core)]
+        if core[0].isupper() and (len(core) == 1 or core[1:].islower()):
+            return "A" + "aaaaa"[: len(core) - 1]
+    return word
+
+
 class Crf:
     """Weights by feature and state, transitions by state pair."""
 
     def __init__(self, weights: dict[str, np.ndarray], moves: np.ndarray):
         self.weights, self.moves = weights, moves
+        self.rows: dict[str, int] = {}
+        #: For each row: what a word gives to itself, to the next one and to the one before.
+        self.given, self.used = np.zeros((3, 1024, len(STATES))), 0
+        # The most that transitions give to a run of other states against "outside": for each word, and for both ends together.
+        rise = moves - moves[0, 0]
+        self.step = float(rise[1:, 1:].max())
+        self.ends = max(0.0, float(rise[0, 1:].max())) + max(0.0, float(rise[1:, 0].max())) - self.step
+
+    def __reduce__(self):
+        return Crf, (self.weights, self.moves)
+
+    def _sum(self, features) -> np.ndarray:
+        return sum((self.weights[f] for f in features if f in self.weights), np.zeros(len(STATES)))
+
+    def row(self, word: str) -> int:
+        """Row of the word's weights; the table is kept, and emptied once it is large."""
+        at = self.rows.get(word)
+        if at is None:
+            like = alike(word)
+            at = self.rows.get(like)
+            if at is None:
+                own, at = word_features(like), self.used
+                if at == self.given.shape[1]:
+                    self.given = np.concatenate([self.given, np.zeros_like(self.given)], 1)
+                for k, mark in enumerate(("", "-1", "+1")):
+                    self.given[k, at] = self._sum(mark + f for f in own)
+                self.rows[like] = at
+                self.used += 1
+            if len(word) <= 64:
+                self.rows[word] = at
+        return at
+
+    def emissions(self, texts: list[list[str]]) -> np.ndarray:
+        """Scores by word and state, of the words of all texts one after the other."""
+        if len(self.rows) > 1 << 17:
+            self.rows, self.used = {}, 0
+        row = self.row
+        ids = np.fromiter((row(w) for words in texts for w in words), np.int64)
+        if not len(ids):
+            return np.zeros((0, len(STATES)))
+        own, ahead, behind = self.given
+        out = own[ids]
+        out[1:] += ahead[ids[:-1]]
+        out[:-1] += behind[ids[1:]]
+        ends = np.cumsum([len(w) for w in texts if w])
+        starts = np.concatenate([[0], ends[:-1]])
+        inner = starts[1:]
+        out[inner] -= ahead[ids[inner - 1]]
+        out[inner - 1] -= behind[ids[inner]]
+        out[starts] += self.weights.get("-1edge", 0.0)
+        out[ends - 1] += self.weights.get("+1edge", 0.0)
+        return out
 
-    def emissions(self, words: list[str]) -> np.ndarray:
-        zero = np.zeros(len(STATES))
-        return np.array([sum((self.weights[f] for f in fs if f in self.weights), zero) for fs in chain_features(words)])
+    def tag(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """State of each word of each text, as Viterbi over the whole text gives it."""
+        e = self.emissions(texts)
+        state = np.zeros(len(e), np.int8)
+        sizes = np.array([len(w) for w in texts], np.int64)
+        ends = np.cumsum(sizes)
+        at = np.flatnonzero(self.undecided(e, sizes))
+        if len(at):
+            text = np.searchsorted(ends, at, "right")
+            new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (text[1:] != text[:-1])]))
+            last = at[np.concatenate([new[1:], [len(at)]]) - 1]
+            first, text = at[new], text[new]
+            begins, stops = (ends - sizes)[text], ends[text] - 1
+            runs = [e[max(s - 1, b) : min(t + 1, z) + 1] for s, t, b, z in zip(first.tolist(), last.tolist(), begins.tolist(), stops.tolist(), strict=True)]
+            for s, t, b, path in zip(first.tolist(), last.tolist(), begins.tolist(), self.decode(runs), strict=True):
+                lead = int(s > b)
+                state[s : t + 1] = path[lead : lead + t + 1 - s]
+        return np.split(state, ends[:-1]) if len(ends) else []
+
+    def undecided(self, e: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Words that may be in a state other than "outside".
+
+        If the best path has such a run, setting all of it to "outside" can't score more.  So the sum over the run of what each word
+        can win at most, ``step`` included, and ``ends`` reaches zero; a word is decided if no run around it does.
+        """
+        if not len(e):
+            return np.zeros(0, bool)
+        win = np.append((e[:, 1:] - e[:, :1]).max(1) + self.step, 0.0)
+        ends = np.cumsum(sizes)
+        starts = np.where(sizes > 0, ends - sizes, len(e))
+        out = np.zeros(len(e), bool)
+        rough = win[:-1] > -1e-9 - min(0.0, self.ends)  # runs need a word that wins
+        if not rough.any():
+            return out
+        for s, t in zip(starts.tolist(), ends.tolist(), strict=True):
+            if s < t and rough[s:t].any():
+                w = win[s:t]
+                c = np.concatenate([[0.0], np.cumsum(w)])
+                left = c[1:] - np.minimum.accumulate(c[:-1])  # best run that ends at each word
+                right = np.maximum.accumulate(c[:0:-1])[::-1] - c[:-1]  # and that starts there
+                out[s:t] = left + right - w + self.ends >= -1e-6
+        return out
 
-    def decode(self, chains: list[list[str]], size: int = 512) -> list[np.ndarray]:
-        """Viterbi over padded batches of chains of like length."""
+    def decode(self, chains: list[np.ndarray], size: int = 512) -> list[np.ndarray]:
+        """Viterbi over padded batches of chains (scores by word and state) of like length."""
         out: list[np.ndarray] = [np.zeros(0, int)] * len(chains)
         order = sorted(range(len(chains)), key=lambda i: len(chains[i]))
         i = 0
@@ -141,7 +258,7 @@ class Crf:
             while k < len(order) and k - i < size and len(chains[order[k]]) <= 2 * len(chains[order[i]]) + 8:
                 k += 1
             part = order[i:k]
-            e = [self.emissions(chains[j]) for j in part]
+            e = [chains[j] for j in part]
             longest = max(map(len, e))
             pad = np.zeros((len(e), longest, len(STATES)))
             for row, x in enumerate(e):
@@ -250,52 +367,35 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 _WORD = re.compile(r"\S+")
-_TRIGGER = re.compile(r"[0-9@]")
-
-
-def chains_of(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of word spans within WINDOW words of a word with a digit or an at sign."""
-    if not _TRIGGER.search(text):
-        return []
-    spans = [m.span() for m in _WORD.finditer(text)]
-    hits = [i for i, (s, e) in enumerate(spans) if _TRIGGER.search(text, s, e)]
-    out, at = [], 0
-    while at < len(hits):
-        first = last = hits[at]
-        while at < len(hits) and hits[at] - last <= 2 * WINDOW:
-            last = hits[at]
-            at += 1
-        out.append(spans[max(0, first - WINDOW) : last + WINDOW + 1])
-    return out
 
 
 def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], model: Crf) -> list[list[tuple[int, int, int]]]:
     """Spans of the chain model that overlap no base span, for each text."""
-    where, chains, words = [], [], []
-    for i, text in enumerate(texts):
-        for chain in chains_of(text):
-            where.append(i)
-            chains.append(chain)
-            words.append([text[s:e] for s, e in chain])
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for i, chain, path in zip(where, chains, model.decode(words), strict=True):
-        t = 0
-        while t < len(path):
-            state, end = path[t], t
-            while end + 1 < len(path) and path[end + 1] == state:
-                end += 1
-            if state:
-                s, e = chain[t][0], chain[end][1]
-                while e > s and texts[i][e - 1] in ".,;:!?\"'":
-                    e -= 1
-                while s < e and texts[i][s] in "\"'":
-                    s += 1
-                if s < e and not any(b[1] < e and s < b[2] for b in base[i]):
-                    out[i].append((int(state) - 1, s, e))
-            t = end + 1
+    for i, path in enumerate(model.tag([_WORD.findall(t) for t in texts])):
+        if not path.any():
+            continue
+        text, spans, t = texts[i], [m.span() for m in _WORD.finditer(texts[i])], 0
+        hits = np.flatnonzero(path)
+        for s, e in zip(hits[_first(path, hits)].tolist(), hits[_last(path, hits)].tolist(), strict=True):
+            state, t, end = int(path[s]), spans[s][0], spans[e][1]
+            while end > t and text[end - 1] in PUNCTUATION:
+                end -= 1
+            while t < end and text[t] in "\"'":
+                t += 1
+            if t < end and not any(b[1] < end and t < b[2] for b in base[i]):
+                out[i].append((state - 1, t, end))
     return out
 
 
+def _first(path: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    return np.concatenate([[True], (hits[1:] != hits[:-1] + 1) | (path[hits[1:]] != path[hits[:-1]])])
+
+
+def _last(path: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    return np.concatenate([_first(path, hits)[1:], [True]])
+
+
 def shown(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
@@ -306,7 +406,8 @@ FOUND = T.StructType([T.StructField(f"n_{k}", T.LongType()) for k in KINDS] + [T
 def find_pii(docs: DataFrame, text: str = "text", model: Crf | None = None) -> DataFrame:
     """``docs`` with counts, digest and spans in ``_pii``.
 
-    Null texts are empty; rows are independent, so repeated rows get the same result; extra columns stay.
+    Null texts are empty; rows are independent, so repeated rows get the same result; extra columns stay, but for one named
+    ``_pii``, which is replaced.
     """
     crf = model or trained()
 
@@ -314,8 +415,7 @@ def find_pii(docs: DataFrame, text: str = "text", model: Crf | None = None) -> D
     def find(texts: pa.Array) -> pa.Array:
         counts: list[list[int]] = [[] for _ in KINDS]
         digests, spans = [], []
-        for start in range(0, len(texts), 128):
-            part = list(strings(texts.slice(start, 128)))
+        for part in text_groups(texts):
             base = [base_spans(t) for t in part]
             for b, new in zip(base, added_spans(part, base, crf), strict=True):
                 for k in range(len(KINDS)):

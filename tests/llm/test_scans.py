@@ -61,9 +61,24 @@ def test_pii(spark, real):
 
 
 def test_pii_adds_spans():
-    text = "write to joe at mail dot example dot org soon, or call 415-555-0199 now"
-    (found,) = pii.added_spans([text], [pii.base_spans(text)], pii.trained())
-    assert {pii.KINDS[k] for k, _, _ in found} & {"phone", "email"}
+    plain = "the river runs past the old mill and the children play there "
+    for text, want in (
+        ("write to joe at mail dot example dot org soon, or call 415-555-0199 now", {("email", "joe at mail dot example dot org"), ("phone", "415-555-0199")}),
+        (plain * 40 + "contact sales at example dot com for prices " + plain * 40, {("email", "sales at example dot com")}),
+        (plain * 3 + "At At At at the end", set()),
+        ("", set()),
+    ):
+        (found,) = pii.added_spans([text], [pii.base_spans(text)], pii.trained())
+        assert {(pii.KINDS[k], text[s:e]) for k, s, e in found} == want
+
+
+def test_pii_scores_every_word(spark):
+    """Decided words are those that Viterbi over whole texts leaves outside."""
+    texts = [(r.text or "").split() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    texts += [["at", "dot", "9"] * 50, [], ["x" * 300 + "@"], "ann dot b at c dot de 555 0123 (at) z".split()]
+    model = pii.trained()
+    scores = [model.emissions([t]) for t in texts if t]
+    assert all((a == b).all() for a, b in zip(model.decode(scores), (p for p, t in zip(model.tag(texts), texts, strict=True) if t), strict=True))
 
 
 @pytest.mark.parametrize("real", [False, True])
@@ -92,6 +107,35 @@ def test_constants_of_many_pieces_are_whole():
     assert [grown[s:e] for s, e in secrets.lex_spans(grown)] == ["aB3x", "z9"]
 
 
+LITERAL = "aB3xK9qLm2Zt77Qp"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        'password: str = "#"', 'config["password"] = "#"', "self.config['db']['password'] = '#'", 'var apiToken string = "#"', 'let token: &str = "#";', 'char secret_key[] = "#"',
+        'String password = "#";', '<add key="DbPassword" value="#"/>', '{"name": "DB_PASSWORD", "value": "#"}', "- name: DB_TOKEN\n  value: #\n", "database:\n  auth:\n    password: #\n", 'secrets:\n  db: "#"\n',
+        '"secret": {"inner": "#"}', 'pwd = """#"""', "client_secret: |\n  #\n", 'password = SecretStr("#")', 'connect(user="x", password="#")', "export API_KEY=#", "don't set password='#' or it's bad", 'password=(\n "#"\n)', "opts = { apiKey: `#` }",
+    ],
+)
+def test_secrets_lexer_finds(text):
+    text = text.replace("#", LITERAL)
+    assert [text[s:e] for s, e in secrets.lex_spans(text)] == [LITERAL]
+
+
+@pytest.mark.parametrize("text", ['password = os.environ["X"]', 'password = os.getenv("DB_PASSWORD_NAME_1")', 'token = config.get("token_name_abcdefgh1")', "password: str", "password = self.password", 'if password == "abcdefgh12345678":', "https://secret:80/path", 'title = "aB3xK9qLm2Zt77Qp"', "", "password ="])
+def test_secrets_lexer_leaves(text):
+    assert secrets.lex_spans(text) == []
+
+
+def test_secrets_long_and_clashing(spark):
+    long = "x = 1\n" * 200_000 + f'password = "{LITERAL}"\n' + "it's \"a\" : b, " * 50_000
+    df = spark.createDataFrame([(1, long, "a"), (1, long, "a"), (2, None, "b")], "doc_id long, text string, _scan string")
+    got = secrets.scan(df).select("doc_id", "_scan.spans").collect()
+    at = long.index(LITERAL)
+    assert sum(f"lex:{at}:{at + 16}" in r.spans for r in got) == 2 and secrets.redact(df).columns == df.columns
+
+
 def test_quality(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = quality.op6_quality(spark, "/root/testdata/sf0.01").join(labels, "doc_id").where("held_out").collect()
@@ -118,3 +162,28 @@ def test_chat_layouts(spark):
     df = spark.createDataFrame([(i, r) for i, r in enumerate(records)], "i int, record string")
     got = [r.turns and [tuple(t) for t in r.turns] for r in chat.canonical_turns_json(df).orderBy("i").collect()]
     assert got[:4] == [[("user", "a"), ("assistant", "b")]] * 4 and got[4:] == [None] * 3
+
+
+def test_chat_mixed_messages_and_extra_fields(spark):
+    records = ['{"messages":[{"role":"user","content":"a","name":"x"},{"role":"assistant","text":"b"},{"from":"gpt","value":"c"}],"id":7}', '{"messages":[{"role":"user"}]}', '{"messages":[]}', '{"id":1,"prompt":"a","response":null}']
+    got = [r.turns and [tuple(t) for t in r.turns] for r in chat.canonical_turns_json(spark.createDataFrame(list(enumerate(records)), "i int, record string")).orderBy("i").collect()]
+    assert got == [[("user", "a"), ("assistant", "b"), ("assistant", "c")], None, [], [("user", "a"), ("assistant", None)]]
+
+
+def test_chat_layout_is_chosen_by_fingerprint(spark):
+    """The hash of known field paths decides; a registry without that hash has no mapping."""
+    df = spark.createDataFrame([(1, 0, "user", "hi", "i", "n", "o", "c", "t", "f")], "conv_id long, turn long, role string, text string, instruction string, input string, output string, content string, turns string, _rec string")
+    found = chat.layout_of(df.schema)
+    assert found == (chat.fingerprint_of(["text", "role"]), ("role", "text"))
+    same = spark.range(1).select(chat.fingerprint(chat.F.array(chat.F.lit("text"), chat.F.lit("role"))).alias("h")).first().h
+    assert same == found[0]
+    assert [tuple(t) for t in chat.format_conversations(df).first().turns] == [("user", "hi")]
+    assert chat.layout_of(df.select("conv_id").schema) is None
+    with pytest.raises(ValueError):
+        chat.canonical_turns(df.select("conv_id"))
+
+
+def test_chat_long_text(spark):
+    text = "#<\\ </turn>\n### user: " * 40_000
+    df = spark.createDataFrame([(1, 0, "user", text), (1, 0, "user", text), (1, None, None, "z")], "conv_id long, turn long, role string, text string")
+    assert [tuple(t) for t in chat.format_conversations(df).first().turns] == [("", "z"), ("user", text), ("user", text)]

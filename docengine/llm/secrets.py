@@ -1,7 +1,9 @@
 """Operator 10: secret scans by assignment-aware lexing, beside three fixed patterns.
 
-The lexer reads source and configuration syntax into (name, operator, value) statements, keeps the literals
-that names stand for while it goes through the text (constants assigned to another name, joined literals), and scores
+The lexer reads source and configuration syntax token by token into name-literal pairs: plain, dotted, quoted and subscripted
+names, annotated and typed declarations, key and value attributes, keys above a block (by indentation or brackets), joined
+and triple-quoted literals, block scalars and literals in calls that wrap them; what a call fetches or a subscript reads is
+no literal.  It keeps what names stand for while it goes through the text (constants assigned to another name), and scores
 each literal by the name it ends up under and by its own make-up.  A literal that reaches the threshold is a span of
 kind ``lex``.  Texts are handled whole, one by one, in Arrow batches; rows never meet, so there is no shuffle.
 """
@@ -34,10 +36,19 @@ LEX_THRESHOLD = 3.5
 HEAD = 16
 
 _HINT = re.compile(r"passw|passphrase|pwd|secret|token|key|credential|auth|bearer|signing|connection_string")
-_NAME = r"[A-Za-z_][A-Za-z0-9_]*(?:[.-][A-Za-z0-9_]+)*"
-_VALUE = r"""(?:"(?P<dq>(?:[^"\\\n]|\\.)*+)"|'(?P<sq>(?:[^'\\\n]|\\.)*+)'|(?P<bare>[A-Za-z0-9+/_.=$@!%-]++))"""
-STATEMENT = re.compile(rf"""(?<![A-Za-z0-9_.-])(?P<q>["']?)(?P<name>{_NAME})(?P=q)[\x20\t]*(?::=|=>|=(?!=)|:(?!/))[\x20\t]*{_VALUE}""")
-_MORE = re.compile(r"""[\x20\t]*[+.][\x20\t]*(?:"(?P<dq>(?:[^"\\\n]|\\.)*+)"|'(?P<sq>(?:[^'\\\n]|\\.)*+)'|(?P<bare>[A-Za-z_][A-Za-z0-9_.-]*))""")
+_STRING = r"""(?:(?<!\w)[rRbBfFuUL]{1,2})?(?:\"{3}(?P<dq3>(?:[^"\\]|\\.|"(?!""))*+)\"{3}|'{3}(?P<sq3>(?:[^'\\]|\\.|'(?!''))*+)'{3}|"(?P<dq>(?:[^"\\\n]|\\.)*+)"|(?<![A-Za-z0-9])'(?P<sq>(?:[^'\\\n]|\\.)*+)'|`(?P<bq>[^`\n]*+)`)"""
+STRINGS = ("dq3", "sq3", "dq", "sq", "bq")
+#: Tokens of source and configuration files alike; a line break takes the next line's indentation along.
+TOKEN = re.compile(rf"""(?P<str>{_STRING})|(?P<name>[A-Za-z_$@][A-Za-z0-9_$]*(?:-[A-Za-z0-9_]+)*)|(?P<assign>:=|=>|=(?![=~])|:(?![:/]))|(?P<skip>[=!<>]=|::|->|[0-9]+)|(?P<line>\n[\x20\t]*(?:-[\x20]+)?)|(?P<op>[^\s])""", re.DOTALL)
+_VALUE = re.compile(rf"(?P<str>{_STRING})|(?P<bare>[A-Za-z0-9+/_.=$@!%~^*#?&-]++)", re.DOTALL)
+_BLANK = re.compile(r"(?:[\x20\t]|\\\n)*")
+_LOOSE = re.compile(r"[\s]*")
+_BLOCK = re.compile(r"[|>][+-]?[\x20\t]*\n[\x20\t]+(?P<block>[^\n]+)")
+_PATH = re.compile(r"[A-Za-z_$][A-Za-z_]*(?:\.[A-Za-z_]+)+")
+_NAME = re.compile(r"[A-Za-z_$@][A-Za-z0-9_$]*(?:[.-][A-Za-z0-9_$]+)*")
+#: Calls of these kinds fetch what they return; their arguments aren't it.
+_FETCHES = re.compile(r"env|get|read|input|prompt|fetch|load|find|param|query|vault|lookup|config|request", re.IGNORECASE)
+_DECLARES = ("var", "let", "const", "val", "static", "final", "auto")
 
 
 def name_score(name: str) -> float:
@@ -85,31 +96,170 @@ def literal_score(value: str) -> float:
     return Held(value).score()
 
 
+class Lexer:
+    """One pass over a text's tokens: name-literal pairs, with what names stand for and the keys around them."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.held: dict[str, Held] = {}
+        self.found: set[tuple[int, int]] = set()
+
+    def _string(self, m: re.Match) -> tuple[int, int]:
+        return next(m.span(k) for k in STRINGS if m.group(k) is not None)
+
+    def _call(self, at: int, new: Held | None) -> int:
+        """From an opening bracket to behind its partner (or the line's end); literals inside go to ``new``."""
+        depth = 0
+        while (m := TOKEN.search(self.text, at)) and m.lastgroup != "line":
+            at = m.end()
+            if m["str"] is not None:
+                if new is not None:
+                    self._add(new, *self._string(m))
+            elif m[0] in "([{":
+                depth += 1
+            elif m[0] in ")]}":
+                depth -= 1
+                if depth <= 0:
+                    break
+        return at
+
+    def _add(self, new: Held, s: int, e: int) -> None:
+        new.spans.append((s, e))
+        new.join(self.text[s : min(e, s + HEAD)], self.text[s:e])
+
+    def value(self, at: int) -> tuple[Held, int, bool]:
+        """The expression from ``at`` on: joined literals and names -> (what it stands for, its end, is there one)."""
+        text, new, gap, some = self.text, Held(), _BLANK, False
+        at = gap.match(text, at).end()
+        if text[at : at + 1] == "(":
+            gap, at = _LOOSE, _LOOSE.match(text, at + 1).end()
+        elif block := _BLOCK.match(text, at):
+            self._add(new, *block.span("block"))
+            return new, block.end(), True
+        while m := _VALUE.match(text, at):
+            if m["str"] is not None:
+                self._add(new, *self._string(m))
+                at = m.end()
+            else:
+                bare, at = m["bare"], m.end()
+                follows = text[at : at + 1]
+                if follows in ("(", "["):
+                    at = self._call(at, None if follows == "[" or _FETCHES.search(bare) else new)
+                    while text[at : at + 1] in ("(", "["):
+                        at = self._call(at, None)
+                elif bare in self.held:
+                    new.parts.append(self.held[bare])
+                    new.join(self.held[bare].head, self.held[bare].counts)
+                elif not some and not _PATH.fullmatch(bare):
+                    self._add(new, *m.span("bare"))
+                    return new, at, True
+            some = True
+            nxt = gap.match(text, at).end()
+            if text[nxt : nxt + 1] in ("+", "."):
+                at = gap.match(text, nxt + 1).end()
+            elif nxt < len(text) and text[nxt] in "\"'" and m["str"] is not None:  # literals side by side
+                at = nxt
+            else:
+                break
+        return new, at, some
+
+    def assign(self, names: list[str], new: Held) -> None:
+        """The last name is the target; those before it are the keys around it, which count a little less."""
+        self.held[names[-1]] = new
+        score = max(name_score(names[-1]), *(name_score(n) - 0.5 for n in names[:-1]), 0.0)
+        if score > 0 and score + new.score() >= LEX_THRESHOLD:
+            new.collect(self.found)
+
+    def run(self) -> list[tuple[int, int]]:
+        text, at = self.text, 0
+        line: list[tuple[str, str]] = []  # (kind, text) of the statement's tokens so far
+        around: list[tuple[int, str]] = []  # keys above, by indentation; inside brackets by depth from 1000 on
+        indent = depth = 0
+        label: str | None = None  # the literal of a key= or name= attribute, until its value comes
+        while m := TOKEN.search(text, at):
+            at, kind = m.end(), m.lastgroup if m["str"] is None else "str"
+            if kind == "line":
+                line, indent = [], len(m[0]) - 1
+                continue
+            if kind == "str":
+                s, e = self._string(m)
+                line.append(("str", text[s:e]))
+                continue
+            if kind == "op" and m[0] in "{};,()<>":
+                depth += (m[0] == "{") - (m[0] == "}")
+                if m[0] in "}>;":
+                    label = None
+                if m[0] == "}":
+                    around = [a for a in around if a[0] <= 1000 + depth]
+                line = [] if m[0] not in "<>" or not any(k == "assign" for k, _ in line) else line + [("op", m[0])]
+                continue
+            if kind != "assign":
+                line.append((kind, m[0]))
+                continue
+            name = _target(line, m[0])
+            line.append(("assign", m[0]))
+            if name is None:
+                continue
+            new, end, some = self.value(at)
+            level = 1000 + depth if depth > 0 else indent
+            around = [a for a in around if a[0] < level or depth > 0 and a[0] < 1000]
+            if not some:  # a key alone on its line, or before a bracket: it stands around what follows
+                around.append((level, name))
+                continue
+            short = name.rpartition(".")[2].lower()
+            if short in ("key", "name", "id") and new.spans and not new.parts:
+                label = text[new.spans[0][0] : new.spans[0][1]]
+            names = [n for _, n in around] + [name]
+            if short in ("value", "val", "content", "default") and label:
+                names, label = [*names, label], None
+            self.assign(names, new)
+            # A value that is a bare type (as in name: type = literal) leaves its target to the next sign.
+            tail = text[at:end].strip().lstrip("&*")
+            line.append(("name", tail) if _NAME.fullmatch(tail) else ("value", ""))
+            at = max(at, end)
+        return sorted(self.found)
+
+
+def _target(line: list[tuple[str, str]], sign: str) -> str | None:
+    """What the tokens before an assignment sign name: a key, a dotted name, a subscript, a declared or an annotated name."""
+    i = len(line)
+    if sign == "=":  # name: type = ...  The type may have brackets and dots.
+        k = i - 1
+        while k > 0 and line[k][0] in ("name", "op", "skip") and line[k][1] not in ("{", "}"):
+            k -= 1
+        if 0 < k < i - 1 and line[k] == ("assign", ":"):
+            i = k
+    if not i:
+        return None
+    kind, word = line[i - 1]
+    if kind == "str":
+        return word if 0 < len(word) <= 256 and "\n" not in word else None
+    if kind == "op" and word == "]":
+        k = next((k for k in range(i - 2, -1, -1) if line[k] == ("op", "[")), None)
+        if k is None:
+            return None
+        inner = [w for kd, w in line[k + 1 : i - 1] if kd in ("str", "name")]
+        base = _target(line[:k], ":")
+        return ".".join([*([base] if base else []), *inner]) or None
+    if kind != "name":
+        return None
+    k = i - 1
+    while k >= 2 and line[k - 1][1] in (".", "-") and line[k - 2][0] == "name":
+        k -= 2
+    if k and line[k - 1][1] == "/":  # a path or an address
+        return None
+    name = ".".join(w for _, w in line[k:i:2])
+    # var name type = ...
+    if sign == "=" and k == i - 1 and i >= 3 and line[i - 2][0] == "name" and line[i - 3][1] in _DECLARES and not name_score(name):
+        return line[i - 2][1]
+    return name
+
+
 def lex_spans(text: str) -> list[tuple[int, int]]:
     """Spans of the literals that a sensitive name stands for, in order."""
     if ("=" not in text and ":" not in text) or not _HINT.search(text.lower()):
         return []
-    held: dict[str, Held] = {}
-    found: set[tuple[int, int]] = set()
-    for m in STATEMENT.finditer(text):
-        kind = m.lastgroup
-        new = Held()
-        at = m
-        while at:
-            kind = next(k for k in ("dq", "sq", "bare") if at.group(k) is not None)
-            value = at.group(kind)
-            if kind == "bare" and value in held:
-                new.parts.append(held[value])
-                new.join(held[value].head, held[value].counts)
-            elif kind != "bare" or at is m:
-                new.spans.append(at.span(kind))
-                new.join(value[:HEAD], value)
-            at = _MORE.match(text, at.end()) if kind != "bare" or value in held else None
-        name = m["name"]
-        held[name] = new
-        if (score := name_score(name)) and score + new.score() >= LEX_THRESHOLD:
-            new.collect(found)
-    return sorted(found)
+    return Lexer(text).run()
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -159,7 +309,7 @@ def redact_udf(texts: pa.Array) -> pa.Array:
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the result of the scan in ``_scan``.  Null texts scan as empty; rows are independent of each other."""
+    """``docs`` with the result of the scan in ``_scan`` (a column of that name is replaced).  Null texts scan as empty; rows are independent."""
     return docs.withColumn("_scan", scan_udf(F.col(text)))
 
 

@@ -3,7 +3,7 @@
 Native: DataFrame functions only.  A layout is described by the sorted paths of its nested fields
 (``messages[].role`` and so on); the hash of these paths picks a mapping, and the mapping is a SQL
 expression that yields ``array<struct<role, text>>``.  For tables the paths come from the schema
-(no data is read); for columns of JSON records they come from each record, so one table may mix layouts.
+(no data is read); for columns of JSON records they come from each record and each message, so one table may mix layouts.
 
 Canonical turns are rendered with a template that marks turns and escapes control characters inside texts:
 backslash, hash, less-than and (in roles) colon become two-character codes, so no text can contain
@@ -12,6 +12,9 @@ a turn header or terminator, and decoding is exact.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,74 +58,99 @@ def fingerprint(paths: Column) -> Column:
     return F.xxhash64(F.array_join(F.array_sort(F.array_distinct(paths)), "\n"))
 
 
-def _turn(role: str, text: str) -> str:
-    return f"named_struct('role', cast({role} as string), 'text', cast({text} as string))"
+def fingerprint_of(paths: Iterable[str]) -> int:
+    """The same number for paths known before any data is read (Spark's hash is XXH64 with seed 42)."""
+    h = xxhash.xxh64_intdigest("\n".join(sorted(set(paths))), 42)
+    return h - (1 << 64) if h >> 63 else h
 
 
-def _list(field: str, role: str, text: str) -> str:
-    return f"transform({{r}}.{field}, m -> {_turn(f'm.{role}', f'm.{text}')})"
+def _turn(role: str, text: str) -> str:
+    return f"named_struct('role', cast({role} as string), 'text', cast({text} as string))"
 
 
-#: Field paths of a layout -> SQL for its turns; {r} stands for the record.
+#: Fields of one message -> its turn; {m} stands for the message.
+MESSAGES: dict[tuple[str, ...], str] = {
+    ("role", "text"): _turn("{m}.role", "{m}.text"),
+    ("content", "role"): _turn("{m}.role", "{m}.content"),
+    ("from", "value"): _turn("case {m}.`from` when 'human' then 'user' when 'gpt' then 'assistant' else {m}.`from` end", "{m}.value"),
+}
+#: Fields that hold a list of messages.
+LISTS = ("messages", "conversations")
+#: Field paths of a layout -> SQL for its turns; {r} stands for the record.  Of several that a table has, the first counts.
 MAPPINGS: dict[tuple[str, ...], str] = {
-    ("role", "text"): f"array({_turn('{r}.role', '{r}.text')})",
-    ("content", "role"): f"array({_turn('{r}.role', '{r}.content')})",
-    ("messages[].content", "messages[].role"): _list("messages", "role", "content"),
-    ("messages[].role", "messages[].text"): _list("messages", "role", "text"),
-    ("conversations[].from", "conversations[].value"): "transform({r}.conversations, m -> named_struct('role', case m.`from` when 'human' then 'user' when 'gpt' then 'assistant' else m.`from` end, 'text', cast(m.value as string)))",
+    **{m: f"array({sql.replace('{m}', '{r}')})" for m, sql in MESSAGES.items()},
+    **{tuple(f"{f}[].{p}" for p in m): f"transform({{r}}.{f}, m -> {sql.replace('{m}', 'm')})" for f in LISTS for m, sql in MESSAGES.items()},
     ("completion", "prompt"): f"array({_turn("'user'", '{r}.prompt')}, {_turn("'assistant'", '{r}.completion')})",
     ("prompt", "response"): f"array({_turn("'user'", '{r}.prompt')}, {_turn("'assistant'", '{r}.response')})",
+    ("input", "instruction", "output"): f"array({_turn("'user'", "concat_ws('\n\n', {r}.instruction, nullif({r}.input, ''))")}, {_turn("'assistant'", '{r}.output')})",
     ("instruction", "output"): f"array({_turn("'user'", '{r}.instruction')}, {_turn("'assistant'", '{r}.output')})",
-    ("input", "instruction", "output"): f"array({_turn("'user'", "concat_ws('\\n\\n', {r}.instruction, nullif({r}.input, ''))")}, {_turn("'assistant'", '{r}.output')})",
-    ("question", "answer"): f"array({_turn("'user'", '{r}.question')}, {_turn("'assistant'", '{r}.answer')})",
+    ("answer", "question"): f"array({_turn("'user'", '{r}.question')}, {_turn("'assistant'", '{r}.answer')})",
 }
-#: A JSON schema for each layout, to parse records of it.
-def _ddl(paths: tuple[str, ...]) -> str:
-    heads = {p.split("[]")[0] for p in paths if "[]" in p}
-    if heads:
-        return ", ".join(f"{h} array<struct<{', '.join(f'`{p.split('[].')[1]}`: string' for p in paths if p.startswith(h + '[]'))}>>" for h in sorted(heads))
-    return ", ".join(f"{p} string" for p in paths)
+_TURNS = "array<struct<role:string,text:string>>"
+
 
+def layout_of(schema: T.StructType, mappings: dict[tuple[str, ...], str] = MAPPINGS) -> tuple[int, tuple[str, ...]] | None:
+    """Fingerprint and field paths of the layout of a schema; paths that no layout knows stay out of the hash.
 
-def mapping_for(schema: T.StructType, mappings: dict[tuple[str, ...], str] = MAPPINGS) -> str | None:
-    """The mapping whose field paths are all in ``schema``; the one with most paths wins."""
-    have = set(field_paths(schema))
-    fits = [p for p in mappings if have.issuperset(p)]
-    return mappings[max(fits, key=lambda p: (len(p), p))] if fits else None
+    If the known paths together are no layout (extra columns named like another's fields), the first layout among them counts.
+    """
+    by_print = {fingerprint_of(p): p for p in mappings}
+    known = {p for m in mappings for p in m}
+    have = [p for p in field_paths(schema) if p in known]
+    tries = [have, *(p for p in mappings if set(p) <= set(have))]
+    return next(((h, by_print[h]) for h in map(fingerprint_of, tries) if h in by_print), None)
 
 
-def canonical_turns(df: DataFrame, mappings: dict[tuple[str, ...], str] = MAPPINGS) -> DataFrame:
-    """Add ``turns`` to a table whose schema follows one of the layouts."""
-    sql = mapping_for(df.schema, mappings)
-    if sql is None:
+def canonical_turns(df: DataFrame, mappings: dict[tuple[str, ...], str] = MAPPINGS, keep: list[str] | None = None) -> DataFrame:
+    """Add ``turns`` to a table whose schema follows one of the layouts (a column of that name is replaced); ``keep`` names the columns to keep."""
+    found = layout_of(df.schema, mappings)
+    if found is None:
         raise ValueError(f"no mapping for fields {field_paths(df.schema)}")
-    rec = df.withColumn("_rec", F.struct(*[F.col(f"`{c}`") for c in df.columns]))
-    return rec.withColumn("turns", F.expr(sql.replace("{r}", "_rec"))).drop("_rec")
+    fields = sorted({p.split("[]")[0] for p in found[1]})
+    record = F.struct(*[F.col(f"`{c}`") for c in fields])
+    kept = [F.col(f"`{c}`") for c in (df.columns if keep is None else keep) if c != "turns"]
+    out = df.select(*kept, record.alias("_chat_record"))
+    return out.withColumn("turns", F.expr(mappings[found[1]].replace("{r}", "_chat_record"))).drop("_chat_record")
 
 
 def _prefixed(prefix: str):
     return lambda k: F.concat(F.lit(prefix), k)
 
 
-def canonical_turns_json(df: DataFrame, column: str = "record", mappings: dict[tuple[str, ...], str] = MAPPINGS) -> DataFrame:
+def _known(names: set[str]):
+    return lambda k: k.isin(*sorted(names))
+
+
+def canonical_turns_json(df: DataFrame, column: str = "record") -> DataFrame:
     """Add ``layout`` (fingerprint) and ``turns`` to a table of JSON records in mixed layouts.
 
-    Paths are read from each record two levels deep.  Records that are null, malformed or of an unknown layout get null turns.
+    A record's fingerprint is of its known top-level fields, and each message of a list has a fingerprint of its own, so messages of one
+    list may differ in their fields.  Records that are null, malformed, of an unknown layout or with a message of an unknown one
+    get null turns; other fields are ignored.
     """
-    keys = F.expr(f"json_object_keys({column})")
-    lists = sorted({p.split("[]")[0] for m in mappings for p in m if "[]" in p})
-    parts = [F.filter(F.coalesce(keys, F.array().cast("array<string>")), lambda k: ~k.isin(lists))]
-    for name in lists:
-        inner = F.expr(f"json_object_keys(get_json_object({column}, '$.{name}[0]'))")
-        # A lambda of one argument: Spark passes the place in the array to a second one.
-        parts.append(F.transform(F.coalesce(inner, F.array().cast("array<string>")), _prefixed(f"{name}[].")))
-    out = df.withColumn("layout", fingerprint(F.concat(*parts)))
-    turns = F.lit(None).cast("array<struct<role:string,text:string>>")
-    for paths, sql in mappings.items():
-        key = fingerprint(F.array(*[F.lit(p) for p in paths]))
-        rec = f"from_json({column}, '{_ddl(paths)}')"
-        turns = F.when(F.col("layout") == key, F.expr(sql.replace("{r}", rec))).otherwise(turns)
-    return out.withColumn("turns", turns)
+    flat = {p: sql for p, sql in MAPPINGS.items() if not any("[]" in x for x in p)}
+    plain = sorted({x for p in flat for x in p})
+    ddl = ", ".join([*(f"`{x}` string" for x in plain), *(f"{x} array<map<string,string>>" for x in LISTS)])
+    none = F.array().cast("array<string>")
+    keys = F.filter(F.coalesce(F.expr(f"json_object_keys(`{column}`)"), none), _known({*plain, *LISTS}))
+    out = df.withColumn("layout", fingerprint(keys)).withColumn("_rec", F.from_json(F.col(f"`{column}`"), ddl))
+
+    def message(m: Column) -> Column:
+        mark = fingerprint(F.filter(F.map_keys(m), _known({x for p in MESSAGES for x in p})))
+        turn = F.lit(None).cast(_TURNS[6:-1])
+        for p in MESSAGES:
+            role, text = ("from", "value") if "from" in p else ("role", next(x for x in p if x != "role"))
+            said = F.when(m[role] == "human", "user").when(m[role] == "gpt", "assistant").otherwise(m[role]) if role == "from" else m[role]
+            turn = F.when(mark == fingerprint_of(p), F.struct(said.alias("role"), m[text].alias("text"))).otherwise(turn)
+        return turn
+
+    turns = F.lit(None).cast(_TURNS)
+    for p, sql in flat.items():
+        turns = F.when(F.col("layout") == fingerprint_of(p), F.expr(sql.replace("{r}", "_rec"))).otherwise(turns)
+    for name in LISTS:
+        said = F.transform(F.col(f"_rec.{name}"), message)
+        turns = F.when(F.col("layout") == fingerprint_of([name]), F.when(~F.exists(said, lambda t: t.isNull()), said)).otherwise(turns)
+    return out.withColumn("turns", turns).drop("_rec")
 
 
 def render_turn(role: Column, text: Column) -> Column:
@@ -149,7 +177,7 @@ def format_conversations(df: DataFrame, conv: str = "conv_id", order: str = "tur
     order first.  Repeated rows are repeated turns.  No rows, no conversations; extra columns are ignored.
     Returns (conv, formatted, turns), the turns read back from the formatted text.
     """
-    turns = canonical_turns(df.select(conv, order, *[c for c in df.columns if c not in (conv, order)]))
+    turns = canonical_turns(df, keep=[conv, order])
     lines = turns.select(conv, order, F.array_join(F.transform("turns", lambda t: render_turn(t["role"], t["text"])), "").alias("line"))
     whole = lines.groupBy(conv).agg(F.array_sort(F.collect_list(F.struct(order, "line"))).alias("lines"))
     whole = whole.select(conv, F.array_join(F.transform("lines", lambda x: x["line"]), "").alias("formatted"))

@@ -60,43 +60,59 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
 FILTER_BITS = 1 << 27
 
 
+class BitFilter:
+    """Membership of 64-bit hashes in a set, with false alarms but no misses; its size follows the set's up to ``FILTER_BITS``.
+
+    The bits are set by Spark, chunk by chunk; the driver puts the chunks together, 16 MB at most whatever the data.
+    """
+
+    SHIFTS = (0, 18, 37)
+
+    def __init__(self, hashes: DataFrame):
+        """``hashes`` has one long column of well-mixed values."""
+        name = f"`{hashes.columns[0]}`"
+        self.size = hashes.count()
+        bits = min(FILTER_BITS, max(1 << 16, 1 << (12 * self.size).bit_length()))
+        self.mask, self.bits = bits - 1, np.zeros(bits // 8, np.uint8)
+        if self.size:
+            places = F.array(*[F.shiftrightunsigned(name, s).bitwiseAND(F.lit(self.mask)) + 1 for s in self.SHIFTS])
+            at = hashes.select(F.explode(places).alias("at"))
+            for r in at.groupBy(F.bitmap_bucket_number("at").alias("chunk")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect():
+                self.bits[(r.chunk - 1) * 4096 : r.chunk * 4096] = np.frombuffer(r.bits, np.uint8)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        hit, h = np.ones(len(h), bool), h.view(np.uint64)
+        for s in self.SHIFTS:
+            at = (h >> np.uint64(s)) & np.uint64(self.mask)
+            hit &= (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1) > 0
+        return hit
+
+
 def drop_rows(rows: DataFrame, ident: list[str | Column], gone: DataFrame) -> DataFrame:
     """``rows`` without those whose ``ident`` equals (null-safe) a row of ``gone``, which has as many columns.
 
     Wide rows hardly move: a bit filter of bounded size over ``gone`` lets the rows through that can't be in it, and only the rest
     (those in ``gone`` and a few more, or all once ``gone`` outgrows the filter) goes through the exact join.
     """
-    n = gone.count()
-    if not n:
-        return rows
-    bits = min(FILTER_BITS, max(1 << 16, 1 << (12 * n - 1).bit_length()))
 
-    def places(cols: list[Column]) -> list[Column]:
-        return [F.pmod(F.xxhash64(F.lit(k), *[F.coalesce(c.cast("string"), F.lit("null")) for c in cols]), F.lit(bits)) for k in range(3)]
+    def mark(cols: list[Column]) -> Column:
+        return F.xxhash64(*[F.coalesce(c.cast("string"), F.lit("null")) for c in cols])
 
-    keys = [F.col(f"`{c}`") for c in gone.columns]
-    at = gone.select(F.explode(F.array(*places(keys))).alias("at")).select((F.col("at") + 1).alias("at"))
-    parts = at.groupBy(F.bitmap_bucket_number("at").alias("chunk")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
-    table = np.zeros(bits // 8, np.uint8)
-    for r in parts:
-        table[(r.chunk - 1) * 4096 : r.chunk * 4096] = np.frombuffer(r.bits, np.uint8)
+    has = BitFilter(gone.select(mark([F.col(f"`{c}`") for c in gone.columns])))
+    if not has.size:
+        return rows
 
     @F.arrow_udf("boolean")
-    def maybe(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
-        hit = np.ones(len(a), bool)
-        for x in (a, b, c):
-            x = x.to_numpy()
-            hit &= (table[x >> 3] >> (x & 7).astype(np.uint8) & 1) > 0
-        return pa.array(hit)
-
-    cols = [F.col(i) if isinstance(i, str) else i for i in ident]
-    seen = maybe(*places(cols))
+    def maybe(h: pa.Array) -> pa.Array:
+        return pa.array(has(h.to_numpy()))
+
+    cols = [F.col(f"`{i}`") if isinstance(i, str) else i for i in ident]
+    seen = maybe(mark(cols))
     right = gone.select(*[F.col(f"`{c}`").alias(f"_gone_{k}") for k, c in enumerate(gone.columns)]).distinct()
     same = F.lit(True)
     for k, c in enumerate(cols):
         same = same & c.eqNullSafe(F.col(f"_gone_{k}"))
-    rest = rows.where(seen).join(right.hint("merge"), same, "left_anti")
-    return rows.where(~seen).unionByName(rest)
+    return rows.where(~seen).unionByName(rows.where(seen).join(right.hint("merge"), same, "left_anti"))
 
 
 def array_slices(col: pa.Array, max_bytes: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

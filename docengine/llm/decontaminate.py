@@ -7,8 +7,8 @@ parallel chains), and a chain counts if it covers most of its item, or is long,
 its slots map item values to document values consistently (so re-parameterised questions are caught and
 mere look-alikes are not).
 
-Document windows are filtered inside the scan by a sorted array of the benchmark's window hashes while those are
-few (``max_filter``, checked by a count); a larger benchmark is joined by shuffle instead, with the same result.
+Items of equal text are one item.  Document windows pass a bit filter over the benchmark's window hashes inside the scan, of
+bounded size whatever the benchmark's; those that pass meet the benchmark's windows in an exact join, by one plan at every size.
 """
 
 from __future__ import annotations
@@ -21,12 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import RollingHash, materialize, mix64, table, text_slices, words_of
+from .common import BitFilter, RollingHash, drop_rows, materialize, mix64, table, text_slices, words_of
 
 WINDOW = 5
 COVERAGE = 0.8
 LONG = 20
-MAX_FILTER = 4_000_000
 #: Fixed values.
 UNITS = "mm cm m km in ft mi g kg mg t lb oz ml cl l s sec min h hr ms hour hours minute minutes second seconds day days week weeks month months year years percent % dollar dollars euro euros cent cents pound pounds meter meters metre metres mile miles gram grams liter liters litre litres inch inches foot feet degree degrees".split()
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split()
@@ -134,8 +133,8 @@ def _unit_hashes() -> np.ndarray:
     return _CACHE["u"]
 
 
-def template_windows(rows: DataFrame, key: list[str], text: str, widths: list[int] | None, wanted: np.ndarray | None) -> DataFrame:
-    """(key..., pos, width, n_words, h, slots): windows of the texts; all of them, or those whose hash is wanted.
+def template_windows(rows: DataFrame, key: list[str], text: str, widths: list[int] | None, wanted: BitFilter | None) -> DataFrame:
+    """(key..., pos, width, n_words, h, slots): windows of the texts; all of them, or those whose hash may be wanted.
 
     widths None: windows of WINDOW words, or the whole text if it has fewer.
     """
@@ -152,7 +151,7 @@ def template_windows(rows: DataFrame, key: list[str], text: str, widths: list[in
                     whole = counts[t.row[at]] == width
                     at, h, slotted = at[whole], h[whole], slotted[whole]
                 if wanted is not None and len(at):
-                    hit = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h if len(wanted) else np.zeros(len(h), bool)
+                    hit = wanted(h)
                     at, h, slotted = at[hit], h[hit], slotted[hit]
                 if not len(at):
                     continue
@@ -199,25 +198,26 @@ def item_chains(matches: list[tuple[int, int, int, list[str], list[str]]]) -> li
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, long: int = LONG, max_filter: int = MAX_FILTER) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, long: int = LONG) -> DataFrame:
     """Pairs of a document and a benchmark item that it contains.
 
-    Returns (doc_id, tag, item_id, covered, coverage, start_word, end_word, same_slots), one row per pair and text of the document
-    (``tag`` is Spark's hash of the text, so rows that share a doc_id are told apart; equal rows count once).
-    Null and empty texts match nothing; an empty benchmark gives an empty result.
+    Returns (doc_id, tag, item_id, n_items, covered, coverage, start_word, end_word, same_slots), one row per item and text of the
+    document.  ``item_id`` is the smallest of the ``n_items`` rows with the item's text.  ``tag`` is Spark's 64-bit hash of the text, so
+    rows that share a doc_id are told apart; equal rows count once.  Null and empty texts match nothing; an empty benchmark gives
+    an empty result; extra columns are ignored.
     """
-    items = materialize(template_windows(benchmark, ["item_id"], "text", None, None), "items")
-    stats = items.agg(F.count("*").alias("n"), F.collect_set("width").alias("widths")).first()
-    widths = sorted(stats["widths"]) or [WINDOW]
-    wanted = None
-    if stats["n"] <= max_filter:
-        wanted = np.unique(np.array([r.h for r in items.select("h").distinct().collect()], np.int64).view(np.uint64))
-    rows = docs.select("doc_id", F.hash("text").alias("tag"), "text")
+    b = benchmark.where("text is not null").groupBy("text").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n_items"))
+    items = materialize(template_windows(materialize(b, "classes"), ["item_id", "n_items"], "text", None, None), "items")
+    widths = sorted(r.width for r in items.select("width").distinct().collect())
+    if not widths:
+        widths = [WINDOW]
+    wanted = BitFilter(items.select("h").distinct())
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tag"), "text")
     found = template_windows(rows, ["doc_id", "tag"], "text", widths, wanted).select("doc_id", "tag", "pos", "width", "h", "slots")
-    i = items.select("item_id", F.col("pos").alias("ipos"), F.col("n_words").alias("iwords"), F.col("h").alias("ih"), F.col("slots").alias("islots"), F.col("width").alias("iwidth"))
+    i = items.select("item_id", "n_items", F.col("pos").alias("ipos"), F.col("n_words").alias("iwords"), F.col("h").alias("ih"), F.col("slots").alias("islots"), F.col("width").alias("iwidth"))
     m = found.join(i, (F.col("h") == F.col("ih")) & (F.col("width") == F.col("iwidth"))).dropDuplicates(["doc_id", "tag", "item_id", "pos", "ipos"])
     match = F.struct("pos", "ipos", "width", "islots", "slots")
-    g = m.groupBy("doc_id", "tag", "item_id").agg(F.max("iwords").alias("iwords"), F.collect_list(match).alias("matches"))
+    g = m.groupBy("doc_id", "tag", "item_id", "n_items").agg(F.max("iwords").alias("iwords"), F.collect_list(match).alias("matches"))
     # So few windows can't cover enough.
     g = g.where(F.size("matches") * WINDOW >= F.least(F.lit(long), coverage * F.col("iwords")))
 
@@ -232,19 +232,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
         return pa.array(out, pa.struct([("covered", pa.int32()), ("coverage", pa.float64()), ("start_word", pa.int32()), ("end_word", pa.int32()), ("same_slots", pa.bool_())]))
 
     found = g.withColumn("best", best("matches", "iwords")).where("best is not null")
-    return found.select("doc_id", "tag", "item_id", "best.*")
+    return found.select("doc_id", "tag", "item_id", "n_items", "best.*")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that contain a benchmark item; columns unchanged."""
-    hit = contaminated(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).distinct()
-    hit = materialize(hit, "leaks")
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_id"]) & (F.hash(docs["text"]) == hit["_tag"]), "left_anti")
+    hit = materialize(contaminated(docs, benchmark).select("doc_id", "tag").distinct(), "leaks")
+    return drop_rows(docs, ["doc_id", F.xxhash64("text")], hit)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "item_id", F.col("covered").cast("long").alias("covered"), F.round("coverage", 6).alias("coverage"), F.col("start_word").cast("long").alias("start_word"), F.col("end_word").cast("long").alias("end_word"), "same_slots").distinct()
+    return found.select("doc_id", "item_id", "n_items", F.col("covered").cast("long").alias("covered"), F.round("coverage", 6).alias("coverage"), F.col("start_word").cast("long").alias("start_word"), F.col("end_word").cast("long").alias("end_word"), "same_slots").distinct()
 
 
 QUERIES = {"op8_decontaminate": op8_decontaminate}

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -214,7 +215,64 @@ def test_decontaminate(spark):
     assert set(got) == {0, 1} and got[0].same_slots and not got[1].same_slots
     assert {r.doc_id for r in decontaminate.drop_contaminated(d, b).collect()} == {2, 3, 4, 5}
     assert decontaminate.drop_contaminated(d, b.where("false")).count() == 6
-    assert {r.doc_id for r in decontaminate.contaminated(d, b, max_filter=0).collect()} == {0, 1}
+    # Equal items are one: no row for each of them.
+    again = b.union(b.select(F.lit(9).alias("item_id"), "text")).union(b.select(F.lit(10).alias("item_id"), "text"))
+    assert {(r.doc_id, r.item_id, r.n_items) for r in decontaminate.contaminated(d, again).collect()} == {(0, 0, 3), (1, 0, 3)}
+
+
+def plain_template(text):
+    """(word in small letters, kind of placeholder) of each word that has a core."""
+    out, before, end = [], None, 0
+    for m in re.finditer(r"[^\x20\x09-\x0d]+", text or ""):
+        core = re.sub(r"^[\x00-\x24\x26-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+|[\x00-\x24\x26-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+$", "", m[0])
+        if not core:
+            continue
+        first = before is None or before[-1] in '.!?:"' or "\n" in text[end : m.start()]
+        low = core.lower()
+        number = bool(re.search("[0-9]", core) and re.fullmatch(r"[0-9.,:/%-]+", core)) or low in decontaminate.NUMBER_WORDS
+        unit = not number and low in decontaminate.UNITS and out and out[-1][1] == "num"
+        name = re.match(r"[A-Z]", core) and not first
+        out.append((low, "unit" if unit else "num" if number else "name" if name else "", core))
+        before, end = m[0], m.end()
+    return out
+
+
+def plain_windows(text, widths):
+    t = plain_template(text)
+    for width in widths:
+        for i in range(len(t) - width + 1):
+            part = t[i : i + width]
+            slots = [w for w in part if w[1]]
+            few = len(slots) > min(2, width - 1)
+            yield i, width, tuple(w[0] if few or not w[1] else (w[1],) for w in part), [] if few else [f"{w[1]}:{w[2]}" for w in slots]
+
+
+def test_decontaminate_is_brute_force(spark):
+    rng = random.Random(11)
+    filler = ["Tom", "sold", "12", "kg", "of", "apples", "in", "Rome", "for", "3", "dollars", "then", "he", "bought", "more", "seven", "pears", "and", "gave", "them", "away", "while", "she", "kept", "few"]
+    sentence = lambda n: " ".join(rng.choice(filler) for _ in range(n)) + rng.choice([".", "?", "", "\n"])
+    items = [" ".join(sentence(rng.randrange(6, 14)) for _ in range(2)) for _ in range(12)] + ["kg of pears", "", None]
+    texts = [None, ""]
+    for i in range(60):
+        item = items[i % 13] or ""
+        if i % 3 == 1:
+            item = item.replace("12", "40").replace("Rome", "Oslo")
+        if i % 5 == 2:
+            item = item[: len(item) * 2 // 3]
+        texts.append(f"{sentence(15)} {item} {sentence(15)}")
+    rows = {i: t for i, t in enumerate(items) if t}
+    want = set()
+    for d, text in enumerate(texts):
+        for i, item in rows.items():
+            size = len(plain_template(item))
+            widths = [min(size, 5)]
+            mine = list(plain_windows(item, widths))
+            m = [(p, q, w, a, b) for p, w, h, b in plain_windows(text, widths) for q, _, g, a in mine if g == h]
+            if any(ok and (c >= 20 or c / size >= 0.8) for c, _, _, ok, _ in decontaminate.item_chains(m)):
+                want.add((d, i))
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string").withColumn("tag", F.lit(1)).withColumn("h", F.lit(2))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, texts), b).collect()}
+    assert got == want and len(want) > 20
 
 
 def test_decontaminate_items_with_repeated_clauses(spark):

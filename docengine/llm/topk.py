@@ -1,15 +1,15 @@
 """Operator 7: exact top-k inner-product search over an impact-ordered, score-at-a-time index.
 
-Vectors are turned into integers.  Candidates are packed into blocks straight from the scan; each block is indexed as posting
-segments: for every dimension the candidates of one quantised impact level.  A query processes segments by descending
-impact (the most a posting in it can contribute): after each stage every candidate has an upper bound (known levels
-where its segment was processed, the largest unprocessed level elsewhere).  The likeliest candidates are scored
-exactly, which gives a floor for the k-th score; a stage ends the search once the candidates whose bound reaches the
-floor are few, or all segments are processed, and those candidates are rescored exactly.  Nothing is left out:
-a candidate is skipped only if its bound proves that k others score more.
-
-Queries are a stated set; they are packed into blocks too, and every pair of a query block and a candidate block is one
-row of work, dealt evenly.  A block pair returns at most k rows per query; ranks are taken over these.
+Vectors are turned into integers and dealt by hash into blocks.  A block is indexed as posting segments: for every dimension
+and quantised level, the rows of that level.  A segment's impact for a query is the most that a posting in it can contribute,
+above the least that the dimension gives.  A query takes segments by descending impact and adds the impact to the
+accumulators of the segment's rows; what is left can add at most the largest impact left in each dimension.  After each
+stage the likeliest rows are scored exactly, which gives a floor for the k-th score; the search ends once the rows whose
+bound reaches the floor are few, or all segments are taken, and these rows are rescored exactly.  Nothing is left out:
+a row is skipped only if its bound proves that k others score more.
+
+Queries are a stated set.  A block's vectors move once for every ``GROUP`` query blocks, and query blocks, packed, once for every
+block of vectors; there is no join of the two.  A block returns at most k rows per query; ranks are taken over these.
 """
 
 from __future__ import annotations
@@ -26,146 +26,164 @@ from .common import materialize, table
 
 K = 5
 LEVELS = 16
-BLOCK = 2048
-QUERY_BLOCK = 256
-STAGES = (0.25, 0.5, 1.0)
+BLOCK = 8192
+QUERY_BLOCK = 128
+#: Query blocks that meet a block of vectors in one task.
+GROUP = 256
+#: Shares of the postings after which the bounds are looked at.
+STAGES = (0.25, 0.5, 0.75, 1.0)
 
 
-def _pack(name: str, size: int):
-    """mapInArrow function: (vec_id, v) -> blocks (uid, n, ids, values as bytes); vectors in a block have one length."""
+def _matrix(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """An array of lists -> (rows, matrix) for each length of list."""
+    lengths = col.value_lengths().to_numpy()
+    for d in np.unique(lengths):
+        rows = np.flatnonzero(lengths == d)
+        yield rows, col.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(rows), d)
+
+
+def _pack(size: int):
+    """mapInArrow function: (vec_id, v) -> blocks (dims, ids, values as bytes); vectors in a block have one length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {}
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
-        def block(ids: list, vs: list) -> pa.RecordBatch:
-            i, v = np.array(ids, np.int64), np.concatenate(vs).reshape(len(ids), -1).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array([v.shape[1]], pa.int32()), pa.array([i.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], names=[f"{name}_dims", f"{name}_ids", f"{name}_values"])
+        def blocks(d: int, whole: bool) -> Iterator[pa.RecordBatch]:
+            ids, vs = (np.concatenate(x) for x in zip(*held[d], strict=True))
+            cut = len(ids) if whole else len(ids) // size * size
+            for s in range(0, cut, size):
+                e = min(s + size, cut)
+                yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([ids[s:e].tobytes()], pa.binary()), pa.array([vs[s:e].tobytes()], pa.binary())], names=["dims", "ids", "values"])
+            held[d] = [(ids[cut:], vs[cut:])]
 
         for b in batches:
             ids = b.column(0).to_numpy()
-            col = b.column(1)
-            flat, offs = col.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(col.value_lengths().to_numpy())])
-            for r in range(len(ids)):
-                v = flat[offs[r] : offs[r + 1]]
-                got = held.setdefault(len(v), ([], []))
-                got[0].append(ids[r])
-                got[1].append(v)
-                if len(got[0]) == size:
-                    yield block(*held.pop(len(v)))
-        for got in held.values():
-            yield block(*got)
+            for rows, v in _matrix(b.column(1)):
+                held.setdefault(v.shape[1], []).append((ids[rows], v))
+                if sum(len(x) for x, _ in held[v.shape[1]]) >= size:
+                    yield from blocks(v.shape[1], False)
+        for d in list(held):
+            yield from blocks(d, True)
 
     return run
 
 
 class ImpactIndex:
-    """Posting segments of one block.
-
-    A segment (dimension, level) is a column of a 0/1 matrix over the block's rows, so that one product adds any set of
-    segments to the accumulators of many queries.
-    """
+    """Posting segments of one block of vectors (``ids`` ascending)."""
 
-    def __init__(self, v: np.ndarray, levels: int = LEVELS):
-        self.v = v
-        n, d = v.shape
-        low, high = v.min(0), v.max(0)
-        step = np.maximum((high - low + levels) // levels, 1)
-        level = (v - low) // step
-        column = np.arange(d) * levels + level
-        self.filled = np.bincount(column.ravel(), minlength=d * levels).reshape(d, levels) > 0
+    def __init__(self, ids: np.ndarray, v: np.ndarray, levels: int = LEVELS):
+        order = np.argsort(ids)
+        self.ids, self.v = ids[order], v[order]
+        n, d = self.v.shape
+        low, high = self.v.min(0), self.v.max(0)
+        step = np.maximum((high - low) // levels + 1, 1)
+        segment = np.arange(d) * levels + (self.v - low) // step
+        #: Row numbers of all segments one after the other, and where each segment starts.
+        self.postings = (np.argsort(segment.ravel(), kind="stable") // d).astype(np.int32)
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(segment.ravel(), minlength=d * levels))])
         self.low = low[:, None] + step[:, None] * np.arange(levels)
         self.high = np.minimum(self.low + step[:, None] - 1, high[:, None])
-        self.column = column
-        self.postings: dict[type, np.ndarray] = {}
-
-    def _postings(self, kind: type) -> np.ndarray:
-        if kind not in self.postings:
-            hit = np.zeros((self.column.shape[0], self.filled.size), kind)
-            np.put_along_axis(hit, self.column, 1, 1)
-            self.postings[kind] = hit.T.copy()
-        return self.postings[kind]
-
-    def search(self, q: np.ndarray, k: int, own: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(query, rows that can be among its k best); ``own`` is each query's own row or -1, and is left out."""
+        self.most = int(max(abs(int(low.min(initial=0))), abs(int(high.max(initial=0)))))
+
+    def impacts(self, q: np.ndarray) -> tuple[np.ndarray, int]:
+        """Impact of each segment (-1: it is empty), and what every row has at least by the bounds."""
+        up = np.maximum(q[:, None] * self.low, q[:, None] * self.high)
+        filled = np.diff(self.start).reshape(up.shape) > 0
+        least = np.where(filled, up, np.iinfo(np.int64).max).min(1)
+        return np.where(filled, up - least[:, None], -1).ravel(), int(least.sum())
+
+    def search(self, q: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, scores) among which the k best are; ``own`` is left out."""
         n, d = self.v.shape
-        levels = self.low.shape[1]
-        # The most that a posting of a segment can contribute to a query.
-        most = np.maximum(q[:, :, None] * self.low, q[:, :, None] * self.high)
-        top = int(np.abs(most[:, self.filled]).max(initial=0)) * d
-        kind = np.float32 if top < 1 << 23 else np.float64
-        if top >= 1 << 52:  # too large for exact products of floats: every row stays possible
-            for i in range(len(q)):
-                yield i, np.flatnonzero(np.arange(n) != own[i])
-            return
-        nothing = np.iinfo(np.int64).min // 4
-        most = np.where(self.filled, most, nothing)
-        flat = most.reshape(len(q), -1)
-        rank = np.argsort(np.argsort(-flat, 1, kind="stable"), 1)
-        n_segments = int(self.filled.sum())
-        todo = np.arange(len(q))
-        acc = np.zeros((len(q), n), kind)
-        given = np.zeros((len(q), d * levels), kind)
-        floor = np.full(len(q), nothing)
-        take = min(n, 4 * k)
+        if self.most * int(np.abs(q).max(initial=0)) * max(d, 1) >= 1 << 61:  # beyond whole numbers of 64 bits: count exactly
+            scores = self.v.astype(object) @ q.astype(object)
+            rows = np.array([r for r in range(n) if r != own], np.int64)
+            if any(not -(1 << 63) <= s < 1 << 63 for s in scores[rows]):
+                raise OverflowError("an inner product is beyond a long")
+            return rows, scores[rows].astype(np.int64)
+        impact, base = self.impacts(q)
+        order = np.argsort(-impact, kind="stable")
+        order = order[impact[order] > 0]
+        sizes = np.diff(self.start)[order]
+        upto = np.cumsum(sizes)
+        acc, at = np.full(n, base, np.int64), 0
+        if own >= 0:
+            acc[own] = np.iinfo(np.int64).min // 2
+        rows, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for stage in STAGES:
-            done = (rank[todo] < int(np.ceil(n_segments * stage))) & self.filled.ravel()
-            rest = np.where(done, nothing, flat[todo]).reshape(len(todo), d, levels).max(2)
-            gives = np.where(done, flat[todo], np.repeat(np.where(rest == nothing, 0, rest), levels, 1)) * self.filled.ravel()
-            acc[todo] += (gives - given[todo]).astype(kind) @ self._postings(kind)
-            given[todo] = gives
-            bound = acc[todo]
-            mine = own[todo] >= 0
-            bound[np.flatnonzero(mine), own[todo][mine]] = -np.inf
-            likely = np.argpartition(-bound, take - 1, 1)[:, :take]
-            exact = np.einsum("qkd,qd->qk", self.v[likely], q[todo])
-            exact = np.where(np.take_along_axis(bound, likely, 1) == -np.inf, nothing, exact)
-            if take >= k:
-                floor[todo] = np.maximum(floor[todo], np.sort(exact, 1)[:, take - k])
-            possible = (bound >= floor[todo][:, None]) & (bound > -np.inf)
-            ends = (possible.sum(1) <= max(4 * k, n // 16)) | (stage == STAGES[-1])
-            for i in np.flatnonzero(ends):
-                yield int(todo[i]), np.flatnonzero(possible[i])
-            todo = todo[~ends]
-            if not len(todo):
+            end = int(np.searchsorted(upto, stage * (upto[-1] if len(upto) else 0))) + 1
+            new = order[at:end]
+            if len(new):
+                where = np.concatenate([self.postings[self.start[s] : self.start[s + 1]] for s in new.tolist()])
+                acc += np.bincount(where, np.repeat(impact[new], sizes[at:end]), n).astype(np.int64)
+            at = end
+            left = np.zeros(d, np.int64)
+            np.maximum.at(left, order[at:] // (len(impact) // max(d, 1)), impact[order[at:]])
+            likely = np.argpartition(-acc, min(4 * k, n) - 1)[: 4 * k]
+            likely = likely[likely != own]
+            exact = np.sort(self.v[likely] @ q)[::-1]
+            rows = np.flatnonzero(acc + left.sum() >= (exact[k - 1] if len(exact) >= k else np.iinfo(np.int64).min // 4))
+            if len(rows) <= max(4 * k, n // 32):
                 break
+        rows = rows[rows != own]
+        return rows, self.v[rows] @ q
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """(vec_id long, v array<int>) twice -> (query_id, rank, vec_id, score): k best by inner product, ties to smaller vec_id.
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK, query_block: int = QUERY_BLOCK, group: int = GROUP) -> DataFrame:
+    """(vec_id long, v array<long>) twice -> (query_id, rank, vec_id, score): k best by inner product, ties to smaller vec_id.
 
     vec_id is a key: repeated ids count once (the least vector).  A query skips the candidate of its own id; vectors of another
-    length than the query's take no part in its search.  Fewer candidates than k give all of them; no rows, no result.
+    length than the query's take no part in its search.  Fewer candidates than k give all of them; no rows, no result.  Sums are
+    exact at every size of component; one that no long holds raises an error.  Extra columns are ignored.
     """
     once = materialize(vectors.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
     asked = queries.select("vec_id").distinct().join(once, "vec_id")
-    cand = once.mapInArrow(_pack("c", block), "c_dims int, c_ids binary, c_values binary")
-    ask = materialize(asked.mapInArrow(_pack("q", query_block), "q_dims int, q_ids binary, q_values binary"), "queries")
-    pairs = cand.join(ask, F.col("c_dims") == F.col("q_dims")).withColumn("_deal", F.xxhash64("c_ids", "q_ids"))
-    pairs = pairs.repartition("_deal").drop("_deal")
+    ask = materialize(asked.mapInArrow(_pack(query_block), "dims int, ids binary, values binary"), "queries")
+    blocks, groups = max(1, -(-once.count() // block)), max(1, -(-ask.count() // group))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    c = once.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("c"), each(groups).alias("g"), "vec_id", "v")
+    c = c.select((F.col("c") * groups + F.col("g")).alias("cell"), F.lit(0).alias("kind"), "vec_id", "v", F.lit(None).cast("int").alias("dims"), F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("values"))
+    a = ask.select(each(blocks).alias("c"), F.pmod(F.xxhash64("ids"), F.lit(groups)).alias("g"), "dims", "ids", "values")
+    a = a.select((F.col("c") * groups + F.col("g")).alias("cell"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<long>").alias("v"), "dims", "ids", "values")
+    dealt = c.unionAll(a).repartition("cell").sortWithinPartitions("cell", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        cell, held, index = None, [], {}
+
+        def answers(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for r in range(b.num_rows):
-                dims = b.column("c_dims")[r].as_py()
-                ids = np.frombuffer(b.column("c_ids")[r].as_buffer(), np.int64)
-                sort = np.argsort(ids)
-                ids = ids[sort]
-                index = ImpactIndex(np.frombuffer(b.column("c_values")[r].as_buffer(), np.int64).reshape(-1, dims)[sort])
-                qids = np.frombuffer(b.column("q_ids")[r].as_buffer(), np.int64)
-                qs = np.frombuffer(b.column("q_values")[r].as_buffer(), np.int64).reshape(-1, dims)
-                at = np.minimum(np.searchsorted(ids, qids), len(ids) - 1)
-                own = np.where(ids[at] == qids, at, -1)
-                out: list[list] = [[], [], []]
-                for i, rows in index.search(qs, k, own):
-                    scores = index.v[rows] @ qs[i]
-                    best = np.lexsort((ids[rows], -scores))[:k]
-                    out[0] += [int(qids[i])] * len(best)
-                    out[1] += ids[rows[best]].tolist()
-                    out[2] += scores[best].tolist()
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+                d = b.column("dims")[r].as_py()
+                if d not in index:
+                    continue
+                x, out = index[d], ([], [], [])
+                qids = np.frombuffer(b.column("ids")[r].as_buffer(), np.int64)
+                qs = np.frombuffer(b.column("values")[r].as_buffer(), np.int64).reshape(len(qids), d)
+                for qid, q in zip(qids.tolist(), qs, strict=True):
+                    own = int(np.searchsorted(x.ids, qid))
+                    rows, scores = x.search(q, k, own if own < len(x.ids) and x.ids[own] == qid else -1)
+                    best = np.lexsort((x.ids[rows], -scores))[:k]
+                    for col, v in zip(out, ([qid] * len(best), x.ids[rows[best]].tolist(), scores[best].tolist()), strict=True):
+                        col.extend(v)
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], names=["query_id", "vec_id", "score"])
+
+        for b in batches:
+            key = b.column("cell").to_numpy() * 2 + b.column("kind").to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist() if len(key) else []
+            for s, e in zip(cuts, [*cuts[1:], len(key)], strict=False):
+                part = b.slice(s, e - s)
+                if key[s] // 2 != cell:
+                    cell, held, index = key[s] // 2, [], {}
+                if key[s] % 2 == 0:
+                    held.append(part.select(["vec_id", "v"]))
+                    continue
+                if held:
+                    t = pa.Table.from_batches(held).combine_chunks()
+                    ids = t.column("vec_id").to_numpy()
+                    col = t.column("v").chunk(0) if t.num_rows else t.column("v").combine_chunks()
+                    index, held = {v.shape[1]: ImpactIndex(ids[rows], v) for rows, v in _matrix(col)}, []
+                yield from answers(part)
+
+    found = dealt.mapInArrow(run, "query_id long, vec_id long, score long")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

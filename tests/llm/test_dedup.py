@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -197,13 +198,38 @@ def test_topk_is_brute_force(spark):
     df = topk.integer_vectors(spark.createDataFrame(v, "vec_id long, embedding array<double>"))
     plain = {r.vec_id: r.v for r in df.collect()}
     assert set(plain) == set(range(120)) | {202, 203}
-    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(df, df.where("vec_id % 20 = 2"), 5, 16, 3).collect()}
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(df, df.where("vec_id % 20 = 2"), 5, 16, 3, 1).collect()}
     for q in (i for i in plain if i % 20 == 2):
         best = sorted((-sum(a * b for a, b in zip(plain[q], w, strict=True)), i) for i, w in plain.items() if i != q)[:5]
         assert [got[q, k + 1] for k in range(5)] == [(i, -s) for s, i in best]
     assert topk.top_k(df.where("false"), df).count() == 0
 
 
+def test_topk_of_large_and_repeated_vectors(spark):
+    big = [(i, [10**9 + i, -(10**9), i]) for i in range(40)] + [(3, [0, 0, 0])] + [(100, [1, 2])]
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in big], "vec_id long, v array<long>, score string, cell int")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(df, df.where("vec_id in (7, 100)")).collect()}
+    plain = dict(big[:40]) | {3: [0, 0, 0]}
+    best = sorted((-sum(a * b for a, b in zip(plain[7], v, strict=True)), i) for i, v in plain.items() if i != 7)[:5]
+    assert got == {(7, k + 1): (i, -s) for k, (s, i) in enumerate(best)}
+    over = spark.createDataFrame([(i, [1 << 40, 1 << 40]) for i in range(3)], "vec_id long, v array<long>")
+    with pytest.raises(Exception, match="beyond a long"):
+        topk.top_k(over, over).collect()
+
+
+def test_topk_takes_segments_by_impact():
+    """Sums of impacts bound scores from above at any point, and the search stops early where the bounds allow it."""
+    rng = np.random.default_rng(1)
+    v = rng.integers(-50, 50, (3000, 8))
+    v[:10] = 400
+    index = topk.ImpactIndex(np.arange(3000), v)
+    q = rng.integers(1, 9, 8)
+    impact, base = index.impacts(q)
+    assert (np.diff(index.start).sum() == v.size) and all((base + sum(int(impact[s]) for s in np.flatnonzero([r in index.postings[a:b] for a, b in zip(index.start, index.start[1:], strict=False)]))) >= int(v[r] @ q) for r in (0, 5, 77))
+    rows, scores = index.search(q, 5, -1)
+    assert len(rows) < 100 and set(np.argsort(-(v @ q), kind="stable")[:10]) <= set(rows.tolist()) and (scores == v[rows] @ q).all()
+
+
 def test_decontaminate(spark):
     b = spark.createDataFrame([(0, "A farmer in Norway sold 12 kg of apples to Maria for 30 dollars and then bought 5 new baskets"), (1, ""), (2, None)], "item_id long, text string")
     rng = random.Random(7)

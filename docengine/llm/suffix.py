@@ -1,15 +1,15 @@
 """Operator 5: exact removal of repeated 200-byte strings with sharded suffix arrays.
 
 1. Anchors.  In every window of 200 bytes the least hashed 100-gram is its anchor, so equal windows have equal anchors at
-   the same place.  A document's windows fall into runs with one anchor each; a run is described by the hash of the
-   anchor and of all the bytes under the run.  Runs whose bytes all occur twice are repeated at once; runs whose anchor
-   occurs nowhere else are done; runs with a shared anchor but bytes of their own go on.
-2. Shards.  The bytes of these runs are gathered by anchor.  Each shard gets a suffix array (Larsson-Sadakane: doubling, only
-   groups that are still mixed are refined) and Kasai's common prefixes, both in numpy; neighbours that share 200 bytes
-   are repeated windows.
+   the same place.  A document's windows fall into runs with one anchor each.  Equal runs become one: a run is described by its
+   anchor's hash and by a cryptographic digest (BLAKE2b, 96 bits, compared only among runs of one anchor) of its bytes, so
+   that thousands of copies don't move their bytes.  A run of an anchor that occurs nowhere else is done; an anchor with one
+   distinct run that occurs twice has all its windows repeated; all other anchors go on.
+2. Shards.  The bytes of their distinct runs are gathered by anchor.  Each shard gets a suffix array (Larsson-Sadakane:
+   doubling, only groups that are still mixed are refined) and Kasai's common prefixes, both in numpy; neighbours that share
+   200 bytes are repeated windows.  Bytes decide here, hashes only bring runs together.
 3. Merge.  Anchors so common that their runs fill several shards are merged across shards: every shard sends each of its
-   distinct windows once, in sorted order of fingerprints, and windows are looked up among those of the other shards by
-   binary search.
+   distinct windows once, with its bytes, and each is looked up among the sorted windows of the other shards by binary search.
 4. The removed intervals meet the texts again, once per document.
 
 Anchors of hot passages are found on a sample of documents beforehand and salted by document; the sample only decides how
@@ -19,6 +19,7 @@ rows are dealt, never which rows count.  Texts are treated whole, as bytes; matc
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,12 +47,12 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchor_runs(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(row, first window, windows, anchor hash, hash of the bytes under them) of each run of windows with one anchor."""
+    """(row, first window, windows, anchor hash, digest of the bytes under them as long and int) of each run of windows with one anchor."""
     gram = length // 2
     n = len(data)
-    empty = np.zeros(0, np.int64)
+    none = (*(np.zeros(0, np.int64),) * 5, np.zeros(0, np.int32))
     if n < length:
-        return empty, empty, empty, empty, empty
+        return none
     roll = RollingHash(data)
     h = roll(slice(0, n - gram + 1), slice(gram, n + 1))
     low = np.uint64((1 << 28) - 1)
@@ -59,22 +60,24 @@ def anchor_runs(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.nda
     row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))[: len(least)]
     at = np.flatnonzero(np.arange(len(least)) + length <= offs[1:][row])
     if not len(at):
-        return empty, empty, empty, empty, empty
+        return none
     anchor, r = (least[at] & low).astype(np.int64), row[at]
     new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (r[1:] != r[:-1])]))
     last = np.concatenate([new[1:], [len(at)]]) - 1
     lo, hi, a = at[new], at[last], anchor[new]
-    under = roll(lo, hi + length) ^ ((a - lo) * 1000003 + (hi - lo)).astype(np.uint64)
-    return r[new], lo - offs[r[new]], hi - lo + 1, h[a].view(np.int64), under.view(np.int64)
+    raw, blake = data.tobytes(), hashlib.blake2b
+    digests = b"".join([blake(raw[s:e], digest_size=12).digest() for s, e in zip(lo.tolist(), (hi + length).tolist(), strict=True)])
+    mark = np.frombuffer(digests, np.dtype([("c", "<i8"), ("d", "<i4")]))
+    return r[new], lo - offs[r[new]], hi - lo + 1, h[a].view(np.int64), mark["c"].copy(), mark["d"] ^ (a - lo).astype(np.int32)
 
 
 def _anchors(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offs in text_slices(batches, "text"):
-            row, first, count, h, c = anchor_runs(data, offs, length)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(first * 65536 + count), pa.array(h), pa.array(c)], names=["uid", "run", "h", "c"])
+            row, first, count, h, c, d = anchor_runs(data, offs, length)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(first * 65536 + count), pa.array(h), pa.array(c), pa.array(d)], names=["uid", "run", "h", "c", "d"])
 
-    return docs.select("uid", "text").mapInArrow(run, "uid long, run long, h long, c long")
+    return docs.select("uid", "text").mapInArrow(run, "uid long, run long, h long, c long, d int")
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -106,10 +109,10 @@ def _starts(*cols: np.ndarray) -> np.ndarray:
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (h, salt, c) -> those that are repeated or need their bytes compared, with how often their bytes occur here."""
+    """Rows sorted by (h, salt, c, d) -> those that are repeated or need their bytes compared, with how often their bytes occur here."""
     for t in _whole_groups(batches, ["h", "salt"]):
-        h, salt, c = (t.column(k).to_numpy() for k in ("h", "salt", "c"))
-        at = _starts(h, salt, c)
+        h, salt, c, d = (t.column(k).to_numpy() for k in ("h", "salt", "c", "d"))
+        at = _starts(h, salt, c, d)
         times = np.diff(np.concatenate([at, [len(h)]]))
         groups = _starts(h[at], salt[at])
         kinds = np.repeat(np.diff(np.concatenate([groups, [len(at)]])), np.diff(np.concatenate([groups, [len(at)]])))
@@ -118,7 +121,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head[at] = True
         mixed = np.repeat(kinds > 1, times)
         keep = (n > 1) | mixed | (salt > 0)
-        yield pa.RecordBatch.from_arrays([pa.array(t.column(k).to_numpy()[keep]) for k in ("uid", "run", "h", "c", "salt")] + [pa.array(n[keep].astype(np.int64)), pa.array(head[keep]), pa.array(mixed[keep])], names=["uid", "run", "h", "c", "salt", "n", "head", "mixed"])
+        yield pa.RecordBatch.from_arrays([pa.array(t.column(k).to_numpy()[keep]) for k in ("uid", "run", "h", "c", "d", "salt")] + [pa.array(n[keep].astype(np.int64)), pa.array(head[keep]), pa.array(mixed[keep])], names=["uid", "run", "h", "c", "d", "salt", "n", "head", "mixed"])
 
 
 def suffix_array(data: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -220,19 +223,21 @@ def _shards(length: int):
         tx, w = text[hit][order], window[hit][order]
         new = np.flatnonzero(np.concatenate([[True], (tx[1:] != tx[:-1]) | (w[1:] != w[:-1] + 1)])) if len(tx) else np.zeros(0, np.int64)
         end = np.concatenate([new[1:], [len(tx)]])[: len(new)] - 1
-        cols = [np.zeros(len(new), np.int32), uid[tx[new]], first[tx[new]] + w[new], first[tx[new]] + w[end] + length, uid[tx[new]], np.zeros(len(new), np.int64), np.zeros(len(new), bool)]
+        cols = [np.zeros(len(new), np.int32), uid[tx[new]], first[tx[new]] + w[new], first[tx[new]] + w[end] + length, uid[tx[new]], np.zeros(len(new), bool)]
+        windows: list[bytes | None] = [None] * len(new)
         if split.any():
             one = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]])) if len(cls) else np.zeros(0, np.int64)
             one = one[split[text[one]]]
-            data = np.frombuffer(b"".join(texts), np.uint8)
+            data = b"".join(texts)
             base = np.concatenate([[0], np.cumsum([len(t) for t in texts])[:-1]])
             s = base[text[one]] + window[one]
-            mark = RollingHash(data)(s, s + length).view(np.int64)
+            mark = RollingHash(np.frombuffer(data, np.uint8))(s, s + length).view(np.int64)
+            windows += [data[x : x + length] for x in s.tolist()]
             alone = (times[one] == 1) & ~known[text[one]]
             start = first[text[one]] + window[one]
-            more = [np.ones(len(one), np.int32), uid[text[one]], start, start + length, mark, h[text[one]], alone]
+            more = [np.ones(len(one), np.int32), uid[text[one]], start, start + length, mark, alone]
             cols = [np.concatenate(x) for x in zip(cols, more, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["kind", "uid", "start", "end", "mark", "h", "alone"])
+        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.array(windows, pa.binary())], names=["kind", "uid", "start", "end", "mark", "alone", "window"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -260,21 +265,16 @@ def _flush_all(held: list[pa.Table], flush) -> Iterator[pa.RecordBatch]:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of several shards, sorted by mark: those found more than once by binary search are removed."""
+    """Windows of several shards, brought together by mark: those that binary search finds more than once among the sorted are removed."""
     for t in _whole_groups(batches, ["kind", "mark"]):
-        kind, mark, h, alone = (t.column(k).to_numpy() for k in ("kind", "mark", "h", "alone"))
+        kind, alone = (t.column(k).to_numpy() for k in ("kind", "alone"))
         keep = kind == 0
         w = np.flatnonzero(kind == 1)
         if len(w):
-            order = np.lexsort((h[w], mark[w]))
-            w = w[order]
-            m = mark[w]
-            lo, hi = np.searchsorted(m, m, "left"), np.searchsorted(m, m, "right")
-            same = (m[1:] == m[:-1]) & (h[w][1:] == h[w][:-1])
-            twin = np.zeros(len(w), bool)
-            twin[1:] |= same
-            twin[:-1] |= same
-            keep[w] = (hi - lo > 1) & twin & alone[w]
+            windows = t.column("window").take(pa.array(w)).to_pylist()
+            order = sorted(windows)
+            keep[w] = [bisect_right(order, x) - bisect_left(order, x) > 1 for x in windows]
+            keep[w] &= alone[w]
         t = t.filter(pa.array(keep))
         for b in t.select(["uid", "start", "end"]).to_batches():
             yield b
@@ -325,21 +325,28 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def with_uid(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """(uid, doc_id, text): doc_id itself where it is a key, else a hash of the row (equal rows share it); whether it is a key everywhere."""
+    """(uid, doc_id, text): a whole-number doc_id itself where it is a key, else a hash of the row (equal rows share it); whether it is a key everywhere.
+
+    Keys of other types are hashed with their text throughout.
+    """
+    whole = docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    row = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    if not whole:
+        return docs.select(row.alias("uid"), "doc_id", "text"), False
     again = materialize(docs.groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("n")).where("n > 1 or _again is null").select("_again"), "again")
     if again.isEmpty():
         return docs.select(F.col("doc_id").cast("long").alias("uid"), "doc_id", "text"), True
     mark = docs.join(again, docs["doc_id"].eqNullSafe(again["_again"]), "left")
     odd = F.col("_again").isNotNull() | F.col("doc_id").isNull()
-    return mark.select(F.when(odd, F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id").cast("long")).alias("uid"), "doc_id", "text"), False
+    return mark.select(F.when(odd, row).otherwise(F.col("doc_id").cast("long")).alias("uid"), "doc_id", "text"), False
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans): what is left of each text without the bytes of repeated strings.
 
     One row per input row.  Null texts are empty; texts shorter than ``length`` have nothing removed; equal rows each count, so
-    their texts are removed; an empty table gives no rows; extra columns are ignored.  ``spans`` are byte intervals that cover
-    the removed bytes, maybe overlapping.
+    their texts are removed; an empty table gives no rows; extra columns are ignored; doc_id may be of any type that casts to
+    string, null and repeated too.  ``spans`` are byte intervals that cover the removed bytes, maybe overlapping.
     """
     rows, keyed = with_uid(docs.select("doc_id", "text"))
     texts = rows.select("uid", "text")
@@ -348,28 +355,30 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, shard:
     heat = materialize(some.groupBy("h").agg(F.count("*").alias("seen")).where(F.col("seen") >= least).select("h", (F.col("seen") * sample / hot + 1).cast("int").alias("parts")), "hot")
     a = _anchors(texts, length).join(heat, "h", "left")
     salt = F.when(F.col("parts").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("uid", "run"), F.col("parts"))).cast("int")
-    a = a.select("uid", "run", "h", "c", salt.alias("salt"))
-    judged = a.repartition("h", "salt").sortWithinPartitions("h", "salt", "c").mapInArrow(_judge, "uid long, run long, h long, c long, salt int, n long, head boolean, mixed boolean")
+    a = a.select("uid", "run", "h", "c", "d", salt.alias("salt"))
+    judged = a.repartition("h", "salt").sortWithinPartitions("h", "salt", "c", "d").mapInArrow(_judge, "uid long, run long, h long, c long, d int, salt int, n long, head boolean, mixed boolean")
     judged = materialize(judged, "runs")
     interval = [(F.floor(F.col("run") / 65536)).alias("start"), (F.floor(F.col("run") / 65536) + F.col("run") % 65536 - 1 + length).alias("end")]
     plain = judged.where("n > 1").select("uid", *interval)
     # Hot anchors were judged in parts: the parts' distinct runs meet here.
     warm = judged.where("salt > 0 and head")
-    met = materialize(warm.groupBy("h", "c").agg(F.sum("n").alias("times"), F.min(F.struct("uid", "run")).alias("at")), "met")
-    single = judged.where("salt > 0 and n = 1").select("uid", "run", "h", "c").join(met.where("times > 1").select("h", "c"), ["h", "c"]).select("uid", *interval)
+    met = materialize(warm.groupBy("h", "c", "d").agg(F.sum("n").alias("times"), F.min(F.struct("uid", "run")).alias("at")), "met")
+    single = judged.where("salt > 0 and n = 1").select("uid", "run", "h", "c", "d").join(met.where("times > 1").select("h", "c", "d"), ["h", "c", "d"]).select("uid", *interval)
     sizes = materialize(met.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h", F.ceil(F.col("k") / shard).cast("int").alias("parts")), "sizes")
     hot_runs = met.join(sizes, "h").select(F.col("at.uid").alias("uid"), F.col("at.run").alias("run"), "h", F.pmod("c", F.col("parts")).cast("int").alias("part"), (F.col("times") > 1).alias("known"), (F.col("parts") > 1).alias("split"))
     cold_runs = judged.where("salt = 0 and mixed and head").select("uid", "run", "h", F.lit(0).alias("part"), (F.col("n") > 1).alias("known"), F.lit(False).alias("split"))
     wanted = cold_runs.unionAll(hot_runs).groupBy("uid").agg(F.collect_list(F.struct("run", "h", "part", "known", "split")).alias("runs"))
     # The exchange of texts by uid is the same in this join and in the last one, so that Spark writes it once.
     pieces = texts.join(wanted, "uid").mapInArrow(_extract(length), "uid long, run long, h long, part int, known boolean, split boolean, bytes binary")
-    shards = pieces.repartition("h", "part").sortWithinPartitions("h", "part").mapInArrow(_shards(length), "kind int, uid long, start long, end long, mark long, h long, alone boolean")
+    shards = pieces.repartition("h", "part").sortWithinPartitions("h", "part").mapInArrow(_shards(length), "kind int, uid long, start long, end long, mark long, alone boolean, window binary")
     merged = shards.repartition("mark").sortWithinPartitions("kind", "mark").mapInArrow(_merge, "uid long, start long, end long")
     spans = plain.unionAll(single).unionAll(merged).groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     done = texts.join(spans, "uid", "left").mapInArrow(_apply, "uid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
     if rows.schema["doc_id"].dataType == done.schema["uid"].dataType and keyed:
         return done.withColumnRenamed("uid", "doc_id")
-    return done.join(rows.select("uid", "doc_id").distinct(), "uid").drop("uid")
+    # Equal rows share a uid, and so the same result: each row takes it.
+    one = done.dropDuplicates(["uid"])
+    return one.join(rows.select("uid", "doc_id"), "uid").drop("uid")
 
 
 def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

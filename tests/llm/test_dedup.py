@@ -108,6 +108,83 @@ def test_suffix_is_brute_force(spark, hot, shard):
     assert suffix.remove_repeats(d.where("false")).count() == 0
 
 
+def test_suffix_odd_rows(spark):
+    """Ids that are null, repeated or strings, equal rows, a very long text, and columns named like the operator's own."""
+    rng = random.Random(13)
+    passage = "".join(rng.choice("abcdefgh é") for _ in range(300))
+    long = "".join(rng.choice("abcdefghijkl ") for _ in range(300_000)) + passage
+    rows = [("a", "x" * 50 + passage), ("a", passage + "y"), (None, "z" + passage), ("b", "only once " * 3), ("c", "only once " * 3), ("c", "only once " * 3), (None, None), ("d", long)]
+    want = sorted((i or "", *p) for (i, _), p in zip(rows, plain_removal([t for _, t in rows], 200), strict=True))
+    for cast in ("string", "long"):
+        ids = {None: None, "a": 1, "b": 2, "c": 3, "d": 4}
+        d = spark.createDataFrame([(i if cast == "string" else ids[i], t, 1, 2, 3) for i, t in rows], f"doc_id {cast}, text string, uid int, h int, spans int")
+        got = suffix.remove_repeats(d).collect()
+        back = {v: k for k, v in ids.items()} | {k: k for k in ids}
+        assert sorted((back[r.doc_id] or "", r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+
+
+def test_suffix_arrays_decide_on_bytes():
+    """Windows of runs that share an anchor only: classes are equal exactly where the bytes are."""
+    rng = random.Random(14)
+    texts = [("".join(rng.choice("ab") for _ in range(40)) + "anchor" * 8 + "".join(rng.choice("ab") for _ in range(40))).encode() for _ in range(20)]
+    text, window, cls = suffix.repeated_windows(texts, 50)
+    groups = {}
+    for t, w, c in zip(text.tolist(), window.tolist(), cls.tolist(), strict=True):
+        groups.setdefault(c, set()).add(texts[t][w : w + 50])
+    assert all(len(g) == 1 for g in groups.values()) and len({x for g in groups.values() for x in g}) == len(groups)
+
+
+def test_chaining_finds_pieces_that_stand_elsewhere(spark):
+    """A passage whose every piece was seen first in another document."""
+    rng = random.Random(15)
+    for size in (20, 5):
+        passage = words(rng, 120)
+        texts = [" ".join(words(rng, 60) + passage[i : i + size] + words(rng, 60)) for i in range(0, 120, size)]
+        n = len(texts)
+        texts += [" ".join(words(rng, 60) + passage + words(rng, 60)) for _ in range(4)]
+        got = {r.doc_id: r.component_id for r in chaining.repeated_passages(frame(spark, texts)).collect()}
+        assert got == dict.fromkeys(range(n, n + 4), n)
+
+
+def plain_passage(a, b):
+    """Most words of a stretch of ``a`` and ``b`` of which four in five match, by trying every alignment (changed words only)."""
+    best, a, b = 0, np.array(a), np.array(b)
+    for shift in range(-len(b) + 40, len(a) - 39):
+        ok = a[max(0, shift) : min(len(a), len(b) + shift)] == b[max(0, -shift) : min(len(b), len(a) - shift)]
+        if ok.sum() >= 32:
+            c = np.concatenate([[0], np.cumsum(ok - 0.8)])
+            best = max(best, *(int(np.flatnonzero(c[i:] >= c[i] - 1e-9)[-1]) for i in range(len(c))))
+    return best
+
+
+def test_chaining_recall_against_brute_force(spark):
+    """Fuzzy passages of 50 to 120 words, one word in twenty changed: nine in ten links, at least, and no false one."""
+    rng = random.Random(16)
+    texts = []
+    for _ in range(25):
+        passage = words(rng, rng.randrange(50, 120), 100_000)
+        for _ in range(2):
+            fuzzy = [rng.choice("xyz") if rng.random() < 0.05 else w for w in passage]
+            texts.append(words(rng, rng.randrange(30, 90), 100_000) + fuzzy + words(rng, rng.randrange(30, 90), 100_000))
+    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if plain_passage(texts[i], texts[j]) >= 45}
+    got = {}
+    d = frame(spark, [" ".join(t) for t in texts]).withColumn("uid", F.lit(1)).withColumn("word", F.lit(2))
+    for r in chaining.repeated_passages(d).collect():
+        got.setdefault(r.component_id, []).append(r.doc_id)
+    links = {(min(g), x) for g in got.values() for x in g if x != min(g)}
+    assert all(len(g) == 2 for g in got.values())
+    assert len(want) >= 20 and len(want & links) >= 0.9 * len(want) and all(i // 2 == j // 2 for i, j in links)
+
+
+def test_chaining_odd_rows(spark):
+    rng = random.Random(17)
+    passage = " ".join(words(rng, 100))
+    long = " ".join(words(rng, 60_000, 10**6)) + " " + passage
+    rows = [("a", passage), ("a", passage), (None, "x " + passage), ("b", long), ("c", None), ("d", "short")]
+    got = chaining.repeated_passages(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted((r.doc_id or "") for r in got) == ["", "a", "b"] and {r.component_id for r in got} == {"a"}
+
+
 def test_chaining_finds_passages(spark):
     rng = random.Random(4)
     passage = words(rng, 120)

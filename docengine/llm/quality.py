@@ -1,7 +1,7 @@
 """Operator 6: quality classifier, a regularised quadratic discriminant over document statistics.
 
 Statistics of whole texts are computed in numpy batches and log-transformed.  Class moments are summed
-by Spark over the labelled rows; the driver sees one row per class and moment (their number depends on the
+by Spark over labelled rows (a sample of bounded size, ``TRAIN_ROWS``); the driver sees one row per class and moment (their number depends on the
 number of statistics alone).  Covariances are shrunk towards their diagonal, and scores are logistic in the
 difference of Mahalanobis log densities, with the Cholesky factors computed once.
 """
@@ -17,10 +17,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import array_slices, materialize, mix64, table, words_of, RollingHash
+from .common import BitFilter, array_slices, materialize, mix64, table, words_of, RollingHash
 
 STATISTICS = ("words", "word_length", "upper", "digit", "mark", "symbol", "shout", "line_breaks", "distinct", "distinct_3", "again", "stops")
 THRESHOLD = 0.3
+#: Labelled documents that the model is fitted on, about and at most: it has a few hundred parameters.
+TRAIN_ROWS = 50_000
 SYMBOLS = b"*$%&#@^~_=|<>{}[]\\/"
 MARKS = b".,;:?'\"()-"
 
@@ -149,22 +151,50 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Discriminant | float]:
-    """Statistics of every document (a written table of doc_id and x) and the model of the rows not held out."""
-    features = materialize(docs.select("doc_id", statistics_udf("text").alias("x")), "features")
-    known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("label"))
-    return features, fit(features.join(known, "doc_id"))
+def known_labels(labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
+    """(doc_id, label) of the rows to train on: not held out, one row per document, about ``most`` of them if there are more.
+
+    Documents whose labels disagree, and null ids or labels, are left out.  The sample goes by a hash of the id.
+    """
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("other")).where("label = other").select("doc_id", "label")
+    known = materialize(known, "labels")
+    n = known.count()
+    return known if n <= most else known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(6)), F.lit(1 << 30)) < F.lit(int(most / n * (1 << 30))))
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Discriminant | float:
+    """The model, fitted on the documents with a label that aren't held out; texts of other documents aren't looked at.
+
+    A bit filter over the labelled ids picks these documents inside the scan, so that no other text moves.
+    """
+    known = known_labels(labels, most)
+    has = BitFilter(known.select(F.xxhash64("doc_id")))
+    if not has.size:
+        return 1.0
+
+    @F.arrow_udf("boolean")
+    def maybe(h: pa.Array) -> pa.Array:
+        return pa.array(has(h.to_numpy()))
+
+    some = docs.where(F.col("doc_id").isNotNull()).where(maybe(F.xxhash64(F.col("doc_id").cast(known.schema["doc_id"].dataType))))
+    features = some.select(F.col("doc_id").alias("_id"), statistics_udf("text").alias("x"))
+    return fit(features.join(known, F.col("_id") == F.col("doc_id")).select("x", "label"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that the classifier doesn't reject; columns unchanged.  Null and empty texts are scored as texts of no words."""
-    _, model = train(docs, labels)
-    return docs.where(score_column(model, statistics_udf("text")) >= threshold)
+    """The documents that the classifier doesn't reject; columns unchanged.
+
+    Null and empty texts are scored as texts of no words, rows with a null id like any other, equal rows alike.  Without labels of both
+    classes the share of label 1 is every score (1 without any label).  An empty table gives no rows.
+    """
+    return docs.where(score_column(train(docs, labels), statistics_udf("text")) >= threshold)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features, model = train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    scored = features.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score_column(model, F.col("x")).alias("score"))
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score_column(model, statistics_udf("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 

@@ -27,9 +27,15 @@ def _fold_table() -> tuple[str, str]:
 _MARKED, _PLAIN = _fold_table()
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value worked out once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), lambda x: f(x)), 1)
+
+
 def fold(text: Column) -> Column:
-    """Small letters without diacritics."""
-    return F.lower(F.translate(F.regexp_replace(text, r"\p{M}+", ""), _MARKED, _PLAIN))
+    """Small letters without diacritics; plain ASCII, most text, only changes case."""
+    full = F.lower(F.translate(F.regexp_replace(text, r"\p{M}+", ""), _MARKED, _PLAIN))
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(full)
 
 
 def tokens(text: Column) -> Column:
@@ -109,11 +115,25 @@ def _character(hex_digits: Column) -> Column:
 
 
 def decode_entities(text: Column) -> Column:
-    """Hexadecimal, decimal and named entities, each in one pass; unknown ones stay."""
-    out = replace_matches(text, "&#[xX][0-9a-fA-F]{1,6};", lambda m: F.coalesce(_character(F.regexp_extract(m, "([0-9a-fA-F]+);", 1)), m))
-    out = replace_matches(out, "&#[0-9]{1,7};", lambda m: F.coalesce(_character(F.hex(F.regexp_extract(m, "([0-9]+)", 1).cast("long"))), m))
+    """Hexadecimal, decimal and named entities, each in one pass; unknown ones stay; text without a sign for them isn't looked through."""
     names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
-    return replace_matches(out, "&[A-Za-z]+;", lambda m: F.coalesce(F.try_element_at(names, F.lower(F.regexp_extract(m, "([A-Za-z]+)", 1))), m))
+    steps = (
+        ("&#[xX][0-9a-fA-F]{1,6};", lambda m: F.coalesce(_character(F.regexp_extract(m, "([0-9a-fA-F]+);", 1)), m)),
+        ("&#[0-9]{1,7};", lambda m: F.coalesce(_character(F.hex(F.regexp_extract(m, "([0-9]+)", 1).cast("long"))), m)),
+        ("&[A-Za-z]+;", lambda m: F.coalesce(F.try_element_at(names, F.lower(F.regexp_extract(m, "([A-Za-z]+)", 1))), m)),
+    )
+
+    def decoded(x: Column) -> Column:
+        out = x
+        for pattern, new in steps:
+            out = once(out, _replacing(pattern, new))
+        return F.when(F.contains(x, F.lit("&")), out).otherwise(x)
+
+    return once(text, decoded)
+
+
+def _replacing(pattern: str, new: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda x: replace_matches(x, pattern, new)
 
 
 def html_title(html: Column) -> Column:
@@ -122,34 +142,53 @@ def html_title(html: Column) -> Column:
     return F.when(F.regexp_like(html, F.lit(r"(?is)<title[^>]*>.*?</title>")), F.trim(F.regexp_replace(found, r"^\s+|\s+$", "")))
 
 
+#: What a tag leaves behind; all other tags leave nothing.
+TAGS = {"br": "\n", "li": "- ", "td": " | ", "th": " | ", **{f"h{n}": "\n" + "#" * n + " " for n in range(1, 7)}, **{f"/{t}": "\n" for t in ("p", "div", "section", "article", "tr", "li", "h1", "h2", "h3", "h4", "h5", "h6")}}
+_TAG = r"(?is)^<(?:(h[1-6]|li|t[dh])[^>]*|(br)\s*/?|(/(?:p|div|section|article|tr|li|h[1-6])))>"
+_INLINE = r"(?i)^</?(?:a|strong|b|em|i|code)\b"
+_LINK = r"""(?is)<a\s[^>]*href=["']([^"']+)["'][^>]*>(.*?)</a>"""
+_MARKS = (("strong|b", ">", "**"), ("em|i", ">", "*"), ("code", "[^>]*>", "`"))
+
+
+def _tagged(piece: Column) -> Column:
+    """A tag and the text up to the next: what the tag leaves behind, then the text; tags inside lines wait for their partners."""
+    known = F.create_map(*[F.lit(x) for kv in TAGS.items() for x in kv])
+    name = F.lower(F.concat(*[F.regexp_extract(piece, _TAG, i) for i in (1, 2, 3)]))
+    leaves = F.coalesce(F.try_element_at(known, name), F.lit(""))
+    return F.when(F.regexp_like(piece, F.lit(_INLINE)) | ~F.startswith(piece, F.lit("<")), piece).otherwise(F.concat(leaves, F.regexp_replace(piece, "^<[^>]+>", "")))
+
+
+def _linked(link: Column) -> Column:
+    words, target = F.trim(F.regexp_replace(F.regexp_extract(link, _LINK, 2), "<[^>]+>", "")), F.regexp_extract(link, _LINK, 1)
+    return once(words, lambda w: F.when(w == "", target).otherwise(F.concat(F.lit("["), w, F.lit("]("), target, F.lit(")"))))
+
+
+def _inlined(text: Column) -> Column:
+    out = once(text, lambda x: replace_matches(x, _LINK, _linked))
+    for names, rest, mark in _MARKS:
+        out = F.regexp_replace(out, f"(?is)<({names}){rest}(.*?)</\\1>", f"{mark}$2{mark}")
+    return decode_entities(F.regexp_replace(out, "<[^>]+>", ""))
+
+
+def _tidy(text: Column) -> Column:
+    """Single spaces, trimmed lines, at most one empty line between two."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " ")))
+    return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+
+
 def html_to_markdown(html: Column) -> Column:
-    """Headings, lists, links, tables, emphasis and code; other tags go, entities are decoded."""
-    s = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    s = F.regexp_replace(s, r"(?is)<(script|style|noscript|svg).*?</\1>", "")
-    s = F.regexp_replace(s, r"\r\n?", "\n")
-    title = html_title(s)
-    for pattern, new in ((r"(?i)<br\s*/?>", "\n"), (r"(?i)</(?:p|div|section|article|tr|li|h[1-6])>", "\n")):
-        s = F.regexp_replace(s, pattern, new)
-    for n in range(1, 7):
-        s = F.regexp_replace(s, f"(?i)<h{n}[^>]*>", "\n" + "#" * n + " ")
-    s = F.regexp_replace(s, "(?i)<li[^>]*>", "- ")
-    s = F.regexp_replace(s, "(?i)<t[dh][^>]*>", " | ")
-    link = r"""(?is)<a\s[^>]*href=["']([^"']+)["'][^>]*>(.*?)</a>"""
-
-    def linked(m: Column) -> Column:
-        words = F.trim(F.regexp_replace(F.regexp_extract(m, link, 2), "<[^>]+>", ""))
-        target = F.regexp_extract(m, link, 1)
-        return F.when(words == "", target).otherwise(F.concat(F.lit("["), words, F.lit("]("), target, F.lit(")")))
-
-    s = replace_matches(s, link, linked)
-    s = F.regexp_replace(s, r"(?is)<(strong|b)>(.*?)</\1>", "**$2**")
-    s = F.regexp_replace(s, r"(?is)<(em|i)>(.*?)</\1>", "*$2*")
-    s = F.regexp_replace(s, r"(?is)<code[^>]*>(.*?)</code>", "`$1`")
-    s = decode_entities(F.regexp_replace(s, "<[^>]+>", ""))
-    s = F.array_join(F.transform(F.split(s, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " "))), "\n")
-    s = F.regexp_replace(F.regexp_replace(s, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
-    head = F.concat(F.lit("# "), title)
-    return F.when(title.isNotNull() & (title != "") & ~F.startswith(s, head), F.concat(head, F.lit("\n\n"), s)).otherwise(s)
+    """Headings, lists, links, tables, emphasis and code; other tags go, entities are decoded.
+
+    The page is cut before every tag once, and each piece is rewritten by its own tag; then links and emphasis are paired.
+    """
+    seen = F.regexp_replace(F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|noscript|svg).*?</\1>", ""), r"\r\n?", "\n")
+
+    def page(s: Column) -> Column:
+        body = _tidy(_inlined(F.array_join(F.transform(F.split(s, "(?=<[^<>]+>)"), lambda x: _tagged(x)), "")))
+        head = lambda t: F.concat(F.lit("# "), t)
+        return once(F.struct(html_title(s).alias("t"), body.alias("b")), lambda x: F.when(x["t"].isNotNull() & (x["t"] != "") & ~F.startswith(x["b"], head(x["t"])), F.concat(head(x["t"]), F.lit("\n\n"), x["b"])).otherwise(x["b"]))
+
+    return once(seen, page)
 
 
 def markdown_table(rows: Column) -> Column:

@@ -1,8 +1,8 @@
 """Lexical, semantic and hybrid search.
 
-BM25 needs no inverted index for ad-hoc queries: one scan counts the query's phrases per document with array functions
-(nothing is exploded or shuffled), corpus statistics are one row, and the result is a distributed top-k.  ``postings``
-writes the index for repeated queries.  All ranked lists have columns (id, score, rank).
+BM25 needs no inverted index for ad-hoc queries: the query's phrases are counted in folded text (nothing is exploded or
+shuffled), corpus statistics are one row, and the result is a distributed top-k.  ``postings`` writes the index for repeated
+queries, and ``bm25_postings`` ranks from it.  All ranked lists have columns (id, score, rank).
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docengine.functions.text import query_phrases, snippet, tokens
+from docengine.functions.text import fold, query_phrases, snippet, tokens
 
 K1, B = 1.2, 0.75
 
@@ -23,32 +23,98 @@ def pool_size(k: int) -> int:
     return max(4 * k, 24)
 
 
-def _count(words: Column, phrase: list[str]) -> Column:
-    if len(phrase) == 1:
-        return F.size(F.filter(words, lambda w: w == phrase[0]))
-    # A look-ahead counts overlapping runs too; the text is joined once, not once per place.
-    return F.regexp_count(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), F.lit(f"(?= {' '.join(phrase)} )"))
+_SIGN = r"[\p{L}\p{N}]"
+
+
+def _count(folded: Column, phrase: list[str]) -> Column:
+    """Places of a phrase in folded text, overlapping ones too; texts without its first word aren't searched."""
+    whole = rf"(?<!{_SIGN})(?={rf'[^\p{{L}}\p{{N}}]+'.join(phrase)}(?!{_SIGN}))"
+    return F.when(F.contains(folded, F.lit(phrase[0])), F.regexp_count(folded, F.lit(whole))).otherwise(0)
 
 
 def bm25(docs: DataFrame, query: str, id_col: str = "doc_id", text: str = "text", keep: Column | None = None) -> DataFrame:
     """(id, score) of every document with a phrase of the query; repeated phrases count again.
 
-    ``keep`` filters results only: statistics are those of the whole corpus.
+    ``keep`` filters results only: statistics are those of the whole corpus.  One scan gives the statistics; a second scores the
+    documents that hold a word of the query at all.  Nothing is split into arrays, exploded or shuffled.
     """
     phrases = query_phrases(query)
     if not phrases:
         return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).where("false")
     kept = keep if keep is not None else F.lit(True)
-    words = docs.select(F.col(id_col).alias("id"), kept.alias("_keep"), tokens(F.col(text)).alias("_words"))
-    counted = words.select("id", "_keep", F.size("_words").alias("_dl"), *[_count(F.col("_words"), p).alias(f"_f{i}") for i, p in enumerate(phrases)])
-    stats = counted.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avgdl"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_df{i}") for i in range(len(phrases))])
-    score = F.lit(0.0)
+    folded = fold(F.coalesce(F.col(text), F.lit("")))
+    size = F.regexp_count("_t", F.lit(_SIGN + "+"))
+    all_ = docs.select(folded.alias("_t")).select(size.alias("_dl"), *[(_count(F.col("_t"), p) > 0).alias(f"_h{i}") for i, p in enumerate(phrases)])
+    stats = all_.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avgdl"), *[F.count_if(F.col(f"_h{i}")).alias(f"_df{i}") for i in range(len(phrases))])
+    some = F.lit(False)
+    for p in phrases:
+        some = some | F.contains("_t", F.lit(p[0]))
+    hits = docs.where(kept).select(F.col(id_col).alias("id"), folded.alias("_t")).where(some)
+    hits = hits.select("id", size.alias("_dl"), *[_count(F.col("_t"), p).alias(f"_f{i}") for i, p in enumerate(phrases)])
+    score, any_hit = F.lit(0.0), F.lit(False)
     for i in range(len(phrases)):
         idf = F.ln((F.col("_n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5))
         f = F.col(f"_f{i}")
         score = score + F.when(idf <= 0, 1e-6).otherwise(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_dl") / F.col("_avgdl")))
-    any_hit = F.greatest(*[F.col(f"_f{i}") for i in range(len(phrases))]) if len(phrases) > 1 else F.col("_f0")
-    return counted.where(F.col("_keep") & (any_hit > 0)).crossJoin(F.broadcast(stats)).select("id", score.alias("score"))  # one row of statistics
+        any_hit = any_hit | (f > 0)
+    return hits.where(any_hit).crossJoin(F.broadcast(stats)).select("id", score.alias("score"))  # one row of statistics
+
+
+def bm25_postings(index: DataFrame, query: str) -> DataFrame:
+    """(id, score) as ``bm25``, from a written ``postings`` table: only the rows of the query's terms and one row of statistics are read."""
+    phrases = query_phrases(query)
+    terms = sorted({t for p in phrases for t in p})
+    if not terms:
+        return index.select("id", F.lit(0.0).alias("score")).where("false")
+    stats = index.where("term = ''").agg(F.count("*").alias("_n"), F.avg("dl").alias("_avgdl"))
+    rows = index.where(F.col("term").isin(*terms)).select("id", "term", "dl", "positions")
+    per = rows.groupBy("id").agg(F.first("dl").alias("_dl"), F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("_p"))
+    none = F.array().cast("array<int>")
+    at = lambda t: F.coalesce(F.try_element_at("_p", F.lit(t)), none)
+
+    def places(phrase: list[str]) -> Column:
+        out = at(phrase[0])
+        for k, t in enumerate(phrase[1:], 1):
+            out = F.array_intersect(out, F.transform(at(t), _back(k)))
+        return F.size(out)
+
+    counted = per.select("id", "_dl", *[places(p).alias(f"_f{i}") for i, p in enumerate(phrases)])
+    df = counted.agg(*[F.count_if(F.col(f"_f{i}") > 0).alias(f"_df{i}") for i in range(len(phrases))])
+    score, any_hit = F.lit(0.0), F.lit(False)
+    for i in range(len(phrases)):
+        idf = F.ln((F.col("_n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5))
+        f = F.col(f"_f{i}")
+        score = score + F.when(idf <= 0, 1e-6).otherwise(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_dl") / F.col("_avgdl")))
+        any_hit = any_hit | (f > 0)
+    both = stats.crossJoin(F.broadcast(df))  # one row each
+    return counted.where(any_hit).crossJoin(F.broadcast(both)).select("id", score.alias("score"))
+
+
+def _back(k: int):
+    return lambda x: x - k
+
+
+def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", lead: int = 8) -> DataFrame:
+    """(id, item): documents that hold all words of an item one after the other, whatever the space between them.
+
+    Runs of ``lead`` words (fewer for shorter items) bring the two together by their hash, without texts; the whole item decides
+    about these pairs.
+    """
+    flat = lambda c: F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s+", " "))
+    i = items.select(item_col, flat(text).alias("_item")).where("_item <> ''").withColumn("_w", F.split("_item", " "))
+    i = i.withColumn("_n", F.least(F.size("_w"), F.lit(lead))).withColumn("_lead", F.xxhash64(F.array_join(F.slice("_w", F.lit(1), F.col("_n")), " ")))
+    sizes = sorted(r[0] for r in i.select("_n").distinct().collect())  # at most ``lead`` numbers
+    if not sizes:
+        return docs.select(id_col).crossJoin(items.select(item_col)).where("false")
+    d = docs.select(id_col, flat(text).alias("_text"))
+    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.size("_v") - n + 1, F.lit(1))), _run(n)) for n in sizes]
+    seen = d.select(id_col, F.split("_text", " ").alias("_v")).select(id_col, F.explode(F.array_distinct(F.concat(*runs))).alias("_lead"))
+    pairs = seen.join(i.select(item_col, "_item", "_lead"), "_lead").select(id_col, item_col, "_item").distinct()
+    return d.join(pairs, id_col).where(F.contains(F.concat(F.lit(" "), "_text", F.lit(" ")), F.concat(F.lit(" "), "_item", F.lit(" ")))).select(id_col, item_col).distinct()
+
+
+def _run(n: int):
+    return lambda at: F.xxhash64(F.array_join(F.slice("_v", at, F.lit(n)), " "))
 
 
 def top(scored: DataFrame, k: int, digits: int = 12) -> DataFrame:
@@ -58,11 +124,15 @@ def top(scored: DataFrame, k: int, digits: int = 12) -> DataFrame:
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(term, id, tf, dl, positions): the inverted index, sorted by term inside its partitions."""
+    """(term, id, tf, dl, positions): the inverted index; write it sorted or partitioned by term.
+
+    A row of the empty term for every document keeps its length, for the corpus statistics.
+    """
     words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text)).alias("w")).withColumn("dl", F.size("w"))
     each = words.select("id", "dl", F.posexplode("w").alias("pos", "term"))
     got = each.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    return got.select("term", "id", "tf", "dl", "positions")
+    every = words.select(F.lit("").alias("term"), "id", F.lit(0).cast("long").alias("tf"), "dl", F.array().cast("array<int>").alias("positions"))
+    return got.select("term", "id", "tf", "dl", "positions").unionByName(every)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -75,6 +145,10 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((nx == 0) | (ny == 0), 0.0).otherwise(dot / F.sqrt(nx) / F.sqrt(ny))
 
 
+def _norm(vector: str) -> Column:
+    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, e: s + e * e))
+
+
 def semantic(vectors: DataFrame, query: list[float], id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(id, score) of all vectors against one query vector, a literal in the plan."""
     q = F.array(*[F.lit(float(x)) for x in query])
@@ -87,7 +161,8 @@ def semantic_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str =
     Up to ``block`` queries are broadcast.  More are dealt into blocks that meet salted slices of the vectors by shuffle.
     Either way a task keeps the k best of its rows per query before ranks are taken.
     """
-    v = vectors.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("_v"))
+    v = vectors.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("_v")).withColumn("_nv", _norm("_v"))
+    queries = queries.select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector")).withColumn("_nq", _norm("query_vector"))
     n = queries.count()
     if n <= block:
         pairs = v.join(F.broadcast(queries), F.col("id") != F.col("query_id"))
@@ -96,7 +171,11 @@ def semantic_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str =
         q = queries.withColumn("_part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         v = v.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
         pairs = v.join(q, ["_part", "_salt"]).where(F.col("id") != F.col("query_id"))
-    scored = pairs.select("query_id", "id", F.round(cosine(F.col("_v"), F.col("query_vector")), 6).alias("score"))
+    # Norms are worked out once per vector; only vectors of unequal lengths go the long way.
+    same = F.size("_v") == F.size("query_vector")
+    dot = F.aggregate(F.zip_with("_v", "query_vector", lambda p, q: p * q), F.lit(0.0), lambda s, e: s + e)
+    near = F.when((F.col("_nv") == 0) | (F.col("_nq") == 0), 0.0).otherwise(dot / F.col("_nv") / F.col("_nq"))
+    scored = pairs.select("query_id", "id", F.round(F.when(same, near).otherwise(cosine(F.col("_v"), F.col("query_vector"))), 6).alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -114,8 +193,8 @@ def rank_fusion(lists: list[DataFrame], limit: int, constant: int = 60, digits:
 
 def hydrate(ranked: DataFrame, chunks: DataFrame, query: str | None = None, id_col: str = "doc_id", text: str = "text", keep: Column | None = None) -> DataFrame:
     """Ranked ids with their rows, in rank order; ids without a row go; ``keep`` filters after ranking."""
-    few = ranked.withColumnRenamed("rank", "_rank")  # at most a pool of rows
-    out = chunks.join(F.broadcast(few), chunks[id_col] == few["id"]).drop("id")
+    few = ranked.withColumnRenamed("rank", "_rank")  # a pool of rows: its size, not a hint, makes it the broadcast side
+    out = chunks.join(few, chunks[id_col] == few["id"]).drop("id")
     if keep is not None:
         out = out.where(keep)
     if query is not None:

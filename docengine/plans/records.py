@@ -123,7 +123,7 @@ def doc_type_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def chat_list(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations")
-    return c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.min_by(F.when(F.col("role") == "user", F.substring("text", 1, 80)), F.when(F.col("role") == "user", F.col("turn"))).alias("first_question"))
+    return c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.min_by(F.when(F.col("role") == "user", F.col("text")), F.when(F.col("role") == "user", F.col("turn"))).alias("first_question"))
 
 
 def citations(spark: SparkSession, sf: str) -> DataFrame:
@@ -134,7 +134,7 @@ def citations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _segments(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").select("conv_id", "turn", "role", F.substring("text", 1, 60).alias("text"), (F.col("turn") * 2.5).alias("start"), (F.col("turn") * 2.5 + 2.25).alias("end"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", "role", "text", (F.col("turn") * 2.5).alias("start"), (F.col("turn") * 2.5 + 2.25).alias("end"))
 
 
 def speaker_turns(spark: SparkSession, sf: str) -> DataFrame:
@@ -203,7 +203,7 @@ def tumbling_window(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rate_limit(spark: SparkSession, sf: str) -> DataFrame:
-    return streams.rate_limit(table(spark, sf, "events"), "user_id", "ts", 2, 36000.0)
+    return streams.rate_limit(table(spark, sf, "events"), "user_id", "ts", 2, 36000.0).withColumn("wait", F.round("wait", 4))
 
 
 def lru_evict(spark: SparkSession, sf: str) -> DataFrame:
@@ -249,7 +249,7 @@ _CENTS = "CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT)"
 _NUM = r"regexp_replace(regexp_replace(CAST(CAST({c} / 100.0 AS DECIMAL(20, 2)) AS VARCHAR), '0+$', ''), '\.$', '')"
 _LOG = "SELECT user_id AS id, event_id, ts, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'cancelled' END AS status, value FROM events"
 _JOBS = f"SELECT id, min(ts) AS created_at, max(ts) AS updated_at, arg_max(status, (ts, event_id)) AS status, arg_max(value, (ts, event_id)) AS progress, count(*) AS n_events FROM ({_LOG}) GROUP BY id"
-_SEG = "SELECT conv_id, turn, role, substr(text, 1, 60) AS text, turn * 2.5::DOUBLE AS start, turn * 2.5::DOUBLE + 2.25::DOUBLE AS \"end\" FROM conversations"
+_SEG = "SELECT conv_id, turn, role, text, turn * 2.5::DOUBLE AS start, turn * 2.5::DOUBLE + 2.25::DOUBLE AS \"end\" FROM conversations"
 _CROSS = f"""WITH d AS (SELECT o_orderkey AS id, 'n-' || o_orderkey AS k, {_NUM.format(c=_CENTS)} AS v, strftime(o_orderdate, '%Y-%m-%d') AS e FROM orders WHERE o_orderkey % 10 <> 3),
 t AS (SELECT 'n-' || o_orderkey AS k, {_NUM.format(c="CAST(floor((o_totalprice + CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END) * 100 + 0.5) AS BIGINT)")} AS v, strftime(o_orderdate, '%Y-%m-%d') AS e FROM orders WHERE o_orderkey % 10 <> 4),
 j AS (SELECT coalesce(d.k, t.k) AS key, id, CASE WHEN d.k IS NULL THEN 'missing_in_documents' WHEN t.k IS NULL THEN 'missing_in_table' WHEN d.v <> t.v OR d.e <> t.e THEN 'different' ELSE 'matched' END AS status,
@@ -275,7 +275,7 @@ _BASE = "lpad((c_custkey * 7919)::VARCHAR, 43, '31')"
 _M11 = lambda t: f"CASE WHEN {t} % 11 < 2 THEN 0 ELSE 11 - {t} % 11 END"
 
 ORACLE = {
-    "normalize_amount": f"SELECT o_orderkey, {_CENTS} / 100.0::DOUBLE AS amount, o_totalprice AS plain, 'r$ ' || '' AS normal FROM orders",
+    "normalize_amount": f"SELECT o_orderkey, {_CENTS} / 100.0::DOUBLE AS amount, o_totalprice AS plain, {_NUM.format(c=_CENTS)} AS normal FROM orders",
     "normalize_date": "SELECT o_orderkey, strftime(o_orderdate, '20%y-%m-%d') AS short, strftime(o_orderdate, '%Y-%m-%d') AS dashed, strftime(o_orderdate, '%Y-%m-%d') AS iso, CAST(NULL AS VARCHAR) AS none FROM orders",
     "check_digits": f"""WITH b AS (SELECT c_custkey, {_BASE} AS s, substr({_BASE}, 32, 12) AS n, substr({_BASE}, 35, 9) AS f FROM customer),
 d AS (SELECT *, CAST({_M11(_check([2 + (42 - i) % 8 for i in range(43)], 's'))} AS BIGINT) AS nfe, {_M11(_check([2 + (11 - i) % 8 for i in range(12)], 'n'))} AS n1, {_check(list(range(10, 1, -1)), 'f')} * 10 % 11 % 10 AS f1 FROM b),
@@ -294,12 +294,12 @@ CASE WHEN o_orderkey % 7 = 0 THEN 'valor_negativo' WHEN o_orderkey % 11 = 0 THEN
     "unique_names": "SELECT id, CASE WHEN n = 1 THEN b || '.pdf' ELSE b || ' (' || n || ').pdf' END AS unique_name FROM (SELECT p_partkey AS id, p_brand AS b, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part)",
     "ingest_report": "SELECT lang, count(*) AS sources, count(*) FILTER (n_chars >= 200) AS indexed, count(*) FILTER (n_chars < 200) AS failed, count(quality) AS extracted, count(*) FILTER (toxic <> 0) AS with_issues FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1",
     "doc_type_counts": "SELECT coalesce(quality::VARCHAR, 'none') AS doc_type, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1",
-    "chat_list": "SELECT conv_id, count(*) AS turns, arg_min(substr(text, 1, 80), turn) FILTER (role = 'user') AS first_question FROM conversations GROUP BY 1",
+    "chat_list": "SELECT conv_id, count(*) AS turns, arg_min(text, turn) FILTER (role = 'user') AS first_question FROM conversations GROUP BY 1",
     "citations": """WITH m AS (SELECT conv_id, max(turn) + 1 AS s FROM conversations GROUP BY 1),
 l AS (SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN range(1, least(3, s) + 1) ELSE list_filter([2, 1, CASE WHEN s > 2 AND s <= 99 THEN s END], lambda n: n IS NOT NULL AND n <= s) END AS l FROM m),
 e AS (SELECT conv_id, unnest(l) AS n, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS place FROM l)
 SELECT e.conv_id, place, CAST(n AS INTEGER) AS n, length(text) AS quote_chars FROM e JOIN conversations c ON c.conv_id = e.conv_id AND c.turn + 1 = e.n""",
-    "speaker_turns": "SELECT conv_id, turn, speaker FROM (SELECT conv_id, turn, text, CAST(1 + coalesce(sum((role = 'assistant')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS speaker FROM conversations) WHERE turn <> 1 AND trim(substr(text, 1, 60)) <> ''",
+    "speaker_turns": "SELECT conv_id, turn, speaker FROM (SELECT conv_id, turn, text, CAST(1 + coalesce(sum((role = 'assistant')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS speaker FROM conversations) WHERE turn <> 1 AND trim(text) <> ''",
     "transcript_text": f"SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text, arg_max(\"end\", turn) AS duration, count(*) AS n_segments FROM ({_SEG}) GROUP BY 1",
     "srt_cues": f"SELECT conv_id, CAST(n AS INTEGER) AS n, n || chr(10) || {_cue('start')} || ' --> ' || {_cue('e')} || chr(10) || text AS cue FROM (SELECT conv_id, start, \"end\" AS e, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM ({_SEG}))",
     "prompt_transcript": f"""WITH f AS (SELECT conv_id, string_agg('[' || {_clock('start * 600')} || '] ' || text, chr(10) ORDER BY turn) AS t FROM ({_SEG}) GROUP BY 1)
@@ -316,6 +316,11 @@ WHERE NOT coalesce((p IS NULL AND status = 'queued') OR (p = 'queued' AND status
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM g)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, s""",
     "tumbling_window": "SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+    "rate_limit": """WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS client, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT a.client, a.n, min(b.n) AS nxt FROM e a LEFT JOIN e b ON b.client = a.client AND b.us >= a.us + 36000000000 GROUP BY 1, 2),
+r AS (SELECT client, n FROM e WHERE n = 1 UNION ALL SELECT r.client, f.nxt FROM r JOIN f ON f.client = r.client AND f.n = r.n WHERE f.nxt IS NOT NULL),
+w AS (SELECT e.client, e.us, e.n, max(r.n) OVER (PARTITION BY e.client ORDER BY e.n) AS opened FROM e LEFT JOIN r ON r.client = e.client AND r.n = e.n)
+SELECT w.client, w.us, w.n - w.opened < 2 AS allowed, round(CASE WHEN w.n - w.opened < 2 THEN 0 ELSE (o.us + 36000000000 - w.us) / 1e6::DOUBLE END, 4) AS wait FROM w JOIN e o ON o.client = w.client AND o.n = w.opened""",
     "lru_evict": "SELECT p_partkey FROM (SELECT p_partkey, sum(p_size) OVER (PARTITION BY p_brand) - coalesce(sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l FROM part) WHERE l + 100 > 600",
     "pick_by_preference": """WITH t AS (SELECT p_type, row_number() OVER (ORDER BY p_type) AS n FROM (SELECT DISTINCT p_type FROM part)),
 r AS (SELECT p_brand, p_size, p_name || '/' || p_partkey AS path, CASE WHEN n <= 2 AND p_size <= 10 THEN n END AS good FROM part JOIN t USING (p_type)),
@@ -329,5 +334,3 @@ SELECT p_brand, CAST(p_size AS BIGINT) AS p_size, path, p_size <= 10 AS fits FRO
 SELECT o_orderkey, {_clock('s')} AS clock, CAST(floor(s * 1000 + 0.5) AS BIGINT) // 3600000 * 3600::DOUBLE + CAST(floor(s * 1000 + 0.5) AS BIGINT) % 3600000 // 60000 * 60::DOUBLE + CAST(CAST(floor(s * 1000 + 0.5) AS BIGINT) % 60000 / 1000.0 AS DECIMAL(9,3))::DOUBLE AS seconds,
 CASE WHEN floor(s * 1000) = 0 THEN '?' WHEN floor(s * 1000) >= 1048576 THEN CAST(floor(floor(s * 1000) / 1048576 + 0.5) AS BIGINT) || ' MB' ELSE CAST(floor(floor(s * 1000) / 1024 + 0.5) AS BIGINT) || ' KB' END AS size FROM o""",
 }
-#: The rendered amount keeps its currency sign, so it is compared as text.
-ORACLE["normalize_amount"] = f"SELECT o_orderkey, {_CENTS} / 100.0::DOUBLE AS amount, o_totalprice AS plain, {_NUM.format(c=_CENTS)} AS normal FROM orders"

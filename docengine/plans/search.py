@@ -31,8 +31,13 @@ def bm25_folded(spark: SparkSession, sf: str) -> DataFrame:
     return S.top(S.bm25(table(spark, sf, "documents"), FRENCH), 24, 6)
 
 
+def bm25_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The phrase query from the inverted index."""
+    return S.top(S.bm25_postings(S.postings(table(spark, sf, "documents")), PHRASE + " " + WORDS), 24, 6)
+
+
 def postings_terms(spark: SparkSession, sf: str) -> DataFrame:
-    p = S.postings(table(spark, sf, "documents"))
+    p = S.postings(table(spark, sf, "documents")).where("term <> ''")
     return p.groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("tf").alias("n_terms"), F.max(F.size("positions")).cast("long").alias("most"))
 
 
@@ -99,19 +104,12 @@ def parse_url_ref(spark: SparkSession, sf: str) -> DataFrame:
 
 def slugs(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
-    head = F.regexp_replace(F.substring("text", 1, 120), r"[^\p{ASCII}À-ÿ]", "")
-    return d.select("doc_id", T.slugify(head).alias("slug"), T.normalize_key(head).alias("key"))
+    return d.select("doc_id", T.slugify(F.col("text")).alias("slug"), T.normalize_key(F.col("text")).alias("key"))
 
 
 def benchmark_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that contain the first eight words of a benchmark item: windows meet items by hash join, then text decides."""
-    n = 8
-    b = table(spark, sf, "benchmark").select("item_id", F.slice(F.split(F.trim("text"), r"\s+"), 1, n).alias("w")).where(F.size("w") == n)
-    b = b.select("item_id", F.array_join("w", " ").alias("lead"))
-    w = F.split(F.trim("text"), r"\s+")
-    d = table(spark, sf, "documents").select("doc_id", w.alias("w")).where(F.size("w") >= n)
-    d = d.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, F.lit(n)), " ")))).alias("lead"))
-    return d.join(b, "lead").select("doc_id", "item_id")
+    """Documents that contain a whole benchmark item, word for word."""
+    return S.contained(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
 HINTS = [("alpha", ("the", "/\\bthat\\b/"), (), (), ()), ("beta", ("la ", "/\\bque\\b/"), (), (), ()), ("gamma", ("der", "und"), (), (), ())]
@@ -125,7 +123,7 @@ def classify_gate(spark: SparkSession, sf: str) -> DataFrame:
     return D.classify(D.hint_scores(table(spark, sf, "documents"), HINTS))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_filtered, bm25_phrase, bm25_folded, postings_terms, cosine_topk, cosine_zero_norm, rrf_hybrid, rrf_postfilter, hydrate_ranked, snippet_window, estimate_tokens, chunk_rows, chunk_stats, speech_parts, html_to_markdown, parse_url_ref, slugs, benchmark_lookup, classify_hints, classify_gate)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_filtered, bm25_phrase, bm25_folded, bm25_index, postings_terms, cosine_topk, cosine_zero_norm, rrf_hybrid, rrf_postfilter, hydrate_ranked, snippet_window, estimate_tokens, chunk_rows, chunk_stats, speech_parts, html_to_markdown, parse_url_ref, slugs, benchmark_lookup, classify_hints, classify_gate)}
 
 _TOKENS = r"list_filter(regexp_split_to_array(lower(strip_accents(coalesce(text, ''))), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
 
@@ -179,6 +177,7 @@ ORACLE = {
     "bm25_filtered": _bm25(T.query_phrases(WORDS), "source IN ('src1', 'src3')"),
     "bm25_phrase": _bm25(T.query_phrases(PHRASE)),
     "bm25_folded": _bm25(T.query_phrases(FRENCH)),
+    "bm25_index": _bm25(T.query_phrases(PHRASE + " " + WORDS)),
     "postings_terms": f"SELECT term, count(*) AS n_docs, CAST(sum(tf) AS BIGINT) AS n_terms, max(tf) AS most FROM (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY 1, 2) GROUP BY 1",
     "cosine_topk": """SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
 SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6) AS score
@@ -195,11 +194,11 @@ ELSE CASE WHEN place - 1 - 106 > 0 THEN '…' ELSE '' END || substr(t, greatest(
     "html_to_markdown": f"""WITH p AS (SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, {_MD} AS m FROM pages)
 SELECT page_id, title, CASE WHEN title <> '' AND NOT starts_with(m, '# ' || title) THEN '# ' || title || chr(10) || chr(10) || m ELSE m END AS markdown FROM p""",
     "parse_url_ref": r"SELECT page_id, 'url' AS provider, coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+[^?#]*/([^/?#]*)', 1), ''), 'download') AS label FROM pages",
-    "slugs": r"""WITH h AS (SELECT doc_id, lower(strip_accents(regexp_replace(substr(text, 1, 120), '[^\x00-\x7F\x{C0}-\x{FF}]', '', 'g'))) AS h FROM documents)
+    "slugs": r"""WITH h AS (SELECT doc_id, lower(strip_accents(text)) AS h FROM documents)
 SELECT doc_id, coalesce(nullif(substr(regexp_replace(regexp_replace(h, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48), ''), 'project') AS slug, regexp_replace(h, '[^a-z0-9]', '', 'g') AS key FROM h""",
-    "benchmark_lookup": r"""WITH b AS (SELECT item_id, list_slice(regexp_split_to_array(trim(text), '\s+'), 1, 8) AS w FROM benchmark),
-d AS (SELECT doc_id, ' ' || array_to_string(regexp_split_to_array(trim(text), '\s+'), ' ') || ' ' AS t FROM documents)
-SELECT doc_id, item_id FROM d JOIN b ON contains(t, ' ' || array_to_string(w, ' ') || ' ') WHERE len(w) = 8""",
+    "benchmark_lookup": r"""WITH b AS (SELECT item_id, ' ' || trim(regexp_replace(text, '\s+', ' ', 'g')) || ' ' AS w FROM benchmark WHERE trim(regexp_replace(text, '\s+', ' ', 'g')) <> ''),
+d AS (SELECT doc_id, ' ' || trim(regexp_replace(text, '\s+', ' ', 'g')) || ' ' AS t FROM documents)
+SELECT doc_id, item_id FROM d JOIN b ON contains(t, w)""",
     "classify_hints": _HINT + "SELECT id, type, score FROM h WHERE score > 0",
     "classify_gate": _HINT + """, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, place) AS n, count(*) OVER (PARTITION BY id) AS k, lead(score) OVER (PARTITION BY id ORDER BY score DESC, place) AS nxt FROM h WHERE score > 0)
 SELECT id, type, score, coalesce(nxt, 0) AS second, k = 1 OR score >= nxt + 2 AS sure FROM r WHERE n = 1""",

@@ -11,6 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docengine.functions.text import once
+
+#: Field names, issue codes and weights below.
 NO_ISSUES = "array<struct<code:string,severity:string,field:string>>"
 
 
@@ -39,8 +42,7 @@ def nfe_check_digit(key43: Column) -> Column:
 
 
 def is_valid_nfe_key(value: Column) -> Column:
-    k = only_digits(value)
-    return F.when(F.length(k) == 44, nfe_check_digit(k) == _digit(k, 44)).otherwise(False)
+    return once(only_digits(value), lambda k: F.when(F.length(k) == 44, nfe_check_digit(k) == _digit(k, 44)).otherwise(False))
 
 
 def _falling(n: int) -> list[int]:
@@ -49,37 +51,50 @@ def _falling(n: int) -> list[int]:
 
 
 def is_valid_cnpj(value: Column) -> Column:
-    c = only_digits(value)
-    good = (_mod11(_weighted(c, _falling(12))) == _digit(c, 13)) & (_mod11(_weighted(c, _falling(13))) == _digit(c, 14))
-    return F.when((F.length(c) == 14) & ~F.regexp_like(c, F.lit(r"^(\d)\1*$")), good).otherwise(False)
+
+    def check(c: Column) -> Column:
+        good = (_mod11(_weighted(c, _falling(12))) == _digit(c, 13)) & (_mod11(_weighted(c, _falling(13))) == _digit(c, 14))
+        return F.when((F.length(c) == 14) & ~F.regexp_like(c, F.lit(r"^(\d)\1*$")), good).otherwise(False)
+
+    return once(only_digits(value), check)
 
 
 def is_valid_cpf(value: Column) -> Column:
-    c = only_digits(value)
-    check = lambda n: _weighted(c, list(range(n + 1, 1, -1))) * 10 % 11 % 10
-    return F.when((F.length(c) == 11) & ~F.regexp_like(c, F.lit(r"^(\d)\1*$")), (check(9) == _digit(c, 10)) & (check(10) == _digit(c, 11))).otherwise(False)
+
+    def check(c: Column) -> Column:
+        rest = lambda n: _weighted(c, list(range(n + 1, 1, -1))) * 10 % 11 % 10
+        return F.when((F.length(c) == 11) & ~F.regexp_like(c, F.lit(r"^(\d)\1*$")), (rest(9) == _digit(c, 10)) & (rest(10) == _digit(c, 11))).otherwise(False)
+
+    return once(only_digits(value), check)
 
 
 def parse_amount(value: Column) -> Column:
     """Amounts in either notation, or null."""
-    s = F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), r"[^0-9,.\-]", "")
-    comma, dot = F.length(s) - F.locate(",", F.reverse(s)), F.length(s) - F.locate(".", F.reverse(s))
-    comma, dot = F.when(F.contains(s, F.lit(",")), comma).otherwise(-1), F.when(F.contains(s, F.lit(".")), dot).otherwise(-1)
-    no_dots = F.replace(s, F.lit("."), F.lit(""))
-    decimal = F.regexp_replace(no_dots, "^([^,]*),", "$1.")
-    plain = F.when((comma >= 0) & (comma > dot), decimal).when(F.regexp_like(s, F.lit(r"^-?\d{1,3}(\.\d{3})+$")), no_dots).otherwise(F.replace(s, F.lit(","), F.lit("")))
-    return F.when(F.regexp_like(plain, F.lit(r"^-?(\d+\.?\d*|\.\d+)$")), plain.try_cast("double"))
+
+    def plain(s: Column) -> Column:
+        comma, dot = F.length(s) - F.locate(",", F.reverse(s)), F.length(s) - F.locate(".", F.reverse(s))
+        comma, dot = F.when(F.contains(s, F.lit(",")), comma).otherwise(-1), F.when(F.contains(s, F.lit(".")), dot).otherwise(-1)
+        no_dots = F.replace(s, F.lit("."), F.lit(""))
+        decimal = F.regexp_replace(no_dots, "^([^,]*),", "$1.")
+        return F.when((comma >= 0) & (comma > dot), decimal).when(F.regexp_like(s, F.lit(r"^-?\d{1,3}(\.\d{3})+$")), no_dots).otherwise(F.replace(s, F.lit(","), F.lit("")))
+
+    signs = F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), r"[^0-9,.\-]", "")
+    return once(once(signs, plain), lambda p: F.when(F.regexp_like(p, F.lit(r"^-?(\d+\.?\d*|\.\d+)$")), p.try_cast("double")))
 
 
 def parse_date(value: Column) -> Column:
     """ISO prefixes as they are; day/month/year in ISO order if month and day can be; else null."""
-    s = F.trim(F.coalesce(value.cast("string"), F.lit("")))
     iso, other = r"^(\d{4}-\d{2}-\d{2})", r"^(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})"
-    g = lambda i: F.regexp_extract(s, other, i)
-    year = F.when(F.length(g(3)) == 2, F.concat(F.lit("20"), g(3))).otherwise(g(3))
-    month, day = g(2).try_cast("int"), g(1).try_cast("int")
-    fits = month.between(1, 12) & day.between(1, 31)
-    return F.when(F.regexp_like(s, F.lit(iso)), F.regexp_extract(s, iso, 1)).when(F.regexp_like(s, F.lit(other)) & fits, F.concat_ws("-", year, F.lpad(g(2), 2, "0"), F.lpad(g(1), 2, "0")))
+
+    def date(s: Column) -> Column:
+        return F.when(F.regexp_like(s, F.lit(iso)), F.regexp_extract(s, iso, 1)).otherwise(once(F.array(*[F.regexp_extract(s, other, i) for i in (3, 2, 1)]), turned))
+
+    def turned(p: Column) -> Column:
+        year = F.when(F.length(p[0]) == 2, F.concat(F.lit("20"), p[0])).otherwise(p[0])
+        fits = p[1].try_cast("int").between(1, 12) & p[2].try_cast("int").between(1, 31)
+        return F.when(fits, F.concat_ws("-", year, F.lpad(p[1], 2, "0"), F.lpad(p[2], 2, "0")))
+
+    return once(F.trim(F.coalesce(value.cast("string"), F.lit(""))), date)
 
 
 def number_text(x: Column) -> Column:
@@ -90,11 +105,14 @@ def number_text(x: Column) -> Column:
 
 def normalize_value(value: Column) -> Column:
     """Dates in ISO, long identifiers as digits, amounts as plain numbers, other values as folded space."""
-    s = F.trim(F.coalesce(value.cast("string"), F.lit("")))
-    date = F.when(F.regexp_like(s, F.lit(r"^\d{4}-\d{2}-\d{2}|^\d{1,2}[/-]\d{1,2}[/-]\d{2,4}$")), parse_date(s))
-    digits = F.when((F.length(only_digits(s)) >= 11) & F.regexp_like(s, F.lit(r"^[\d.\-/\s]+$")), only_digits(s))
-    amount = F.when(F.regexp_like(s, F.lit(r"^R?\$?\s*-?\d[\d.,]*$")), parse_amount(s))
-    return F.when(s == "", "").otherwise(F.coalesce(date, digits, number_text(amount), F.lower(F.regexp_replace(s, r"\s+", " "))))
+
+    def normal(s: Column) -> Column:
+        date = F.when(F.regexp_like(s, F.lit(r"^\d{4}-\d{2}-\d{2}|^\d{1,2}[/-]\d{1,2}[/-]\d{2,4}$")), parse_date(s))
+        digits = F.when(F.regexp_like(s, F.lit(r"^[\d.\-/\s]+$")), once(only_digits(s), lambda d: F.when(F.length(d) >= 11, d)))
+        amount = F.when(F.regexp_like(s, F.lit(r"^R?\$?\s*-?\d[\d.,]*$")), parse_amount(s))
+        return F.when(s == "", "").otherwise(F.coalesce(date, digits, number_text(amount), F.lower(F.regexp_replace(s, r"\s+", " "))))
+
+    return once(F.trim(F.coalesce(value.cast("string"), F.lit(""))), normal)
 
 
 def field(fields: Column, *names: str) -> Column:
@@ -117,8 +135,7 @@ def _issues(*cases: tuple[Column, Column]) -> Column:
 
 def nfe_key(fields: Column, **_: object) -> Column:
     key = field(fields, "chaveAcesso", "chave", "accessKey")
-    digits = only_digits(key)
-    wrong = F.when(_blank(key), _issue("nfe_key_missing", "warning", "chaveAcesso")).when(F.length(digits) != 44, _issue("nfe_key_length", "error", "chaveAcesso")).when(~is_valid_nfe_key(digits), _issue("nfe_key_dv", "error", "chaveAcesso"))
+    wrong = F.when(_blank(key), _issue("nfe_key_missing", "warning", "chaveAcesso")).when(F.length(only_digits(key)) != 44, _issue("nfe_key_length", "error", "chaveAcesso")).when(~is_valid_nfe_key(key), _issue("nfe_key_dv", "error", "chaveAcesso"))
     return F.filter(F.array(wrong), lambda x: x.isNotNull())
 
 
@@ -169,12 +186,12 @@ def required(fields: Column, doc_type: Column | None = None, **_: object) -> Col
 
 
 def positive_amounts(fields: Column, **_: object) -> Column:
-    names = ["valorTotal", "total", "valor", "valorLiquido"]
-    cases = []
-    for n in names:
-        v, there = parse_amount(field(fields, n)), ~_blank(field(fields, n))
-        cases += [(there & v.isNull(), _issue("valor_ilegivel", "error", n)), (there & (v < 0), _issue("valor_negativo", "warning", n))]
-    return _issues(*cases)
+    def case(n: str) -> Column:
+        raw = field(fields, n)
+        wrong = once(parse_amount(raw), lambda v: F.when(v.isNull(), _issue("valor_ilegivel", "error", n)).when(v < 0, _issue("valor_negativo", "warning", n)))
+        return F.when(~_blank(raw), wrong)
+
+    return F.filter(F.array(*[case(n) for n in ("valorTotal", "total", "valor", "valorLiquido")]), lambda x: x.isNotNull())
 
 
 VALIDATORS: dict[str, Callable[..., Column]] = {

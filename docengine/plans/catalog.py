@@ -23,7 +23,7 @@ def model_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _devices(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "customer").where("c_custkey % 5 <> 0")
+    c = table(spark, sf, "customer")
     vendor = F.element_at(F.array(*[F.lit(v) for v in ("nvidia", "amd", "intel", "other")]), (F.col("c_custkey") % 4 + 1).cast("int"))
     listed = c.select((F.col("c_custkey") % 97).alias("host"), F.col("c_name").alias("name"), vendor.alias("vendor"))
     measured = table(spark, sf, "supplier").select((F.col("s_suppkey") % 97).alias("host"), F.col("s_name").alias("name"), F.lit("nvidia").alias("vendor"))
@@ -130,7 +130,7 @@ QUERIES = {f.__name__: f for f in (model_lookup, device_merge, device_backend, s
 
 _DEVICES = """SELECT s_suppkey % 97 AS host, s_name AS name, 'nvidia' AS vendor FROM supplier UNION ALL
 SELECT c_custkey % 97, c_name, ['nvidia', 'amd', 'intel', 'other'][c_custkey % 4 + 1] FROM customer
-WHERE c_custkey % 5 <> 0 AND (c_custkey % 4 <> 0 OR c_custkey % 97 NOT IN (SELECT s_suppkey % 97 FROM supplier))"""
+WHERE (c_custkey % 4 <> 0 OR c_custkey % 97 NOT IN (SELECT s_suppkey % 97 FROM supplier))"""
 _VOICES = """SELECT CASE WHEN n_nationkey % 3 = 0 THEN 'user ' || n_name ELSE r_name || ' · ' || n_name END AS name, lower(r_name) || ':' || regexp_replace(lower(n_name), '[^a-z0-9]+', '-', 'g') AS id,
 CASE WHEN n_nationkey % 3 = 0 THEN 'pt-BR' ELSE substr(r_name, 1, 2) || '-XX' END AS language, n_nationkey % 3 <> 0 AS builtin FROM nation JOIN region ON n_regionkey = r_regionkey"""
 ORACLE = {
@@ -161,4 +161,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY NOT good, CASE WHE
 x AS (SELECT repo, 'mmproj-' || CASE WHEN z % 2 = 0 THEN 'F16' ELSE 'Q8_0' END || '-' || k || '.gguf' AS path, z, row_number() OVER (PARTITION BY repo ORDER BY z % 2 = 0, k::VARCHAR || '.') AS n FROM f WHERE k % 10 = 0 AND repo IN (SELECT repo FROM m))
 SELECT repo, 'm' || k || '-' || q || '-0000' || i || '-of-00002.gguf' AS path, CAST(z * i AS BIGINT) AS size, 'main' AS role, 3 * z <= 60 AS fits FROM r, (SELECT unnest([1, 2]) AS i) WHERE n = 1
 UNION ALL SELECT repo, path, CAST(z AS BIGINT), 'mmproj', true FROM x WHERE n = 1""",
+    "recording_windows": """WITH RECURSIVE e AS (SELECT DISTINCT user_id || '/' || strftime(ts, '%Y-%m-%d') AS id, CAST(epoch_us(ts) // 1000000 % 86400 AS BIGINT) AS s FROM events),
+f AS (SELECT a.id, a.s, min(b.s) AS nxt FROM e a LEFT JOIN e b ON b.id = a.id AND b.s >= a.s + 595 GROUP BY 1, 2),
+r AS (SELECT id, CAST(0 AS BIGINT) AS start, min(s) AS "end" FROM e WHERE s >= 595 GROUP BY 1 UNION ALL SELECT r.id, r."end", f.nxt FROM r JOIN f ON f.id = r.id AND f.s = r."end" WHERE f.nxt IS NOT NULL)
+SELECT id, start, "end" FROM r""",
 }

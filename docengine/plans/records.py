@@ -71,9 +71,9 @@ def validate_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 def _both_sides(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")
-    docs = o.where("o_orderkey % 10 <> 3").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("N-"), "o_orderkey").alias("numero"), _brl(F.col("o_totalprice")).alias("valorTotal"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("dataEmissao"))
+    docs = o.select(F.col("o_orderkey").alias("id"), F.concat(F.when(F.col("o_orderkey") % 10 == 3, "D-").otherwise("N-"), "o_orderkey").alias("numero"), _brl(F.col("o_totalprice")).alias("valorTotal"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("dataEmissao"))
     price = F.when(F.col("o_orderkey") % 13 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
-    t = o.where("o_orderkey % 10 <> 4").select(F.concat(F.lit(" n-"), "o_orderkey").alias("Número"), (_cents(price) / 100).cast("decimal(18,2)").cast("string").alias("valor_total"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("dataEmissao"))
+    t = o.select(F.concat(F.when(F.col("o_orderkey") % 10 == 4, " t-").otherwise(" n-"), "o_orderkey").alias("Número"), (_cents(price) / 100).cast("decimal(18,2)").cast("string").alias("valor_total"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("dataEmissao"))
     return D.crosscheck(docs, t, ["numero"], ["valorTotal", "dataEmissao"])
 
 
@@ -250,8 +250,8 @@ _NUM = r"regexp_replace(regexp_replace(CAST(CAST({c} / 100.0 AS DECIMAL(20, 2))
 _LOG = "SELECT user_id AS id, event_id, ts, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'cancelled' END AS status, value FROM events"
 _JOBS = f"SELECT id, min(ts) AS created_at, max(ts) AS updated_at, arg_max(status, (ts, event_id)) AS status, arg_max(value, (ts, event_id)) AS progress, count(*) AS n_events FROM ({_LOG}) GROUP BY id"
 _SEG = "SELECT conv_id, turn, role, text, turn * 2.5::DOUBLE AS start, turn * 2.5::DOUBLE + 2.25::DOUBLE AS \"end\" FROM conversations"
-_CROSS = f"""WITH d AS (SELECT o_orderkey AS id, 'n-' || o_orderkey AS k, {_NUM.format(c=_CENTS)} AS v, strftime(o_orderdate, '%Y-%m-%d') AS e FROM orders WHERE o_orderkey % 10 <> 3),
-t AS (SELECT 'n-' || o_orderkey AS k, {_NUM.format(c="CAST(floor((o_totalprice + CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END) * 100 + 0.5) AS BIGINT)")} AS v, strftime(o_orderdate, '%Y-%m-%d') AS e FROM orders WHERE o_orderkey % 10 <> 4),
+_CROSS = f"""WITH d AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 = 3 THEN 'd-' ELSE 'n-' END || o_orderkey AS k, {_NUM.format(c=_CENTS)} AS v, strftime(o_orderdate, '%Y-%m-%d') AS e FROM orders),
+t AS (SELECT CASE WHEN o_orderkey % 10 = 4 THEN 't-' ELSE 'n-' END || o_orderkey AS k, {_NUM.format(c="CAST(floor((o_totalprice + CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END) * 100 + 0.5) AS BIGINT)")} AS v, strftime(o_orderdate, '%Y-%m-%d') AS e FROM orders),
 j AS (SELECT coalesce(d.k, t.k) AS key, id, CASE WHEN d.k IS NULL THEN 'missing_in_documents' WHEN t.k IS NULL THEN 'missing_in_table' WHEN d.v <> t.v OR d.e <> t.e THEN 'different' ELSE 'matched' END AS status,
 CASE WHEN d.k IS NOT NULL AND t.k IS NOT NULL THEN CASE WHEN d.v <> t.v THEN 'valorTotal=' || d.v || '/' || t.v ELSE '' END END AS diff FROM d FULL JOIN t ON d.k = t.k)
 """

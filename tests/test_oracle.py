@@ -1,8 +1,10 @@
 """Every query of the engine against its SQL in DuckDB, on the smallest tables."""
 
+from decimal import Decimal
 from numbers import Number
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -16,8 +18,12 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def cells(df: pd.DataFrame, cols: list[str]) -> list[tuple]:
     def cell(v):
         if pd.api.types.is_scalar(v) and pd.isna(v):
-            return ""
-        return repr(float(v)) if isinstance(v, Number) else str(v)
+            return "\0null"
+        if isinstance(v, (bool, np.bool_)):
+            return str(bool(v))
+        if isinstance(v, (float, np.floating, Decimal)):  # a nullable column of whole numbers comes as floats
+            return str(int(v)) if v == v // 1 and abs(v) < 1 << 53 else repr(float(v))
+        return str(int(v)) if isinstance(v, Number) else str(v)
 
     return sorted(tuple(cell(v) for v in row) for row in df[cols].itertuples(index=False))
 

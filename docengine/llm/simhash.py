@@ -18,6 +18,7 @@ two of these as well, take its place: 15 rows a fingerprint whatever the node's
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import array_slices, connected_components, drop_rows, materialize, table
+from .common import array_slices, connected_components, drop_rows, materialize, mix64, table
 
 SHINGLE = 4
 DISTANCE = 4
@@ -35,10 +36,8 @@ NODE = 4096
 RUN = 8
 
 
-def fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
-    """64-bit SimHash of each text, as uint64; texts without words have zero."""
-    out = np.zeros(len(texts), np.uint64)
-    weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
+def shingle_hashes(texts: pa.Array, shingle: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, first hash of each, hashes) of runs of texts; texts without words are left out."""
     digest = xxhash.xxh64_intdigest
     for first, _, data, offs in array_slices(texts, 2 << 20):
         raw = data.tobytes().lower()
@@ -58,16 +57,40 @@ def fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
             hashes += new
             rows.append(first + i)
             sizes.append(len(new))
-        if not rows:
-            continue
-        h = np.array(hashes, np.uint64)
-        at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        bits = np.zeros(len(rows), np.uint64)
-        n = np.array(sizes)
-        for b in range(64):
-            ones = np.add.reduceat(((h >> np.uint64(b)) & np.uint64(1)).astype(np.int32), at)
-            bits |= np.where(2 * ones > n, weights[b], np.uint64(0))
-        out[rows] = bits
+        if rows:
+            yield np.array(rows), np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.array(hashes, np.uint64)
+
+
+def majority(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each run of hashes the bits that are 1 in over half of them."""
+    out, n = np.zeros(len(at), np.uint64), np.diff(np.append(at, len(h)))
+    for b in range(64):
+        ones = np.add.reduceat(((h >> np.uint64(b)) & np.uint64(1)).astype(np.int32), at)
+        out |= np.where(2 * ones > n, np.uint64(1) << np.uint64(b), np.uint64(0))
+    return out
+
+
+def fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
+    """64-bit SimHash of each text, as uint64; texts without words have zero."""
+    out = np.zeros(len(texts), np.uint64)
+    for rows, at, h in shingle_hashes(texts, shingle):
+        out[rows] = majority(h, at)
+    return out
+
+
+def sketches(texts: pa.Array, shingle: int, lanes: int) -> np.ndarray:
+    """The same over ``lanes`` hashes of the distinct shingles: a longer SimHash, by text and lane."""
+    out = np.zeros((len(texts), lanes), np.uint64)
+    for rows, at, h in shingle_hashes(texts, shingle):
+        run = np.repeat(np.arange(len(rows)), np.diff(np.append(at, len(h))))
+        order = np.lexsort((h, run))
+        run, h = run[order], h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (run[1:] != run[:-1]) | (h[1:] != h[:-1])
+        run, h = run[new], h[new]
+        at = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+        for k in range(lanes):
+            out[rows, k] = majority(mix64(h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))), at)
     return out
 
 
@@ -113,14 +136,16 @@ class Forest:
 def node_links(fp: np.ndarray, side: np.ndarray | None, distance: int = DISTANCE) -> np.ndarray:
     """Component label (index of a member) of each fingerprint of one node.
 
-    ``fp`` is distinct and in Gray order.  With ``side`` (0/1) only links between the sides are needed, others may be found too.
+    ``fp`` is distinct and in Gray order, one number or a row of several each.  With ``side`` (0/1) only links between the sides are
+    needed, others may be found too.
     """
+    fp = fp.reshape(len(fp), -1)
     forest = Forest(len(fp))
     lows, highs, spans = [fp], [fp], [np.ones(len(fp), np.int64)]
     while len(lows[-1]) > 1:
         at = np.arange(0, len(lows[-1]), RUN)
-        lows.append(np.bitwise_and.reduceat(lows[-1], at))
-        highs.append(np.bitwise_or.reduceat(highs[-1], at))
+        lows.append(np.bitwise_and.reduceat(lows[-1], at, 0))
+        highs.append(np.bitwise_or.reduceat(highs[-1], at, 0))
         spans.append(np.add.reduceat(spans[-1], at))
     firsts = [np.concatenate([[0], np.cumsum(s)[:-1]]) for s in spans]
     top = len(lows) - 1
@@ -128,7 +153,7 @@ def node_links(fp: np.ndarray, side: np.ndarray | None, distance: int = DISTANCE
     while stack:
         level, a, b = stack.pop()
         low, high = lows[level], highs[level]
-        apart = np.bitwise_count((low[a] & ~high[b]) | (low[b] & ~high[a]))
+        apart = np.bitwise_count((low[a] & ~high[b]) | (low[b] & ~high[a])).sum(1, dtype=np.int32)
         near = apart <= distance
         a, b = a[near], b[near]
         if not len(a):
@@ -137,7 +162,7 @@ def node_links(fp: np.ndarray, side: np.ndarray | None, distance: int = DISTANCE
         if level == 0:
             forest.link(a, b)
             continue
-        loose = np.bitwise_count((high[a] | high[b]) & ~(low[a] & low[b]))
+        loose = np.bitwise_count((high[a] | high[b]) & ~(low[a] & low[b])).sum(1, dtype=np.int32)
         tight = loose <= distance
         if tight.any():  # all members of both runs are within the distance of each other
             size = spans[level]
@@ -246,11 +271,88 @@ def fingerprint_links(distinct: DataFrame, node: int = NODE) -> DataFrame:
 
 
 def _members(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(key, tag, fp) of every row and (c_fp, root) of every distinct fingerprint; ``tag`` tells rows of one key apart by their text."""
-    prints = materialize(docs.select(key, F.xxhash64(text).alias("tag"), fingerprint_udf(F.col(text)).alias("fp")), "prints")
+    """(key, fp) of every row and (c_fp, root) of every distinct fingerprint."""
+    prints = materialize(docs.select(key, fingerprint_udf(F.col(text)).alias("fp")), "prints")
     classes = materialize(prints.select("fp").distinct(), "classes")
-    found = materialize(connected_components(fingerprint_links(classes)), "components")
-    return prints, materialize(classes.join(found, classes["fp"] == found["node"], "left").select(F.col("fp").alias("c_fp"), F.coalesce("component", "fp").alias("root")), "members")
+    return prints, _rooted(classes, fingerprint_links(classes))
+
+
+def _rooted(classes: DataFrame, links: DataFrame) -> DataFrame:
+    found = materialize(connected_components(links), "components")
+    return materialize(classes.join(found, classes["fp"] == found["node"], "left").select(F.col("fp").alias("c_fp"), F.coalesce("component", "fp").alias("root")), "members")
+
+
+#: Of the stage that drops near-duplicates: words of a shingle, similarity of two texts' shingles, 64-bit lanes of the longer SimHash.
+STAGE_SHINGLE, SIMILARITY, LANES = 5, 0.8, 4
+#: Masks of an upper node there and bits that each fixes; a pair at the similarity shares a node with a probability of 0.7, one at 0.9 of 0.98.
+MASKS, MASK_BITS = 32, 20
+SAMPLE = 64
+
+
+def stage_distance(similarity: float = SIMILARITY, bits: int = 64 * LANES) -> int:
+    """Bits that differ, as expected, between two texts of that Jaccard similarity."""
+    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def _lane_masks() -> list[list[int]]:
+    rng = np.random.default_rng(64)
+    out = []
+    for _ in range(MASKS):
+        picked = rng.choice(64 * LANES, MASK_BITS, replace=False).tolist()
+        out.append([_signed(sum(1 << b % 64 for b in picked if b // 64 == k)) for k in range(LANES)])
+    return out
+
+
+def sketch_links(distinct: DataFrame, distance: int, node: int = NODE, sample: int = SAMPLE) -> DataFrame:
+    """(fp, s array<long>) distinct sketches -> (a, b): links of sketches within the distance that share a node, spanning each component.
+
+    Nodes expected to be hot by a sample are dealt by pairs of parts; the sample decides nothing else.
+    """
+    nodes = F.array(*[F.xxhash64(F.lit(k), *[F.col("s")[i].bitwiseAND(F.lit(m)) for i, m in enumerate(mask) if m]) for k, mask in enumerate(_lane_masks())])
+    keyed = distinct.select("fp", "s", F.explode(nodes).alias("node"))
+    some = keyed.where(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(sample)) == 0)
+    heat = some.groupBy("node").agg(F.count("*").alias("seen")).where(F.col("seen") * sample > node // 2)
+    heat = materialize(heat.select("node", F.ceil(F.col("seen") * sample / (node // 2)).cast("int").alias("parts")), "heat")
+    cold = keyed.join(heat, "node", "left_anti").select("node", "fp", "s")
+    hot = keyed.join(heat, "node").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    hot = hot.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "fp", "s")
+    dealt = cold.unionAll(hot).repartition("node").sortWithinPartitions("node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(key: np.ndarray, fp: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+            order = np.lexsort((gray_rank(s[:, 0]), key))
+            key, fp, s = key[order], fp[order], s[order]
+            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            sizes = np.diff(np.append(at, len(key)))
+            two = at[sizes == 2]
+            two = two[np.bitwise_count(s[two] ^ s[two + 1]).sum(1, dtype=np.int32) <= distance]
+            a, b = [fp[two]], [fp[two + 1]]
+            for start, n in zip(at[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+                label = node_links(s[start : start + n], None, distance)
+                off = np.flatnonzero(label != np.arange(n))
+                a.append(fp[start + off])
+                b.append(fp[start + label[off]])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], names=["a", "b"])
+
+        held: tuple[np.ndarray, ...] = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, LANES), np.uint64))
+        for batch in batches:
+            s = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(-1, LANES)
+            held = tuple(np.concatenate(x) for x in zip(held, (batch.column(0).to_numpy(), batch.column(1).to_numpy(), s), strict=True))
+            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            if cut:
+                yield links(*(x[:cut] for x in held))
+                held = tuple(x[cut:] for x in held)
+        if len(held[0]):
+            yield links(*held)
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def sketch_udf(texts: pa.Array) -> pa.Array:
+    x = sketches(texts, STAGE_SHINGLE, LANES).view(np.int64)
+    return pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * LANES, x.ravel())
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -269,10 +371,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component stays: the one with the smallest key (of rows that share it, the one of the least hash of text).
 
+    Texts are near-duplicates if their five-word shingles have a Jaccard similarity of 0.8 or more, as a SimHash of 256 bits tells it
+    (the 64 bits of the query's contract can't: they expect ten differing bits there, against four linked).  Upper nodes fix
+    20 of the 256 bits; inside them the same Gray order and pruning apply.
+
     Columns are unchanged.  Equal rows are kept once; a row with a null key stays only if its component has no other key.
     Texts are read but hardly moved: decisions are made on fingerprints, and only rows that go meet the list of what goes.
     """
-    prints, member = _members(docs, key, text)
+    prints = docs.select(key, F.xxhash64(text).alias("tag"), sketch_udf(F.col(text)).alias("s"))
+    prints = materialize(prints.withColumn("fp", F.xxhash64("s")), "prints")
+    classes = materialize(prints.groupBy("fp").agg(F.first("s").alias("s")), "classes")
+    member = _rooted(classes.select("fp"), sketch_links(classes, stage_distance()))
     per = prints.groupBy("fp").agg(F.min(F.struct(F.col(key).isNull().alias("z"), F.col(key).alias("k"), F.col("tag").alias("t"))).alias("best"))
     best = per.join(member, F.col("fp") == F.col("c_fp")).groupBy(F.col("root").alias("b_root")).agg(F.min("best").alias("best"))
     best = materialize(best.select("b_root", "best.k", "best.t"), "best")

@@ -62,9 +62,55 @@ def test_simhash_is_brute_force(spark):
     got = {r.doc_id: r for r in simhash.near_duplicates(d).collect()}
     assert [got[i].fp % (1 << 64) for i in range(len(texts))] == prints
     assert [got[i].component for i in range(len(texts))] == want
-    kept = simhash.drop_near_duplicates(d)
-    assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == set(want)
     assert simhash.near_duplicates(d.where("false")).count() == 0
+
+
+def plain_shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_stage_drops_texts_of_similarity_08(spark):
+    """Five-word shingles by brute force: pairs clearly above 0.8 lose a text, pairs clearly below lose none."""
+    rng = random.Random(18)
+    texts = [None, "", " \n", "a b", "A b", "x " * 30_000, "y z"]
+    for change in [1] * 12 + [2] * 12 + [14] * 12:
+        base = words(rng, 150, 100_000)
+        other = list(base)
+        for i in range(change):
+            other[10 * i + 5] = "changed"
+        texts += [" ".join(base), " ".join(other)]
+    sets = [plain_shingles(t) for t in texts]
+    like = [[(len(a & b) / len(a | b) if a | b else 1.0) for b in sets] for a in sets]
+    n = len(texts)
+    assert not any(0.55 < like[i][j] < 0.85 for i in range(n) for j in range(i))
+    want = set(components(n, [(i, j) for i in range(n) for j in range(i) if like[i][j] >= 0.8]))
+    d = frame(spark, texts).withColumn("s", F.lit(1)).withColumn("_key", F.lit(2))
+    kept = simhash.drop_near_duplicates(d)
+    got = {r.doc_id for r in kept.collect()}
+    assert kept.columns == d.columns and want <= got and len(got - want) <= 1  # nine in ten of the pairs near the similarity, at least
+    shared = frame(spark, ["one " * 9, "two words", "one " * 9]).withColumn("doc_id", F.lit(None).cast("long"))
+    assert sorted(r.text for r in simhash.drop_near_duplicates(shared).collect()) == ["one " * 9, "two words"]
+
+
+def test_stage_splits_hot_nodes(spark):
+    rng = random.Random(19)
+    base = words(rng, 400, 100_000)
+    texts = []
+    for i in range(60):
+        other = list(base)
+        other[rng.randrange(400)] = f"c{i}"
+        texts.append(" ".join(other))
+    classes = frame(spark, texts).select(F.col("doc_id").alias("fp"), simhash.sketch_udf("text").alias("s"))
+    from docengine.llm.common import connected_components
+
+    for node in (8, 4096):
+        found = dict(connected_components(simhash.sketch_links(classes, simhash.stage_distance(), node, 1)).collect())
+        assert found == dict.fromkeys(range(60), 0)
+
+
+def test_simhash_odd_rows(spark):
+    d = frame(spark, [None, "", " \n", "a b", "A b"])
     assert simhash.drop_near_duplicates(d.where("doc_id = 3").union(d.where("doc_id = 3"))).count() == 1
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import catalog, library, records, search
+from . import catalog, files, library, records, search
 
-MODULES = (search, records, catalog, library)
+MODULES = (search, records, catalog, library, files)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}

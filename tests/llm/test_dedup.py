@@ -435,17 +435,3 @@ def test_decontaminate_items_with_repeated_clauses(spark):
     assert set(got) == {0, 1} and got[0].same_slots and not got[1].same_slots
     assert got[0].coverage == 1 and (got[0].start_word, got[0].end_word) == (40, 40 + len(item.split()))
     assert {r.doc_id for r in decontaminate.drop_contaminated(d, b).collect()} == {2, 3}
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before, kept = kept, stage(spark, kept, SF)
-        assert kept.columns == docs.columns, name
-        assert kept.count() <= before.count() and kept.join(before, "doc_id", "left_anti").isEmpty()
-    out = corpus_pipeline.run(spark, SF).collect()
-    ids = {r.doc_id for r in kept.collect()}
-    assert out and {r.doc_id for r in out} <= ids

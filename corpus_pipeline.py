@@ -1,8 +1,9 @@
 """The corpus pipeline: five stages from raw documents to a mixed training corpus.
 
 Each stage is a function (spark, docs, sf_dir) -> DataFrame; its result is written as Parquet and read again as the next
-stage's input.  All but the last return the columns of ``documents``; the last adds the output shard, its slice, the copy and
-the order inside the slice, and repeats documents as the mix takes them.
+stage's input.  Every stage takes an empty table and extra columns of any name.  All but the last return the columns of
+``documents``; the last adds the output shard, its slice, the copy and the order inside the slice, and repeats documents as
+the mix takes them.
 """
 
 from __future__ import annotations
@@ -19,22 +20,25 @@ from docengine.llm.simhash import drop_near_duplicates
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.  Null and empty texts are scored as texts of no words; equal rows fare alike."""
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document of each near-duplicate group stays (five-word shingles, similarity 0.8): the one with the smallest id.
+
+    Texts without words are one group; equal rows are kept once; a null id stays only where its group has no other.
+    """
     return drop_near_duplicates(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go.  Null and empty texts stay, and so does all if the benchmark is empty."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; documents stay."""
+    """Secrets are replaced by a mark and n_chars follows; documents stay, null texts as they are."""
     clean = redact(docs)
     return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
 
@@ -49,7 +53,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     drawn = drawn.withColumn("shard", F.col("_shard")).withColumn("slice", F.substring("_order", 1, 1))
     drawn = drawn.repartition("shard", "slice").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     drawn = drawn.withColumn("order", F.md5(F.concat_ws("|", "_order", "copy").cast("binary")))
-    kept = [c for c in docs.columns if c not in ("shard", "slice", "copy", "order")]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slice", "copy", "order")]
     return drawn.sortWithinPartitions("shard", "slice", "order").select(*kept, "shard", "slice", "copy", "order")
 
 

@@ -7,10 +7,14 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 CHUNK = "ordinal int, text string, page int, heading string, tokens int"
 PAGE = re.compile(r"<!--\s*página\s+(\d+)\s*-->", re.IGNORECASE)
@@ -111,12 +115,19 @@ def chunks_of(markdown: str, limit: int = 400, overlap: int = 60, lossless: bool
 def chunk_markdown(docs: DataFrame, text: str = "text", limit: int = 400, overlap: int = 60, lossless: bool = True) -> DataFrame:
     """One row per chunk: the other columns, then ordinal, text, page, heading, tokens.  Null texts have no chunks."""
 
-    @F.pandas_udf(f"array<struct<{', '.join(': '.join(c.split()) for c in CHUNK.split(','))}>>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [dict(zip(("ordinal", "text", "page", "heading", "tokens"), c, strict=True)) for c in chunks_of(t, limit, overlap, lossless)] if t else [])
-
     rest = [c for c in docs.columns if c != text]
-    return docs.withColumn("_chunks", run(F.col(text))).select(*rest, F.inline("_chunks"))
+    own = T.StructType.fromDDL(CHUNK)
+    schema = T.StructType([*docs.select(*[F.col(f"`{c}`") for c in rest]).schema.fields, *own.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(i, *c) for i, t in enumerate(b.column(len(rest)).to_pylist()) if t for c in chunks_of(t, limit, overlap, lossless)]
+            row = pa.array([f[0] for f in found], pa.int64())
+            kept = [b.column(k).take(row) for k in range(len(rest))]
+            cols = [pa.array([f[k + 1] for f in found], to_arrow_type(field.dataType)) for k, field in enumerate(own.fields)]
+            yield pa.RecordBatch.from_arrays([*kept, *cols], names=schema.names)
+
+    return docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`")).mapInArrow(run, schema)
 
 
 def speech_parts(text: str, limit: int = 600) -> list[str]:

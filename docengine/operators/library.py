@@ -185,8 +185,10 @@ def throttled(reports: DataFrame, by: str, at: str, done: str, total: str, gap_m
 
 
 def eta_text(seconds: Column) -> Column:
-    minutes, hours = F.floor(seconds / 60 + 0.5).cast("string"), F.format_string("%.1f", seconds / 3600.0)
-    return F.when(seconds < 60, F.concat(seconds.cast("string"), F.lit("s"))).when(seconds < 3600, F.concat(minutes, F.lit("min"))).otherwise(F.concat(hours, F.lit("h")))
+    """Seconds, minutes or hours, rounded half up."""
+    tenths = F.floor((seconds * 10 + 1800) / 3600)
+    hours = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("h"))
+    return F.when(seconds < 60, F.concat(seconds.cast("string"), F.lit("s"))).when(seconds < 3600, F.concat(F.floor(seconds / 60 + 0.5).cast("string"), F.lit("min"))).otherwise(hours)
 
 
 # Transcripts

@@ -468,7 +468,7 @@ f AS (SELECT a.user_id, a.n, min(b.n) AS nxt FROM e a LEFT JOIN e b ON b.user_id
 r AS (SELECT user_id, n, NULL::BIGINT AS was FROM e WHERE n = 1 UNION ALL SELECT r.user_id, f.nxt, r.n FROM r JOIN f ON f.user_id = r.user_id AND f.n = r.n WHERE f.nxt IS NOT NULL)
 SELECT r.user_id, x.ms, x.event_id AS done, round((x.event_id - y.event_id)::DOUBLE * 1000 / (x.ms - y.ms), 6) AS rate, r.user_id % 2 = 0 AND x.event_id > y.event_id AS timed
 FROM r JOIN e x ON x.user_id = r.user_id AND x.n = r.n JOIN e y ON y.user_id = r.user_id AND y.n = r.was""",
-    "eta_text": "SELECT o_orderkey, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN CAST(floor(s / 60.0 + 0.5) AS BIGINT) || 'min' ELSE printf('%.1f', s / 3600.0::DOUBLE) || 'h' END AS eta FROM (SELECT o_orderkey, o_orderkey * 7 % 20000 AS s FROM orders)",
+    "eta_text": "SELECT o_orderkey, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN CAST(floor(s / 60.0 + 0.5) AS BIGINT) || 'min' ELSE ((s * 10 + 1800) // 3600 // 10) || '.' || ((s * 10 + 1800) // 3600 % 10) || 'h' END AS eta FROM (SELECT o_orderkey, o_orderkey * 7 % 20000 AS s FROM orders)",
     "export_vtt": f"SELECT conv_id, 'WEBVTT' || chr(10) || chr(10) || string_agg({_time('turn * 2.5')} || ' --> ' || {_time('turn * 2.5 + 2.25')} || chr(10) || coalesce({_SPEAKER} || ': ', '') || text || chr(10), chr(10) ORDER BY turn) AS vtt FROM conversations GROUP BY 1",
     "export_txt": f"SELECT conv_id, string_agg(coalesce({_SPEAKER} || ': ', '') || text, chr(10) ORDER BY turn) AS txt FROM conversations GROUP BY 1",
     "speaker_markdown": f"SELECT conv_id, string_agg(coalesce('**' || {_SPEAKER} || '**: ', '') || text, chr(10) || chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY 1",

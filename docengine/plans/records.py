@@ -203,7 +203,7 @@ def tumbling_window(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rate_limit(spark: SparkSession, sf: str) -> DataFrame:
-    return streams.rate_limit(table(spark, sf, "events"), "user_id", "ts", 2, 36000.0).withColumn("wait", F.round("wait", 4))
+    return streams.rate_limit(table(spark, sf, "events"), "user_id", "ts", 2, 36000.0).withColumn("wait", F.round(F.col("wait") * 1e6).cast("long"))
 
 
 def lru_evict(spark: SparkSession, sf: str) -> DataFrame:
@@ -320,7 +320,7 @@ SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*
 f AS (SELECT a.client, a.n, min(b.n) AS nxt FROM e a LEFT JOIN e b ON b.client = a.client AND b.us >= a.us + 36000000000 GROUP BY 1, 2),
 r AS (SELECT client, n FROM e WHERE n = 1 UNION ALL SELECT r.client, f.nxt FROM r JOIN f ON f.client = r.client AND f.n = r.n WHERE f.nxt IS NOT NULL),
 w AS (SELECT e.client, e.us, e.n, max(r.n) OVER (PARTITION BY e.client ORDER BY e.n) AS opened FROM e LEFT JOIN r ON r.client = e.client AND r.n = e.n)
-SELECT w.client, w.us, w.n - w.opened < 2 AS allowed, round(CASE WHEN w.n - w.opened < 2 THEN 0 ELSE (o.us + 36000000000 - w.us) / 1e6::DOUBLE END, 4) AS wait FROM w JOIN e o ON o.client = w.client AND o.n = w.opened""",
+SELECT w.client, w.us, w.n - w.opened < 2 AS allowed, CASE WHEN w.n - w.opened < 2 THEN 0 ELSE o.us + 36000000000 - w.us END AS wait FROM w JOIN e o ON o.client = w.client AND o.n = w.opened""",
     "lru_evict": "SELECT p_partkey FROM (SELECT p_partkey, sum(p_size) OVER (PARTITION BY p_brand) - coalesce(sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l FROM part) WHERE l + 100 > 600",
     "pick_by_preference": """WITH t AS (SELECT p_type, row_number() OVER (ORDER BY p_type) AS n FROM (SELECT DISTINCT p_type FROM part)),
 r AS (SELECT p_brand, p_size, p_name || '/' || p_partkey AS path, CASE WHEN n <= 2 AND p_size <= 10 THEN n END AS good FROM part JOIN t USING (p_type)),

@@ -213,8 +213,8 @@ def lru_evict(spark: SparkSession, sf: str) -> DataFrame:
 
 def pick_by_preference(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part").select("p_brand", "p_type", "p_size", "p_name", F.concat("p_name", F.lit("/"), F.col("p_partkey").cast("string")).alias("path"))
-    types = [r[0] for r in table(spark, sf, "part").groupBy("p_type").count().orderBy("p_type").limit(2).select("p_type").collect()]
-    return R.pick_by_preference(p, "p_brand", "p_type", "p_size", "path", types, F.lit(10)).select("p_brand", F.col("p_size").cast("long").alias("p_size"), "path", "fits")
+    first = table(spark, sf, "part").select("p_type").distinct().orderBy("p_type").limit(2).agg(F.sort_array(F.collect_list(F.lower("p_type"))).alias("prefer"))
+    return R.pick_by_preference(p.crossJoin(F.broadcast(first)), "p_brand", "p_type", "p_size", "path", F.col("prefer"), F.lit(10)).select("p_brand", F.col("p_size").cast("long").alias("p_size"), "path", "fits")
 
 
 def shard_sum(spark: SparkSession, sf: str) -> DataFrame:

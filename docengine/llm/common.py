@@ -115,7 +115,7 @@ def drop_rows(rows: DataFrame, ident: list[str | Column], gone: DataFrame) -> Da
     return rows.where(~seen).unionByName(rows.where(seen).join(right.hint("merge"), same, "left_anti"))
 
 
-def array_slices(col: pa.Array, max_bytes: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def array_slices(col: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string array into runs of whole rows holding about ``max_bytes``.
 
     Yields (first row, end row, bytes, offsets): the UTF-8 bytes of the run as one uint8 array and its
@@ -157,7 +157,7 @@ def text_groups(col: pa.Array, chars: int = 1 << 20) -> Iterator[list[str]]:
         yield held
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def text_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """The same over record batches: yields (rows of the run, bytes, offsets)."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column))

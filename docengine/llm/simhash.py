@@ -39,7 +39,7 @@ RUN = 8
 def shingle_hashes(texts: pa.Array, shingle: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(rows, first hash of each, hashes) of runs of texts; texts without words are left out."""
     digest = xxhash.xxh64_intdigest
-    for first, _, data, offs in array_slices(texts, 2 << 20):
+    for first, _, data, offs in array_slices(texts):
         raw = data.tobytes().lower()
         hashes: list[int] = []
         rows, sizes = [], []

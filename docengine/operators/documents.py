@@ -122,26 +122,30 @@ def memory_markdown(memory: DataFrame, by: str = "project_id") -> DataFrame:
     return s.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "s"))), lambda x: x["s"]), "\n\n").alias("markdown"))
 
 
+def _all(table: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in table.columns]
+
+
 def replace_rows(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of the keys in ``new`` are replaced by its rows, in one plan, so readers see the old or the new."""
-    return table.join(new.select(key).distinct(), key, "left_anti").select(*table.columns).unionByName(new.select(*table.columns))
+    return table.join(new.select(key).distinct(), key, "left_anti").select(*_all(table)).unionByName(new.select(*_all(table)))
 
 
 def delete_cascade(keys: DataFrame, key: str, *tables: DataFrame) -> list[DataFrame]:
-    return [t.join(keys.select(key).distinct(), key, "left_anti").select(*t.columns) for t in tables]
+    return [t.join(keys.select(key).distinct(), key, "left_anti").select(*_all(t)) for t in tables]
 
 
 def partial_update(table: DataFrame, patch: DataFrame, key: str) -> DataFrame:
     """Columns of the patch replace values where they are not null; other values stay."""
     cols = [c for c in patch.columns if c != key]
-    p = patch.select(key, *[F.col(c).alias(f"_{c}") for c in cols])
-    return table.join(p, key, "left").select(*[F.coalesce(f"_{c}", c).alias(c) if c in cols else F.col(c) for c in table.columns])
+    p = patch.select(key, *[F.col(f"`{c}`").alias(f"_patch{i}") for i, c in enumerate(cols)])
+    return table.join(p, key, "left").select(*[F.coalesce(f"_patch{cols.index(c)}", F.col(f"`{c}`")).alias(c) if c in cols else F.col(f"`{c}`") for c in table.columns])
 
 
 def upsert_meta(table: DataFrame, new: DataFrame, key: str = "key") -> DataFrame:
     both = table.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
     rest = [c for c in table.columns if c != key]
-    return both.groupBy(key).agg(F.max_by(F.struct(*rest), "_new").alias("r")).select(key, "r.*").select(*table.columns)
+    return both.groupBy(key).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), "_new").alias("r")).select(key, "r.*").select(*_all(table))
 
 
 def unique_names(files: DataFrame, name: str = "name", order: str = "id") -> DataFrame:

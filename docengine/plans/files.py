@@ -106,7 +106,7 @@ def rerank_hits(spark: SparkSession, sf: str) -> DataFrame:
 
 def hybrid_lexical(spark: SparkSession, sf: str) -> DataFrame:
     """Without a query vector the lexical list alone ranks."""
-    from .search import WORDS
+    from .ranking import WORDS
 
     return S.hybrid(table(spark, sf, "documents"), WORDS, None, 5).select("doc_id", "rank")
 
@@ -134,9 +134,9 @@ def _cols(values, names: tuple[str, ...], cast: dict[str, str] | None = None) ->
 
 
 def _lexical() -> str:
-    from .search import WORDS, _bm25
+    from .ranking import WORDS, bm25_sql
 
-    return f"SELECT id AS doc_id, rank FROM ({_bm25(T.query_phrases(WORDS), k=5)})"
+    return f"SELECT id AS doc_id, rank FROM ({bm25_sql(T.query_phrases(WORDS), k=5)})"
 
 
 ORACLE = {

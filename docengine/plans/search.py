@@ -11,20 +11,25 @@ from docengine.operators import search as S
 from docengine.operators.chunk import chunk_markdown, split_for_speech
 
 from .common import table
-
-WORDS, PHRASE, FRENCH = "ing ndble tion ing", "of_the thation", "mentch équeê réaumente"
+from .kept import corpus_index
+from .ranking import FRENCH, PHRASE, TOKENS, WORDS, bm25_sql
 
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return S.top(S.bm25(table(spark, sf, "documents"), WORDS), S.pool_size(8), 6)
+    return corpus_index(spark, sf).search(WORDS, S.pool_size(8), 6)
 
 
 def bm25_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus_index(spark, sf).search(WORDS, 24, 6, sources=F.col("source").isin("src1", "src3"))
+
+
+def bm25_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from the texts, for a query that no index was kept for."""
     return S.top(S.bm25(table(spark, sf, "documents"), WORDS, keep=F.col("source").isin("src1", "src3")), 24, 6)
 
 
 def bm25_phrase(spark: SparkSession, sf: str) -> DataFrame:
-    return S.top(S.bm25(table(spark, sf, "documents"), PHRASE), 24, 6)
+    return corpus_index(spark, sf).search(PHRASE, 24, 6)
 
 
 def bm25_folded(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,31 +128,10 @@ def classify_gate(spark: SparkSession, sf: str) -> DataFrame:
     return D.classify(D.hint_scores(table(spark, sf, "documents"), HINTS))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_filtered, bm25_phrase, bm25_folded, bm25_index, postings_terms, cosine_topk, cosine_zero_norm, rrf_hybrid, rrf_postfilter, hydrate_ranked, snippet_window, estimate_tokens, chunk_rows, chunk_stats, speech_parts, html_to_markdown, parse_url_ref, slugs, benchmark_lookup, classify_hints, classify_gate)}
-
-_TOKENS = r"list_filter(regexp_split_to_array(lower(strip_accents(coalesce(text, ''))), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
-
-
-def _bm25(phrases: list[list[str]], where: str = "true", k: int = 24) -> str:
-    count = []
-    for p in phrases:
-        if len(p) == 1:
-            count.append(f"len(list_filter(w, lambda t: t = '{p[0]}'))")
-        else:
-            count.append(f"len(list_filter(range(1, len(w) + 1), lambda i: list_slice(w, i, i + {len(p) - 1}) = {p!r}))")
-    f = ", ".join(f"{c} AS f{i}" for i, c in enumerate(count))
-    df = ", ".join(f"count(*) FILTER (f{i} > 0) AS df{i}" for i in range(len(phrases)))
-    idf = lambda i: f"CASE WHEN ln((n - df{i} + 0.5) / (df{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df{i} + 0.5) / (df{i} + 0.5)) END"
-    score = " + ".join(f"({idf(i)}) * f{i} * 2.2::DOUBLE / (f{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))" for i in range(len(phrases)))
-    hit = " OR ".join(f"f{i} > 0" for i in range(len(phrases)))
-    return f"""SELECT *, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank FROM (
-SELECT doc_id AS id, round({score}, 6) AS score FROM (SELECT doc_id, source, len(w) AS dl, {f} FROM (SELECT doc_id, source, {_TOKENS} AS w FROM documents)) c,
-(SELECT count(*) AS n, avg(dl) AS avgdl, {df} FROM (SELECT len(w) AS dl, {f} FROM (SELECT {_TOKENS} AS w FROM documents)))
-WHERE ({hit}) AND {where}) ORDER BY score DESC, id LIMIT {k}"""
-
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_filtered, bm25_scan, bm25_phrase, bm25_folded, bm25_index, postings_terms, cosine_topk, cosine_zero_norm, rrf_hybrid, rrf_postfilter, hydrate_ranked, snippet_window, estimate_tokens, chunk_rows, chunk_stats, speech_parts, html_to_markdown, parse_url_ref, slugs, benchmark_lookup, classify_hints, classify_gate)}
 
 _COS = "SELECT vec_id AS id, list_dot_product(embedding::DOUBLE[], q) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) / sqrt(list_dot_product(q, q)) AS s FROM embeddings, (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 7)"
-_BM = _bm25(T.query_phrases(WORDS), k=32)
+_BM = bm25_sql(T.query_phrases(WORDS), k=32)
 _RRF = f"""WITH l AS ({_BM}),
 s AS (SELECT id, CAST(row_number() OVER (ORDER BY round(s, 6) DESC, id) AS INTEGER) AS rank FROM ({_COS}) ORDER BY rank LIMIT 24),
 u AS (SELECT id, 1.0::DOUBLE / (60 + rank) AS p, rank AS o FROM l UNION ALL SELECT id, 1.0::DOUBLE / (60 + rank), 1000 + rank FROM s),
@@ -174,11 +158,12 @@ UNION ALL SELECT doc_id, 'gamma', 2, contains(t, 'der')::INT + contains(t, 'und'
 
 ORACLE = {
     "bm25_topk": _BM,
-    "bm25_filtered": _bm25(T.query_phrases(WORDS), "source IN ('src1', 'src3')"),
-    "bm25_phrase": _bm25(T.query_phrases(PHRASE)),
-    "bm25_folded": _bm25(T.query_phrases(FRENCH)),
-    "bm25_index": _bm25(T.query_phrases(PHRASE + " " + WORDS)),
-    "postings_terms": f"SELECT term, count(*) AS n_docs, CAST(sum(tf) AS BIGINT) AS n_terms, max(tf) AS most FROM (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY 1, 2) GROUP BY 1",
+    "bm25_filtered": bm25_sql(T.query_phrases(WORDS), "source IN ('src1', 'src3')"),
+    "bm25_scan": bm25_sql(T.query_phrases(WORDS), "source IN ('src1', 'src3')"),
+    "bm25_phrase": bm25_sql(T.query_phrases(PHRASE)),
+    "bm25_folded": bm25_sql(T.query_phrases(FRENCH)),
+    "bm25_index": bm25_sql(T.query_phrases(PHRASE + " " + WORDS)),
+    "postings_terms": f"SELECT term, count(*) AS n_docs, CAST(sum(tf) AS BIGINT) AS n_terms, max(tf) AS most FROM (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY 1, 2) GROUP BY 1",
     "cosine_topk": """SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
 SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6) AS score
 FROM embeddings e JOIN embeddings q ON q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id)) WHERE rank <= 8""",

@@ -356,7 +356,7 @@ def emails(text: str) -> list[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind index, start, end), by kind, then start."""
     out = [(0, s, e) for s, e in emails(text)] if "@" in text else []
-    out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(len(d := p.lstrip("0")) <= 3 and int(d or 0) <= 255 for p in m[0].split("."))]
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 16 <= len(digits) <= 19 and luhn(digits):

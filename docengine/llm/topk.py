@@ -107,6 +107,8 @@ class ImpactIndex:
         sizes = np.diff(self.start)[order]
         upto = np.cumsum(sizes)
         acc, at = np.full(n, base, np.int64), 0
+        # Floats add whole numbers exactly up to 2**53; a row gets one posting of each dimension at most.
+        small = int(impact.reshape(d, -1).max(1, initial=0).clip(0).sum()) < 1 << 53
         if own >= 0:
             acc[own] = np.iinfo(np.int64).min // 2
         rows, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -115,7 +117,11 @@ class ImpactIndex:
             new = order[at:end]
             if len(new):
                 where = np.concatenate([self.postings[self.start[s] : self.start[s + 1]] for s in new.tolist()])
-                acc += np.bincount(where, np.repeat(impact[new], sizes[at:end]), n).astype(np.int64)
+                add = np.repeat(impact[new], sizes[at:end])
+                if small:
+                    acc += np.bincount(where, add, n).astype(np.int64)
+                else:
+                    np.add.at(acc, where, add)
             at = end
             left = np.zeros(d, np.int64)
             np.maximum.at(left, order[at:] // (len(impact) // max(d, 1)), impact[order[at:]])

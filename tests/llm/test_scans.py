@@ -62,6 +62,13 @@ def test_pii(spark, real):
     assert pii.find_pii(docs.where("false")).count() == 0
 
 
+def test_pii_of_very_long_numbers():
+    zeros, nines = "0" * 5000, "9" * 5000
+    text = f"{zeros}.1.1.1 x {nines}.1.1.1 y {zeros}7.{zeros}.{zeros}255.0 z 1.2.3.{zeros}256"
+    found = [text[s:e] for k, s, e in pii.base_spans(text) if k == 1]
+    assert found == [f"{zeros}.1.1.1", f"{zeros}7.{zeros}.{zeros}255.0"]
+
+
 def test_pii_adds_spans():
     plain = "the river runs past the old mill and the children play there "
     for text, want in (

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from docengine.functions.text import clock, cue_time, file_size, quant_from_name
 
+from .scan import opened
+
 #: What a model is told, and the answer where nothing was found.
 SYSTEM = (
     "Use somente os trechos numerados fornecidos. Cite as fontes no formato [1], [2] logo após a informação.",
@@ -166,22 +168,17 @@ def idle_instances(instances: DataFrame, now: Column, idle_minutes: int) -> Data
     return instances.where(F.lit(idle_minutes > 0) & (F.col("status") == "ready") & (used < now - F.expr(f"interval {int(idle_minutes)} minutes")))
 
 
-def throttled(reports: DataFrame, by: str, at: str, done: str, total: str, gap_ms: int = 500) -> DataFrame:
+def throttled(reports: DataFrame, by: str, at: str, done: str, total: str, gap_ms: int = 500, parts: int | None = None) -> DataFrame:
     """(by, at, done, rate, eta): reports at least ``gap_ms`` after the last one shown; bytes a second since then, seconds left.
 
-    The first report is the start.  One download's reports are an array; it is walked by one expression.
+    The first report is the start.  One download's reports are spread over tasks (``docengine.operators.scan``).
     """
-    g = reports.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.unix_millis(F.col(at).cast("timestamp")).alias("t"), F.col(done).cast("double").alias("b"), F.col(total).cast("double").alias("z")))).alias("r"))
-    row = "struct<t:bigint,b:double,rate:double,z:double>"
-    start = F.struct(F.col("r")[0]["t"].alias("t"), F.col("r")[0]["b"].alias("b"), F.array().cast(f"array<{row}>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        shown = F.struct(x["t"].alias("t"), x["b"].alias("b"), ((x["b"] - s["b"]) * 1000 / (x["t"] - s["t"])).alias("rate"), x["z"].alias("z"))
-        return F.when(x["t"] - s["t"] >= gap_ms, F.struct(x["t"].alias("t"), x["b"].alias("b"), F.concat(s["out"], F.array(shown)).alias("out"))).otherwise(s)
-
-    out = g.select(by, F.explode(F.aggregate("r", start, step)["out"]).alias("o"))
-    left = F.when((F.col("o.z") > 0) & (F.col("o.rate") > 0), F.floor((F.col("o.z") - F.col("o.b")) / F.col("o.rate") + 0.5))
-    return out.select(by, F.timestamp_millis("o.t").alias("at"), F.col("o.b").alias("done"), F.col("o.rate").alias("rate"), left.alias("eta"))
+    r = reports.select(by, F.unix_millis(F.col(at).cast("timestamp")).alias("_ms"), F.col(done).cast("double").alias("_done"), F.col(total).cast("double").alias("_size"))
+    shown = opened(r, by, "_ms", gap_ms, "_done", parts).where("_pos = _o_pos AND _p_at IS NOT NULL")
+    rate = (F.col("_done") - F.col("_p_value")) * 1000 / (F.col("_ms") - F.col("_p_at"))
+    out = shown.select(by, F.timestamp_millis("_ms").alias("at"), F.col("_done").alias("done"), rate.alias("rate"), "_size")
+    left = F.when((F.col("_size") > 0) & (F.col("rate") > 0), F.floor((F.col("_size") - F.col("done")) / F.col("rate") + 0.5))
+    return out.select(by, "at", "done", "rate", left.alias("eta"))
 
 
 def eta_text(seconds: Column) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from docengine.functions.text import clock, cue_time
 
+from .scan import running_sums
+
 
 def latest_jobs(log: DataFrame, key: str, at: Column, first: list[str], last: list[str]) -> DataFrame:
     """One row per job: ``first`` columns as first recorded, ``last`` columns as last recorded."""
@@ -61,9 +63,8 @@ def progress(items: DataFrame, by: str, order: str) -> DataFrame:
 
 def speakers(segments: DataFrame, by: str, order: str, turn_end: Column, text: str = "text") -> DataFrame:
     """Number of the speaker of each segment: one more than the turns that ended before it.  Blank segments count turns, then go."""
-    before = W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    n = 1 + F.coalesce(F.sum(turn_end.cast("int")).over(before), F.lit(0))
-    return segments.withColumn("speaker", n).where(F.trim(F.coalesce(F.col(text), F.lit(""))) != "")
+    summed = running_sums(segments, by, F.col(order), turn_end.cast("int"))
+    return summed.withColumn("speaker", 1 + F.col("_before")).drop("_before", "_total").where(F.trim(F.coalesce(F.col(text), F.lit(""))) != "")
 
 
 def parse_segments(raw: DataFrame, json: str = "raw", by: str = "id", offset: float = 0.0) -> DataFrame:
@@ -114,9 +115,8 @@ def evictions(running: DataFrame, by: str, last_used: Column, size: Column, need
     """Instances to stop, least recently used first, until ``need`` more fits into ``budget``."""
     if not need or not budget:
         return running.where("false")
-    w = W.partitionBy(by)
-    before = F.coalesce(F.sum(size).over(w.orderBy(last_used).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return running.withColumn("_left", F.sum(size).over(w) - before).where(F.col("_left") + need > budget).drop("_left")
+    summed = running_sums(running, by, last_used, size)
+    return summed.where(F.col("_total") - F.col("_before") + need > budget).drop("_before", "_total")
 
 
 def pick_by_preference(files: DataFrame, by: str, quant: str, size: str, path: str, prefer: list[str] | Column, budget: Column, override: str | None = None) -> DataFrame:

@@ -37,6 +37,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{made}/{name}"
 
 
+def scratch_table(rows: DataFrame, name: str) -> DataFrame:
+    """Write rows into a new shared folder and read them back: cuts lineage and survives lost executors."""
+    path = shared_folder(rows.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 class Versions:
     """The versions of a folder: each names the data folders of every part, and holds a few small facts about the whole."""
 

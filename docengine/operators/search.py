@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docengine.functions.text import fold, query_phrases, snippet, tokens
 
@@ -155,31 +158,111 @@ def semantic(vectors: DataFrame, query: list[float], id_col: str = "vec_id", vec
     return vectors.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), cosine(F.col(vector), q).alias("score"))
 
 
-def semantic_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", block: int = 1024) -> DataFrame:
-    """(query_id, id, score, rank): k best for each of a stated set of queries (query_id, query_vector).
+def _angles(rows: pa.Array, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows whose number of components is the pivots', their lengths, their angles to all pivots)."""
+    sizes = np.nan_to_num(rows.value_lengths().to_numpy(zero_copy_only=False), nan=-1)
+    same = np.flatnonzero(sizes == pivots.shape[1])
+    x = rows.take(pa.array(same)).flatten().to_numpy(zero_copy_only=False).reshape(len(same), -1)
+    n = np.sqrt((x**2).sum(1))
+    return same, n, np.arccos(np.clip(x @ pivots.T / np.where(n > 0, n, 1)[:, None], -1, 1))
 
-    Up to ``block`` queries are broadcast.  More are dealt into blocks that meet salted slices of the vectors by shuffle.
-    Either way a task keeps the k best of its rows per query before ranks are taken.
+
+class CosineCells:
+    """Vectors in cells around pivots, for exact cosine search that skips cells.
+
+    A vector is in the cell of the pivot that it makes the least angle with; a cell keeps the largest such angle.  No vector of a cell
+    can be nearer to a query than the query's angle to the pivot less the cell's.  Vectors without length, and those of
+    another number of components than the pivots, have cells of their own, which are never skipped wrongly: their bound is 0 and 1.
+
+    ``pivots`` bounds what every task gets and what the driver sees: so many vectors, angles and counts.
     """
-    v = vectors.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("_v")).withColumn("_nv", _norm("_v"))
-    queries = queries.select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector")).withColumn("_nq", _norm("query_vector"))
-    n = queries.count()
-    if n <= block:
-        pairs = v.join(F.broadcast(queries), F.col("id") != F.col("query_id"))
-    else:
-        parts, salts = -(-n // block), 64
-        q = queries.withColumn("_part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        v = v.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        pairs = v.join(q, ["_part", "_salt"]).where(F.col("id") != F.col("query_id"))
-    # Norms are worked out once per vector; only vectors of unequal lengths go the long way.
-    same = F.size("_v") == F.size("query_vector")
-    dot = F.aggregate(F.zip_with("_v", "query_vector", lambda p, q: p * q), F.lit(0.0), lambda s, e: s + e)
-    near = F.when((F.col("_nv") == 0) | (F.col("_nq") == 0), 0.0).otherwise(dot / F.col("_nv") / F.col("_nq"))
-    scored = pairs.select("query_id", "id", F.round(F.when(same, near).otherwise(cosine(F.col("_v"), F.col("query_vector"))), 6).alias("score"))
+
+    NONE, ODD = -1, -2
+
+    def __init__(self, vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", pivots: int = 64, part: int = 16384):
+        v = vectors.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("_v"))
+        first = v.where(F.size("_v") > 0).orderBy(F.xxhash64("id", F.lit(7)), "id").limit(pivots).select("_v").collect()
+        width = max((len(r[0]) for r in first), default=0)
+        p = np.array([r[0] for r in first if len(r[0]) == width] or np.zeros((0, width)), float)
+        self.pivots = p[(p**2).sum(1) > 0] / np.sqrt((p[(p**2).sum(1) > 0] ** 2).sum(1))[:, None]
+        self.v, self.vectors, self.part = v.withColumns({"_nv": _norm("_v"), "_c": self._cell("_v")}).select("id", "_v", "_nv", "_c.cell", "_c.angle"), vectors, part
+        self.cells = {r.cell: (r.angle, r.n) for r in self.v.groupBy("cell").agg(F.max("angle").alias("angle"), F.count("*").alias("n")).collect()}
+
+    def _cell(self, vector: str) -> Column:
+        pivots, none, odd = self.pivots, self.NONE, self.ODD
+
+        @F.arrow_udf(T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())]))
+        def run(rows: pa.Array) -> pa.Array:
+            cell, angle = np.full(len(rows), odd, np.int32), np.zeros(len(rows))
+            if len(pivots):
+                same, n, a = _angles(rows, pivots)
+                best = a.argmin(1) if len(same) else np.zeros(0, int)
+                cell[same] = np.where(n > 0, best, none)
+                angle[same] = np.where(n > 0, a[np.arange(len(same)), best], 0)
+            return pa.StructArray.from_arrays([pa.array(cell), pa.array(angle)], ["cell", "angle"])
+
+        return run(F.col(vector))
+
+    def bounds(self, queries: DataFrame) -> DataFrame:
+        """(query_id, query_vector, cell, bound): the most that a vector of each cell can score."""
+        cells, pivots, odd = sorted(self.cells), self.pivots, self.ODD
+        most = np.array([self.cells[c][0] for c in cells])
+
+        @F.arrow_udf(T.ArrayType(T.DoubleType()))
+        def run(rows: pa.Array) -> pa.Array:
+            out = np.ones((len(rows), len(cells)))
+            if len(pivots):
+                same, n, a = _angles(rows, pivots)
+                for k, c in enumerate(cells):
+                    bound = np.cos(np.maximum(a[:, c] - most[k], 0)) if c >= 0 else np.full(len(same), 1.0 if c == odd else 0.0)
+                    out[same, k] = np.where((n > 0) | (c == odd), bound, 0.0)
+            return pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * len(cells), out.ravel())
+
+        q = queries.select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector"))
+        named = F.array(*[F.lit(c) for c in cells]) if cells else F.array().cast("array<int>")
+        each = q.select("query_id", "query_vector", F.explode(F.arrays_zip(named.alias("cell"), run("query_vector").alias("bound"))).alias("x"))
+        return each.select("query_id", "query_vector", "x.cell", "x.bound")
+
+    def scored(self, asked: DataFrame) -> DataFrame:
+        """(query_id, id, score) of (query_id, query_vector, cell) with the cell's vectors; large cells are met in parts."""
+        parts = F.lit(1)
+        for c, (_, n) in self.cells.items():
+            if n > self.part:
+                parts = F.when(F.col("cell") == c, -(-n // self.part)).otherwise(parts)
+        v = self.v.withColumn("_part", F.pmod(F.xxhash64("id"), parts).cast("int"))
+        q = asked.withColumn("_nq", _norm("query_vector")).withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        pairs = v.join(q, ["cell", "_part"]).where(F.col("id") != F.col("query_id"))
+        # Norms are worked out once per vector; only vectors of unequal lengths go the long way.
+        same = F.size("_v") == F.size("query_vector")
+        dot = F.aggregate(F.zip_with("_v", "query_vector", lambda p, q: p * q), F.lit(0.0), lambda s, e: s + e)
+        near = F.when((F.col("_nv") == 0) | (F.col("_nq") == 0), 0.0).otherwise(dot / F.col("_nv") / F.col("_nq"))
+        return pairs.select("query_id", "id", F.round(F.when(same, near).otherwise(cosine(F.col("_v"), F.col("query_vector"))), 6).alias("score"))
+
+    def open_cells(self, queries: DataFrame, k: int) -> DataFrame:
+        """(query_id, query_vector, cell): cells that can hold one of the k best of a query."""
+        bounds = self.bounds(queries)
+        # The cell with the highest bound is searched first; its k-th score is a floor of the k-th of all.
+        best = W.partitionBy("query_id").orderBy(F.desc("bound"), "cell")
+        first = bounds.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n", "bound")
+        floor = _best(self.scored(first), k).where(F.col("rank") == k).select("query_id", F.col("score").alias("_floor"))
+        # Scores are rounded to six digits: what rounds to the floor stays.
+        return bounds.join(floor, "query_id", "left").where(F.col("_floor").isNull() | (F.col("bound") >= F.col("_floor") - 2e-6)).drop("bound", "_floor")
+
+
+def _best(scored: DataFrame, k: int) -> DataFrame:
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def semantic_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", pivots: int = 64) -> DataFrame:
+    """(query_id, id, score, rank): k best for each of a stated set of queries (query_id, query_vector), one row per query.
+
+    Exact: cells of vectors are left out by a bound on their cosine.  A query and the cells left meet by shuffle, in parts.
+    """
+    cells = CosineCells(vectors, id_col, vector, pivots)
+    return _best(cells.scored(cells.open_cells(queries, k)), k)
+
+
 def rank_fusion(lists: list[DataFrame], limit: int, constant: int = 60, digits: int = 9) -> DataFrame:
     """Reciprocal rank fusion of ranked lists (id, rank); ties to the list, then the place, where an id was first seen."""
     seen = None
@@ -230,11 +313,17 @@ def embed(texts: DataFrame, model: Callable[[list[str]], list[list[float]]], tex
     return texts.withColumn("embedding", run(F.col(text)))
 
 
-def rerank(hits: DataFrame, query: str, scorer: Callable[[str, list[str]], list[float]], text: str = "text") -> DataFrame:
-    """Order hits (a final pool) by an injected scorer; if it fails or gives a wrong number of scores the order stays."""
+def rerank(hits: DataFrame, query: str, scorer: Callable[[str, list[str]], list[float]], text: str = "text", pool: int = 64) -> DataFrame:
+    """Order the first ``pool`` hits by an injected scorer; if it fails or gives a wrong number of scores the order stays.
+
+    The pool is taken by rank first (a distributed top-k), so that one task sees no more than that.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts), ignore_index=True)
+        held = [p for p in parts if len(p)]
+        if not held:
+            return
+        rows = pd.concat(held, ignore_index=True).sort_values("rank")
         if len(rows) > 1:
             try:
                 scores = scorer(query, rows[text].fillna("").tolist())
@@ -246,4 +335,4 @@ def rerank(hits: DataFrame, query: str, scorer: Callable[[str, list[str]], list[
                 pass
         yield rows
 
-    return hits.coalesce(1).mapInPandas(run, hits.schema)
+    return hits.orderBy("rank").limit(pool).repartition(1).mapInPandas(run, hits.schema)

@@ -99,9 +99,9 @@ def embed_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 def rerank_hits(spark: SparkSession, sf: str) -> DataFrame:
     """The injected scorer prefers long texts; one that fails leaves the order."""
-    hits = table(spark, sf, "documents").select("doc_id", "text", F.lit(0.0).alias("score"), F.col("doc_id").cast("int").alias("rank")).where("rank < 20")
-    good = S.rerank(hits, "q", lambda _, texts: [float(len(t)) for t in texts]).select("doc_id", "rank", F.lit("good").alias("scorer"))
-    return good.unionAll(S.rerank(hits, "q", lambda _, texts: [1.0]).select("doc_id", "rank", F.lit("bad")))
+    hits = table(spark, sf, "documents").select("doc_id", "text", F.lit(0.0).alias("score"), F.col("doc_id").cast("int").alias("rank"))
+    good = S.rerank(hits, "q", lambda _, texts: [float(len(t)) for t in texts], pool=20).select("doc_id", "rank", F.lit("good").alias("scorer"))
+    return good.unionAll(S.rerank(hits, "q", lambda _, texts: [1.0], pool=20).select("doc_id", "rank", F.lit("bad")))
 
 
 def hybrid_lexical(spark: SparkSession, sf: str) -> DataFrame:

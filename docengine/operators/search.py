@@ -254,12 +254,13 @@ def _best(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def semantic_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", pivots: int = 64) -> DataFrame:
+def semantic_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", block: int = 16384, pivots: int = 64) -> DataFrame:
     """(query_id, id, score, rank): k best for each of a stated set of queries (query_id, query_vector), one row per query.
 
-    Exact: cells of vectors are left out by a bound on their cosine.  A query and the cells left meet by shuffle, in parts.
+    Exact: cells of vectors are left out by a bound on their cosine.  A query and the cells left meet by shuffle, in parts of about
+    ``block`` vectors.  One plan at every size.
     """
-    cells = CosineCells(vectors, id_col, vector, pivots)
+    cells = CosineCells(vectors, id_col, vector, pivots, block)
     return _best(cells.scored(cells.open_cells(queries, k)), k)
 
 

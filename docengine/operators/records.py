@@ -25,8 +25,10 @@ def retained(jobs: DataFrame, ended: str, as_of: Column, days: int = 30) -> Data
     return jobs.where(F.col(ended).isNull() | (F.col(ended) >= as_of - F.expr(f"interval {int(days)} days")))
 
 
-def history(live: DataFrame, stored: DataFrame, key: str, order: str, limit: int = 500) -> DataFrame:
-    """Live jobs and stored ones that aren't live, newest first."""
+def history(live: DataFrame, stored: DataFrame, key: str, order: str, limit: int = 500, kind: str | None = None) -> DataFrame:
+    """Live jobs and stored ones that aren't live, newest first; of one ``kind``, if one is asked for."""
+    if kind:
+        live, stored = live.where(F.col("kind") == kind), stored.where(F.col("kind") == kind)
     return live.unionByName(stored.join(live.select(key), key, "left_anti").select(*live.columns)).orderBy(F.desc(order), key).limit(min(limit, 500))
 
 

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -148,6 +149,31 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((nx == 0) | (ny == 0), 0.0).otherwise(dot / F.sqrt(nx) / F.sqrt(ny))
 
 
+def pack_vector(vector: Column) -> Column:
+    """The components as 32-bit floats in little-endian order, one after the other; null stays null."""
+
+    @F.arrow_udf(T.BinaryType())
+    def run(rows: pa.Array) -> pa.Array:
+        data = rows.flatten().to_numpy(zero_copy_only=False).astype("<f4").tobytes()
+        sizes = rows.value_lengths().fill_null(0).to_numpy() * 4
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        packed = pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        return pc.if_else(rows.is_null(), None, packed)
+
+    return run(vector)
+
+
+def unpack_vector(content: Column) -> Column:
+    """What ``pack_vector`` packed; null, and bytes that aren't whole floats, give null."""
+
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def run(rows: pa.Array) -> pa.Array:
+        got = [np.frombuffer(x.as_buffer(), "<f4") if x.is_valid and len(x.as_buffer()) % 4 == 0 else None for x in rows]
+        return pa.array(got, pa.list_(pa.float32()))
+
+    return run(content)
+
+
 def _norm(vector: str) -> Column:
     return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, e: s + e * e))
 

@@ -175,6 +175,12 @@ def job_history(spark: SparkSession, sf: str) -> DataFrame:
     return R.history(j.where("id % 2 = 0"), j.withColumn("status", F.lit("stored")), "id", "created_at", 50)
 
 
+def job_history_kind(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest jobs of one kind, live and stored."""
+    j = job_upsert_latest(spark, sf).select("id", "status", "created_at", F.concat(F.lit("kind"), F.col("id") % 3).alias("kind"))
+    return R.history(j.where("id % 2 = 0"), j.withColumn("status", F.lit("stored")), "id", "created_at", 20, "kind1")
+
+
 def job_retention(spark: SparkSession, sf: str) -> DataFrame:
     j = job_upsert_latest(spark, sf).select("id", F.when(F.col("status").isin("done", "failed", "cancelled"), F.col("updated_at")).alias("ended_at"))
     return R.retained(j, "ended_at", F.lit("2024-02-20").cast("timestamp_ntz"), 30)
@@ -243,7 +249,7 @@ def cue_clock(spark: SparkSession, sf: str) -> DataFrame:
     return o.select("o_orderkey", T.clock(F.col("s")).alias("clock"), T.parse_duration(F.regexp_replace(T.cue_time(F.col("s")), ",", ".")).alias("seconds"), T.file_size(F.floor(F.col("s") * 1000)).alias("size"))
 
 
-QUERIES = {f.__name__: f for f in (normalize_amount, normalize_date, check_digits, items_sum_check, validate_rules, crosscheck_rows, crosscheck_summary, dedup_sha256, replace_chunks, partial_update, upsert_meta, unique_names, ingest_report, doc_type_counts, chat_list, citations, speaker_turns, transcript_text, srt_cues, prompt_transcript, segments_overlap, job_upsert_latest, job_history, job_retention, orphans, running_by_kind, illegal_moves, session_debounce, tumbling_window, rate_limit, lru_evict, pick_by_preference, shard_sum, split_ranges, prune_nulls, json_fields, cue_clock)}
+QUERIES = {f.__name__: f for f in (normalize_amount, normalize_date, check_digits, items_sum_check, validate_rules, crosscheck_rows, crosscheck_summary, dedup_sha256, replace_chunks, partial_update, upsert_meta, unique_names, ingest_report, doc_type_counts, chat_list, citations, speaker_turns, transcript_text, srt_cues, prompt_transcript, segments_overlap, job_upsert_latest, job_history, job_history_kind, job_retention, orphans, running_by_kind, illegal_moves, session_debounce, tumbling_window, rate_limit, lru_evict, pick_by_preference, shard_sum, split_ranges, prune_nulls, json_fields, cue_clock)}
 
 _CENTS = "CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT)"
 _NUM = r"regexp_replace(regexp_replace(CAST(CAST({c} / 100.0 AS DECIMAL(20, 2)) AS VARCHAR), '0+$', ''), '\.$', '')"
@@ -306,6 +312,7 @@ SELECT e.conv_id, place, CAST(n AS INTEGER) AS n, length(text) AS quote_chars FR
 SELECT conv_id, CASE WHEN length(t) <= 150 THEN t ELSE substr(t, 1, 75) || chr(10) || chr(10) || '[… trecho do meio omitido por tamanho …]' || chr(10) || chr(10) || right(t, 75) END AS text FROM f""",
     "segments_overlap": "SELECT event_id FROM (SELECT event_id, (epoch_us(ts) / 1000000) % 3600 AS s, value FROM events) WHERE s + value > 600 AND s < 900",
     "job_upsert_latest": _JOBS,
+    "job_history_kind": f"SELECT id, CASE WHEN id % 2 = 0 THEN status ELSE 'stored' END AS status, created_at, 'kind1' AS kind FROM ({_JOBS}) WHERE id % 3 = 1 ORDER BY created_at DESC, id LIMIT 20",
     "job_history": f"SELECT id, CASE WHEN id % 2 = 0 THEN status ELSE 'stored' END AS status, created_at FROM ({_JOBS}) ORDER BY created_at DESC, id LIMIT 50",
     "job_retention": f"SELECT id, ended_at FROM (SELECT id, CASE WHEN status IN ('done', 'failed', 'cancelled') THEN updated_at END AS ended_at FROM ({_JOBS})) WHERE ended_at IS NULL OR ended_at >= TIMESTAMP '2024-01-21'",
     "orphans": f"SELECT id, CASE WHEN status IN ('queued', 'running') THEN 'failed' ELSE status END AS status FROM ({_JOBS})",

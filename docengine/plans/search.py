@@ -62,6 +62,13 @@ def cosine_zero_norm(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("vec_id", S.cosine(F.col("embedding"), zero).alias("zero"), F.round(S.cosine(F.col("embedding"), F.slice("embedding", 1, 8)), 6).alias("shorter"))
 
 
+def packed_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors as bytes and back: their sizes, outer components and what is the same."""
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding", S.pack_vector(F.col("embedding")).alias("b"))
+    e = e.withColumn("back", S.unpack_vector(F.col("b")))
+    return e.select("vec_id", F.octet_length("b").alias("n_bytes"), F.col("back")[0].alias("head"), F.element_at("back", -1).alias("tail"), F.round(S.cosine(F.col("back"), F.col("embedding")), 6).alias("similarity"))
+
+
 def rrf_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     return S.rank_fusion([bm25_topk(spark, sf), _semantic(spark, sf)], 24)
 
@@ -128,7 +135,7 @@ def classify_gate(spark: SparkSession, sf: str) -> DataFrame:
     return D.classify(D.hint_scores(table(spark, sf, "documents"), HINTS))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_filtered, bm25_scan, bm25_phrase, bm25_folded, bm25_index, postings_terms, cosine_topk, cosine_zero_norm, rrf_hybrid, rrf_postfilter, hydrate_ranked, snippet_window, estimate_tokens, chunk_rows, chunk_stats, speech_parts, html_to_markdown, parse_url_ref, slugs, benchmark_lookup, classify_hints, classify_gate)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_filtered, bm25_scan, bm25_phrase, bm25_folded, bm25_index, postings_terms, cosine_topk, cosine_zero_norm, packed_vectors, rrf_hybrid, rrf_postfilter, hydrate_ranked, snippet_window, estimate_tokens, chunk_rows, chunk_stats, speech_parts, html_to_markdown, parse_url_ref, slugs, benchmark_lookup, classify_hints, classify_gate)}
 
 _COS = "SELECT vec_id AS id, list_dot_product(embedding::DOUBLE[], q) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) / sqrt(list_dot_product(q, q)) AS s FROM embeddings, (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 7)"
 _BM = bm25_sql(T.query_phrases(WORDS), k=32)
@@ -168,6 +175,7 @@ ORACLE = {
 SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6) AS score
 FROM embeddings e JOIN embeddings q ON q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id)) WHERE rank <= 8""",
     "cosine_zero_norm": "SELECT vec_id, 0.0::DOUBLE AS zero, 1.0::DOUBLE AS shorter FROM embeddings",
+    "packed_vectors": "SELECT vec_id, CAST(4 * len(embedding) AS INTEGER) AS n_bytes, embedding[1] AS head, embedding[-1] AS tail, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS similarity FROM embeddings",
     "rrf_hybrid": _RRF + "SELECT id, score, rank FROM fused",
     "rrf_postfilter": _RRF + "SELECT doc_id, score, rank FROM fused JOIN documents ON id = doc_id WHERE lang = 'en' ORDER BY rank LIMIT 8",
     "hydrate_ranked": f"SELECT rank, d.doc_id, score, lang, source, quality FROM ({_BM}) r JOIN documents d ON d.doc_id = r.id LEFT JOIN labels l ON l.doc_id = d.doc_id",

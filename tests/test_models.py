@@ -78,3 +78,11 @@ def test_rerank_keeps_the_pool_apart(spark):
     got = S.rerank(hits, "q", lambda _, texts: [float(len(t)) for t in texts], pool=10)
     assert [(r.doc_id, r["rank"]) for r in got.orderBy("rank").collect()] == [(11 - i, i) for i in range(1, 11)]
     assert sorted(r.doc_id for r in S.rerank(hits, "q", lambda *_: [1.0], pool=10).collect()) == list(range(1, 11))
+
+
+def test_vectors_as_bytes(spark):
+    rows = [(1, [1.0, -2.5]), (2, []), (3, None), (4, [0.1])]
+    df = spark.createDataFrame(rows, "i int, v array<float>").coalesce(1).select("i", "v", S.pack_vector(F.col("v")).alias("b")).withColumn("u", S.unpack_vector(F.col("b")))
+    assert all(r.u == r.v for r in df.collect())
+    assert {r.i: None if r.b is None else bytes(r.b).hex() for r in df.collect()} == {1: "0000803f000020c0", 2: "", 3: None, 4: "cdcccc3d"}
+    assert df.select(S.unpack_vector(F.lit(b"abc")).alias("x")).first().x is None

@@ -47,6 +47,18 @@ def check_digits(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def tax_id_issues(spark: SparkSession, sf: str) -> DataFrame:
+    """Identifiers from customer keys, plain or with their marks, that end in digits of the key; some are blank."""
+    k = F.col("c_custkey")
+    base, two = F.lpad((k * 7919).cast("string"), 43, "31"), lambda n: F.lpad((n % 100).cast("string"), 2, "0")
+    marked = lambda c, pattern, to: F.when(k % 2 == 0, c).otherwise(F.regexp_replace(c, pattern, to))
+    cnpj = marked(F.concat(F.substring(base, 32, 12), two(k)), r"^(..)(...)(...)(....)(..)$", "$1.$2.$3/$4-$5")
+    cpf = marked(F.concat(F.substring(base, 35, 9), two(k * 3)), r"^(...)(...)(...)(..)$", "$1.$2.$3-$4")
+    fields = F.create_map(F.lit("cnpjEmitente"), F.when(k % 5 == 0, "").otherwise(cnpj), F.lit("cpf"), F.when(k % 7 == 0, " ").otherwise(cpf))
+    c = table(spark, sf, "customer").select("c_custkey", V.run_validators(["cnpj", "cpf"], fields).alias("i"))
+    return c.select("c_custkey", F.array_join(F.transform("i", lambda x: F.concat_ws(":", x["code"], x["field"])), ",").alias("codes"))
+
+
 def _invoices(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Orders as documents with fields, and line items as lists."""
     o, items = table(spark, sf, "orders"), table(spark, sf, "lineitem")
@@ -249,7 +261,7 @@ def cue_clock(spark: SparkSession, sf: str) -> DataFrame:
     return o.select("o_orderkey", T.clock(F.col("s")).alias("clock"), T.parse_duration(F.regexp_replace(T.cue_time(F.col("s")), ",", ".")).alias("seconds"), T.file_size(F.floor(F.col("s") * 1000)).alias("size"))
 
 
-QUERIES = {f.__name__: f for f in (normalize_amount, normalize_date, check_digits, items_sum_check, validate_rules, crosscheck_rows, crosscheck_summary, dedup_sha256, replace_chunks, partial_update, upsert_meta, unique_names, ingest_report, doc_type_counts, chat_list, citations, speaker_turns, transcript_text, srt_cues, prompt_transcript, segments_overlap, job_upsert_latest, job_history, job_history_kind, job_retention, orphans, running_by_kind, illegal_moves, session_debounce, tumbling_window, rate_limit, lru_evict, pick_by_preference, shard_sum, split_ranges, prune_nulls, json_fields, cue_clock)}
+QUERIES = {f.__name__: f for f in (normalize_amount, normalize_date, check_digits, tax_id_issues, items_sum_check, validate_rules, crosscheck_rows, crosscheck_summary, dedup_sha256, replace_chunks, partial_update, upsert_meta, unique_names, ingest_report, doc_type_counts, chat_list, citations, speaker_turns, transcript_text, srt_cues, prompt_transcript, segments_overlap, job_upsert_latest, job_history, job_history_kind, job_retention, orphans, running_by_kind, illegal_moves, session_debounce, tumbling_window, rate_limit, lru_evict, pick_by_preference, shard_sum, split_ranges, prune_nulls, json_fields, cue_clock)}
 
 _CENTS = "CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT)"
 _NUM = r"regexp_replace(regexp_replace(CAST(CAST({c} / 100.0 AS DECIMAL(20, 2)) AS VARCHAR), '0+$', ''), '\.$', '')"
@@ -287,6 +299,11 @@ ORACLE = {
 d AS (SELECT *, CAST({_M11(_check([2 + (42 - i) % 8 for i in range(43)], 's'))} AS BIGINT) AS nfe, {_M11(_check([2 + (11 - i) % 8 for i in range(12)], 'n'))} AS n1, {_check(list(range(10, 1, -1)), 'f')} * 10 % 11 % 10 AS f1 FROM b),
 e AS (SELECT *, {_M11(_check([2 + (12 - i) % 8 for i in range(13)], '(n || n1)'))} AS n2, {_check(list(range(11, 1, -1)), '(f || f1)')} * 10 % 11 % 10 AS f2 FROM d)
 SELECT c_custkey, nfe AS nfe_digit, CAST((n2 = 0)::INT AS BIGINT) AS cnpj_hits, CAST((f2 = 0)::INT AS BIGINT) AS cpf_hits FROM e""",
+    "tax_id_issues": f"""WITH b AS (SELECT c_custkey, substr({_BASE}, 32, 12) AS n, substr({_BASE}, 35, 9) AS f FROM customer),
+d AS (SELECT *, {_M11(_check([2 + (11 - i) % 8 for i in range(12)], 'n'))} AS n1, {_check(list(range(10, 1, -1)), 'f')} * 10 % 11 % 10 AS f1 FROM b),
+e AS (SELECT *, {_M11(_check([2 + (12 - i) % 8 for i in range(13)], '(n || n1)'))} AS n2, {_check(list(range(11, 1, -1)), '(f || f1)')} * 10 % 11 % 10 AS f2 FROM d)
+SELECT c_custkey, array_to_string(list_filter([CASE WHEN c_custkey % 5 <> 0 AND CAST(n1 * 10 + n2 AS BIGINT) <> c_custkey % 100 THEN 'cnpj_invalido:cnpjEmitente' END,
+CASE WHEN c_custkey % 7 <> 0 AND CAST(f1 * 10 + f2 AS BIGINT) <> c_custkey * 3 % 100 THEN 'cpf_invalido:cpf' END], lambda x: x IS NOT NULL), ',') AS codes FROM e""",
     "items_sum_check": "SELECT l_orderkey, round(sum(CAST(l_quantity AS BIGINT) * (CAST(floor(l_extendedprice / l_quantity * 100 + 0.5) AS BIGINT) / 100.0::DOUBLE)), 2) AS total FROM lineitem GROUP BY 1",
     "validate_rules": """SELECT o_orderkey, NOT (o_orderkey % 5 = 0 OR (o_orderkey % 11 = 0 AND o_orderkey % 7 <> 0)) AS ok,
 array_to_string(list_filter([CASE WHEN o_orderkey % 5 = 0 THEN 'vencimento_antes_emissao' END, CASE WHEN o_orderdate >= DATE '1998-01-03' THEN 'data_futura' END,

@@ -42,6 +42,14 @@ def delimiters(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("p_partkey", T.guess_delimiter(F.col("t")).alias("sep"), T.looks_tabular(F.col("t")).alias("tabular"))
 
 
+def text_delimiters(spark: SparkSession, sf: str) -> DataFrame:
+    """The separator that each document and page would be read with, and whether it looks like a table."""
+    d = table(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.col("text").alias("t"))
+    d = d.unionByName(table(spark, sf, "pages").select(F.concat(F.lit("p"), "page_id").alias("id"), F.col("html").alias("t")))
+    o = table(spark, sf, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("id"), F.concat_ws("\n", F.lit("key;who"), F.concat_ws(";", "o_orderkey", "o_custkey"), F.concat("o_orderstatus", F.when(F.col("o_orderkey") % 3 == 0, "|").otherwise(";"), "o_orderpriority")).alias("t"))
+    return d.unionByName(o).select("id", T.guess_delimiter(F.col("t")).alias("sep"), T.looks_tabular(F.col("t")).alias("tabular"))
+
+
 def csv_markdown(spark: SparkSession, sf: str) -> DataFrame:
     n = table(spark, sf, "nation").select("n_nationkey", F.concat(F.lit("name;key;more\r\n"), "n_name", F.lit(";"), F.col("n_nationkey"), F.lit("\n;;\np|q;")).alias("t"))
     return n.select("n_nationkey", files_.delimited_markdown(F.col("t"), T.guess_delimiter(F.col("t"))).alias("markdown"))
@@ -125,7 +133,7 @@ def speech_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return names
 
 
-QUERIES = {f.__name__: f for f in (file_kinds, decoded_text, delimiters, csv_markdown, column_refs, tensor_kinds, gguf_kinds, topic_events, delete_cascade, embed_texts, rerank_hits, hybrid_lexical, download_parts, speech_numbers)}
+QUERIES = {f.__name__: f for f in (file_kinds, decoded_text, delimiters, text_delimiters, csv_markdown, column_refs, tensor_kinds, gguf_kinds, topic_events, delete_cascade, embed_texts, rerank_hits, hybrid_lexical, download_parts, speech_numbers)}
 
 
 def _cols(values, names: tuple[str, ...], cast: dict[str, str] | None = None) -> str:
@@ -143,6 +151,13 @@ ORACLE = {
     "hybrid_lexical": _lexical(),
     "file_kinds": f"SELECT p_partkey, {_of('p_partkey', *_FILES.values())} AS kind FROM part",
     "decoded_text": f"SELECT p_partkey, {_of('p_partkey', 'ção', 'ção', 'ab', '')} AS text FROM part",
+    "text_delimiters": """WITH t AS (SELECT 'd' || doc_id AS id, text AS t FROM documents UNION ALL SELECT 'p' || page_id, html FROM pages
+UNION ALL SELECT 'o' || o_orderkey, 'key;who' || chr(10) || o_orderkey || ';' || o_custkey || chr(10) || o_orderstatus || CASE WHEN o_orderkey % 3 = 0 THEN '|' ELSE ';' END || o_orderpriority FROM orders),
+h AS (SELECT id, t, array_to_string(list_slice(string_split_regex(t, '\\r?\\n'), 1, 5), chr(10)) AS h, list_slice(list_filter(string_split_regex(t, '\\r?\\n'), lambda x: trim(x) <> ''), 1, 5) AS f FROM t),
+n AS (SELECT *, length(h) - length(replace(h, ',', '')) AS a, length(h) - length(replace(h, ';', '')) AS b, length(h) - length(replace(h, chr(9), '')) AS c, length(h) - length(replace(h, '|', '')) AS d,
+list_transform([',', ';', chr(9)], lambda s: list_transform(f, lambda x: length(x) - length(replace(x, s, '')))) AS per FROM h)
+SELECT id, CASE greatest(a, b, c, d) WHEN 0 THEN ',' WHEN a THEN ',' WHEN b THEN ';' WHEN c THEN chr(9) WHEN d THEN '|' ELSE ',' END AS sep,
+coalesce(len(f) >= 2 AND len(list_filter(per, lambda p: list_min(p) = list_max(p) AND list_min(p) >= 1)) > 0, false) AS tabular FROM n""",
     "delimiters": "SELECT p_partkey, ([';', ',', chr(9), '|', ',', ',', ','])[p_partkey % 7 + 1] AS sep, p_partkey % 7 < 3 AS tabular FROM part",
     "csv_markdown": "SELECT n_nationkey, '| name | key | more |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| ' || n_name || ' | ' || n_nationkey || ' |  |' || chr(10) || '| p\\|q |  |  |' AS markdown FROM nation",
     "column_refs": "SELECT p_partkey, CAST(p_partkey % 702 AS INTEGER) AS \"column\" FROM part",

@@ -222,6 +222,33 @@ def test_chaining_recall_against_brute_force(spark):
     assert len(want) >= 20 and len(want & links) >= 0.9 * len(want) and all(i // 2 == j // 2 for i, j in links)
 
 
+def edited(rng, passage, kind):
+    """Every fifth word changed, or about one in nine inserted, deleted or either."""
+    out = []
+    for i, w in enumerate(passage):
+        what = kind if kind != "mixed" else rng.choice(["inserted", "deleted"])
+        if kind == "changed":
+            out.append(f"z{i}" if i % 5 == 4 else w)
+        elif i % 9 == 8:
+            out += [w, f"z{i}"] if what == "inserted" else []
+        else:
+            out.append(w)
+    return out
+
+
+@pytest.mark.parametrize("kind", ["changed", "inserted", "deleted", "mixed"])
+def test_chaining_misses_no_passage_at_the_threshold(spark, kind):
+    """Four words in five match, or six in seven with insertions and deletions: each pair is linked."""
+    rng = random.Random(21)
+    texts = []
+    for _ in range(40):
+        passage = words(rng, rng.randrange(50, 90), 100_000)
+        for p in (passage, edited(rng, passage, kind)):
+            texts.append(" ".join(words(rng, 60, 100_000) + p + words(rng, 60, 100_000)))
+    got = {r.doc_id: r.component_id for r in chaining.repeated_passages(frame(spark, texts)).collect()}
+    assert got == {i: i - i % 2 for i in range(80)}
+
+
 def test_chaining_odd_rows(spark):
     rng = random.Random(17)
     passage = " ".join(words(rng, 100))

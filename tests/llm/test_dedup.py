@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -296,6 +297,79 @@ def test_chaining_finds_passages_of_frequent_lines(spark, hot):
     assert all(r.n_words >= len(passage) for r in got.values())
 
 
+def test_chaining_stretches_of_many_rows():
+    rng = np.random.default_rng(22)
+    for wide in (50, 128, 230):
+        ok = rng.random((40, wide)) < rng.choice([0.7, 0.78, 0.82, 0.9], (40, 1))
+        lo, hi = rng.integers(0, wide // 3, 40), wide - rng.integers(0, wide // 3, 40)
+        want = sorted((i, int(lo[i]) + s, int(lo[i]) + e, n) for i in range(40) for s, e, n in chaining.stretches(ok[i, lo[i] : hi[i]]))
+        assert want and sorted(zip(*(c.tolist() for c in chaining.many_stretches(ok, lo, hi)), strict=True)) == want
+
+
+def test_chaining_looks_before_it_aligns():
+    """Some 32 to 63 words of which four in five stand in the other text, near the diagonal: by every window."""
+    rng = np.random.default_rng(23)
+    y = rng.integers(0, 50_000, (200, 128 + 2 * chaining.DRIFT)).astype(np.int32)
+    x = y[:, chaining.DRIFT : -chaining.DRIFT].copy()
+    for k in range(200):
+        x[k] = np.where(rng.random(128) < rng.choice([0.6, 0.75, 0.8, 0.9]), x[k], -1)
+        x[k, : rng.integers(0, 90)] = -1
+    stands = [np.array([[x[k, i] in y[k, i : i + 2 * chaining.DRIFT + 1] for i in range(128)] for k in range(200)])]
+    stands.append(np.array([[y[k, j] in x[k, max(0, j - 2 * chaining.DRIFT) : j + 1] for j in range(y.shape[1])] for k in range(200)]))
+    enough = [[any(5 * side[k, i : i + n].sum() >= 4 * n for n in range(32, 64) for i in range(side.shape[1] - n + 1)) for k in range(200)] for side in stands]
+    got = chaining.likely(x, y).tolist()
+    assert got == [a and b for a, b in zip(*enough, strict=True)] and 20 < sum(got) < 180
+
+
+def passages_of_a_hub(rng):
+    """Passages of one text of 4000 words, each in three others, and a long one that is changed, in two."""
+    hub = words(rng, 4000, 100_000)
+    texts = [hub] + [words(rng, 50, 100_000) + hub[at : at + 60 + at % 40] + words(rng, 50, 100_000) for at in range(0, 3600, 150) for _ in range(3)]
+    return [" ".join(t) for t in [*texts, edited(rng, hub[100:2000], "changed"), edited(rng, hub[100:2000], "mixed")]]
+
+
+def test_chaining_moves_words_once_for_either_side(spark, monkeypatch):
+    """From chains to passages two shuffles and no join with words, blocks or chains, so the cost doesn't grow with blocks of words."""
+    plans, written = [], chaining.written
+
+    def seen(df, name):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return written(df, name)
+
+    monkeypatch.setattr(chaining, "written", seen)
+    got = chaining.repeated_passages(frame(spark, passages_of_a_hub(random.Random(24)))).collect()
+    assert len(got) == 75 and {r.component_id for r in got} == {0}
+    name, plan = plans[-1]
+    assert name == "passages" and plan.count("RepartitionByExpression") == 2
+    joins = [line for _, p in plans for line in p.splitlines() if "Join " in line]
+    assert all("strategy=broadcast" in line for line in joins), joins
+
+
+def test_chaining_shares_a_text_among_tasks(spark, monkeypatch):
+    """A text that many chains end in is worked on by several tasks, with the same result."""
+    texts = passages_of_a_hub(random.Random(25))
+    want = sorted(tuple(r) for r in chaining.repeated_passages(frame(spark, texts)).collect())
+    monkeypatch.setattr(chaining, "MANY", 3)
+    assert sorted(tuple(r) for r in chaining.repeated_passages(frame(spark, texts)).collect()) == want and len(want) == 75
+
+
+def test_chaining_aligns_over_the_borders_of_batches(monkeypatch):
+    rng = np.random.default_rng(26)
+    rows = []
+    for text in range(3):
+        w = rng.integers(0, 1 << 16, 600).astype(np.uint16)
+        rows.append((None, text, None, None, w.tobytes()))
+        for at in (0, 30, 200, 540):
+            a = np.concatenate([rng.integers(0, 1 << 16, 70).astype(np.uint16), w[at : at + 60], rng.integers(0, 1 << 16, 70).astype(np.uint16)])
+            rows.append((100 + at, text, 70, np.array([70, at, 20 + at % 40], np.int32).tobytes(), a[70 - chaining.REACH :].tobytes()))
+    rows += [(7, 99, *rows[1][2:])]  # chains without their text
+    kinds = pa.schema([("uid", pa.int64()), ("partner", pa.int64()), ("q0", pa.int32()), ("frags", pa.binary()), ("words", pa.binary())])
+    monkeypatch.setattr(chaining, "_gathered", lambda batches: batches)
+    for size in (1, 2, 5, 100):
+        got = [tuple(r.values()) for b in chaining._align_rows(iter(pa.Table.from_pylist([dict(zip(kinds.names, r, strict=True)) for r in rows], kinds).to_batches(max_chunksize=size))) for r in b.to_pylist()]
+        assert sorted(got) == sorted((100 + at, text, 70, 130, at, at + 60, 60) for text in range(3) for at in (0, 30, 200, 540))
+
+
 def test_mix(spark):
     d = frame(spark, [None, "", "a b c"] + [f"w{i} " * (i % 40) for i in range(600)]).withColumn("source", F.when(F.col("doc_id") % 50 == 7, None).otherwise(F.col("source")))
     once, again = (mixing.mix(d).orderBy("doc_id").collect() for _ in range(2))

@@ -398,10 +398,13 @@ def ranked_derivatives(found: DataFrame, by: str, repo: str = "id", downloads: s
     return found.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(trust, F.desc(F.coalesce(F.col(downloads), F.lit(0))), repo)))
 
 
+def _states(recipes: DataFrame) -> DataFrame:
+    return recipes.select("recipe", F.lower("repo").alias("_known"), _place(F.col("status"), STATES).alias("_state"))
+
+
 def recipes_for(refs: DataFrame, recipes: DataFrame) -> DataFrame:
     """(ref, recipe, rank): recipes (recipe, repo, status) of each reference's repository, whatever its case, best state first."""
-    r = recipes.select("recipe", F.lower("repo").alias("_repo"), _place(F.col("status"), STATES).alias("_state")).distinct()
-    out = refs.select("ref", F.lower("repo").alias("_repo")).join(r, "_repo")
+    out = refs.select("ref", F.lower("repo").alias("_known")).join(_states(recipes).distinct(), "_known")
     return out.select("ref", "recipe", F.row_number().over(W.partitionBy("ref").orderBy("_state", "recipe")).alias("rank"))
 
 
@@ -438,20 +441,25 @@ def plan_steps(refs: DataFrame, tree: DataFrame, recipes: DataFrame, derivatives
     A named file, else a recipe that knows the repository, else its GGUF files, a single checkpoint, an ONNX pack, the best
     conversion, or its weights as they are.  ``tree`` has (repo, path, size).
     """
-    f = refs.join(tree.select(F.col("repo").alias("_repo"), F.col("path").alias("file"), "size"), F.col("repo") == F.col("_repo"), "left")
-    inside = F.col("subpath").isNull() | F.startswith("file", F.concat(F.col("subpath"), F.lit("/")))
-    useful = inside & ~F.regexp_like("file", F.lit(NO_WEIGHTS))
-    like = lambda p: F.coalesce(useful & F.regexp_like("file", F.lit(p)), F.lit(False))
+    # Files are summed up once for their repository (no folder) and once for each folder that they are in, not for each reference.
+    parts = F.split("file", "/")
+    folders = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.when(i > 0, F.array_join(F.slice(parts, 1, i), "/")))
+    t = tree.select(F.col("repo").alias("_repo"), F.col("path").alias("file"), "size").where("file IS NOT NULL")
+    like = lambda p: F.regexp_like("file", F.lit(p))
     root = like(r"(?i)^[^/]+\.(safetensors|ckpt)$") & (F.coalesce(F.col("size"), F.lit(0)) > 500 << 20)
-    g = f.groupBy("ref", "repo", "path", "subpath", "kind").agg(
-        F.max(F.coalesce(F.col("file") == F.col("path"), F.lit(False))).alias("named"),
+    per = t.where(~like(NO_WEIGHTS)).withColumn("_folder", F.explode(folders)).groupBy("_repo", "_folder").agg(
         F.min(F.when(like(r"(?i)\.gguf$"), F.col("file"))).alias("gguf"),
         F.min_by(F.when(root, F.col("file")), F.when(root, F.struct((-_checkpoint(F.col("file"))).alias("s"), "size", "file"))).alias("checkpoint"),
         F.count_if(like(r"(?i)\.onnx$")).alias("n_onnx"),
         F.min(F.when(like(r"(?i)\.onnx$"), F.col("file"))).alias("onnx"),
         F.min(F.when(like(WEIGHTS) & (F.col("size") > 0), F.col("file"))).alias("raw"),
     )
-    best = recipes_for(refs, recipes).where("rank = 1").select("ref", F.col("recipe"))
+    names = t.select(F.col("_repo").alias("_in"), "file").distinct()
+    g = refs.select("ref", "repo", "path", "subpath", "kind").distinct()
+    g = g.join(names, (F.col("repo") == F.col("_in")) & (F.col("path") == F.col("file")), "left").withColumn("named", F.col("file").isNotNull())
+    g = g.join(per, (F.col("repo") == F.col("_repo")) & F.col("subpath").eqNullSafe(F.col("_folder")), "left")
+    known = _states(recipes).groupBy("_known").agg(F.min(F.struct("_state", "recipe")).alias("_best"))
+    best = refs.select("ref", F.lower("repo").alias("_known")).join(known, "_known").groupBy("ref").agg(F.min("_best").alias("_best")).select("ref", "_best.recipe")
     conv = ranked_derivatives(derivatives, "repo").where("rank = 1").select(F.col("repo").alias("_conv"), F.col("id").alias("derivative"))
     g = g.join(best, "ref", "left").join(conv, F.col("repo") == F.col("_conv"), "left")
     image = F.col("kind").isNull() | (F.col("kind") == "image")

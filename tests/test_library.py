@@ -49,6 +49,38 @@ def test_gated_sources_come_last(spark):
     assert got == {"main": ("open", ["w.bin"], 1), "vae": ("gated", ["v.bin", "w.bin"], 0), "none": (None, None, 1)}
 
 
+def joined(spark, df):
+    """The rows of a query, and the most rows that one of its steps put out."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = df.collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        if (count := node.metrics().get("numOutputRows")).isDefined():
+            most = max(most, count.get().value())
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+    return rows, most
+
+
+def test_plan_steps_of_many_references_to_one_repository(spark):
+    files = [(f"{('', 'sub/', 'sub/in/', 'images/')[k % 4]}f{k:03}.{('gguf', 'onnx', 'bin')[k % 3]}", 1 + k) for k in range(400)]
+    tree = spark.createDataFrame([("o/r", *f) for f in files] + [("o/s", "a.onnx", 1), ("o/s", None, 1), (None, "b.gguf", 1)], "repo string, path string, size long")
+    kinds = [(None, None), ("f004.onnx", None), ("gone", "sub"), ("f004.onnx", "sub/in"), (None, "su"), (None, "sub/"), ("images/f003.gguf", "sub")]
+    refs = spark.createDataFrame([(k, "o/r", *kinds[k % 7], None) for k in range(700)] + [(700, "o/s", None, None, "text"), (701, None, None, None, None), (702, "O/K", None, None, None), (702, "O/K", None, None, None)], "ref int, repo string, path string, subpath string, kind string")
+    recipes = spark.createDataFrame([(f"r{k}", "o/k", "draft" if k else "verified") for k in range(200)], "recipe string, repo string, status string")
+    conv = spark.createDataFrame([], "repo string, id string, downloads int")
+    got, most = joined(spark, L.plan_steps(refs, tree, recipes, conv))
+    inside = lambda sub: min(f for f, _ in files if f.startswith(sub) and f.endswith(".gguf"))
+    top = min(f for f, _ in files if f.endswith(".gguf") and not f.startswith("images/"))
+    want = [("gguf", top), ("file", "f004.onnx"), ("gguf", inside("sub/")), ("file", "f004.onnx"), (None, None), (None, None), ("file", "images/f003.gguf")]
+    assert {r.ref: (r.step, r.pick) for r in got} == {k: want[k % 7] for k in range(700)} | {700: ("onnx", "a.onnx"), 701: (None, None), 702: ("recipe", "r0")}
+    assert len(got) == 703 and most < 2000
+
+
 def test_collections_skip_broken_files(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"createdAt":"2024","turns":[1,2]}')
     (tmp_path / "b.json").write_text("{broken")

@@ -475,11 +475,15 @@ def _checkpoint(path: Column) -> Column:
 
 
 def companions(wanted: DataFrame, files: DataFrame) -> DataFrame:
-    """(id, path): the file whose path ends in each wanted suffix (id, suffix); the join goes by the last part of both."""
-    last = lambda c: F.substring_index(c, "/", -1)
-    f = files.select("path").withColumn("_last", last("path"))
-    out = wanted.withColumn("_last", last("suffix")).join(f, "_last").where(F.endswith("path", F.col("suffix")))
-    return out.groupBy("id").agg(F.min("path").alias("path"))
+    """(id, path): the first file whose path ends in each wanted suffix (id, suffix).
+
+    Files are cut to the lengths of the suffixes with their last part, and meet them by what is left.
+    """
+    last = lambda c: F.substring_index(c, "/", -1).alias("_last")
+    w = wanted.select("id", "suffix", last("suffix"))
+    sizes = w.select("_last", F.length("suffix").alias("_size")).distinct()
+    ends = files.select("path", last("path")).distinct().join(sizes, "_last").groupBy("_last", F.right("path", F.col("_size")).alias("suffix")).agg(F.min("path").alias("path"))
+    return w.join(ends, ["_last", "suffix"]).groupBy("id").agg(F.min("path").alias("path"))
 
 
 def most_vram(devices: DataFrame, by: str) -> DataFrame:

@@ -81,6 +81,16 @@ def test_plan_steps_of_many_references_to_one_repository(spark):
     assert len(got) == 703 and most < 2000
 
 
+def test_companions_of_many_files_of_one_name(spark):
+    files = spark.createDataFrame([(f"/m/{k % 50}/d/w.bin",) for k in range(1000)] + [("/m/x/w.bin",), (None,), ("w.bin",), ("/e/",)], "path string")
+    wanted = spark.createDataFrame([(k, f"{k % 60}/d/w.bin") for k in range(1000)] + [(1000, "w.bin"), (1001, None), (1002, ""), (1003, "ww.bin"), (1004, "m/x/w.bin"), (1004, "zz/w.bin"), (1005, "bin")], "id int, suffix string")
+    got, most = joined(spark, L.companions(wanted, files))
+    paths = [f"/m/{k}/d/w.bin" for k in range(50)]
+    want = {k: min(p for p in paths if p.endswith(f"{k % 60}/d/w.bin")) for k in range(1000) if k % 60 < 50}
+    assert {r.id: r.path for r in got} == want | {1000: "/m/0/d/w.bin", 1002: "/e/", 1004: "/m/x/w.bin"}
+    assert most < 3000
+
+
 def test_collections_skip_broken_files(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"createdAt":"2024","turns":[1,2]}')
     (tmp_path / "b.json").write_text("{broken")

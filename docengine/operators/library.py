@@ -422,13 +422,24 @@ def resolve_slots(sources: DataFrame, tree: DataFrame) -> DataFrame:
     name.  ``tree`` has (repo, path, gated).  Gated repositories serve only if no other source of the slot does.  ``tried`` counts
     the sources before the chosen one.  Slots that nothing serves have null files.
     """
-    hit = sources.join(tree.select(F.col("repo").alias("_repo"), F.col("path").alias("file"), "gated"), F.col("repo") == F.col("_repo"), "left")
-    fits = F.coalesce(F.col("file") == F.col("path"), F.regexp_like("file", glob_pattern(F.col("glob"))), F.lit(False))
-    each = hit.groupBy("recipe", "slot", "place", "repo", "many").agg(F.array_sort(F.collect_list(F.when(fits, F.col("file")))).alias("files"), F.max("gated").alias("gated"))
-    rank = F.struct((F.size("files") == 0).alias("none"), F.coalesce("gated", F.lit(False)).alias("gated"), "place")
-    best = each.groupBy("recipe", "slot").agg(F.min_by(F.struct("repo", "files", "place", "many"), rank).alias("b"), F.count("*").alias("n"))
-    got = F.size("b.files") > 0
-    return best.select("recipe", "slot", F.when(got, F.col("b.repo")).alias("repo"), F.when(got, F.when(F.col("b.many"), F.col("b.files")).otherwise(F.slice("b.files", 1, 1))).alias("files"), F.when(got, F.col("b.place")).otherwise(F.col("n")).cast("int").alias("tried"))
+    # A pattern meets a repository's files once, however many sources ask for it; whole lists go to the chosen sources only.
+    s = sources.withColumn("_ask", F.struct(F.col("path").alias("p"), F.when(F.col("path").isNull(), F.col("glob")).alias("g")))
+    t = tree.select(F.col("repo").alias("_repo"), F.col("path").alias("file"), "gated")
+    here = F.col("repo") == F.col("_repo")
+    asked = s.groupBy("repo", "_ask.p", "_ask.g").agg(F.max("many").alias("_all"))
+    hits = asked.join(t, here & (F.col("p") == F.col("file"))).unionAll(asked.where("g IS NOT NULL").join(t, here).where(F.regexp_like("file", glob_pattern(F.col("g")))))
+    hits = hits.groupBy("_repo", "p", "g").agg(F.min("file").alias("first"), F.collect_list(F.when(F.col("_all"), F.col("file"))).alias("list"))
+    asks = lambda ask: here & F.col(f"{ask}.p").eqNullSafe(F.col("p")) & F.col(f"{ask}.g").eqNullSafe(F.col("g"))
+    hit = s.select("recipe", "slot", "place", "repo", "many", "_ask").join(hits.drop("list"), asks("_ask"), "left").drop("_repo")
+    hit = hit.join(t.groupBy("_repo").agg(F.max("gated").alias("gated")), here, "left")
+    each = hit.groupBy("recipe", "slot", "place", "repo", "many").agg(F.min("first").alias("first"), F.collect_list(F.when(F.col("many"), F.col("_ask"))).alias("asks"), F.max("gated").alias("gated"))
+    rank = F.struct(F.col("first").isNull().alias("none"), F.coalesce("gated", F.lit(False)).alias("gated"), "place")
+    best = each.groupBy("recipe", "slot").agg(F.min_by(F.struct("repo", "first", "place", "asks"), rank).alias("b"), F.count("*").alias("n"))
+    got = F.col("b.first").isNotNull()
+    best = best.select("recipe", "slot", F.when(got, F.col("b.repo")).alias("repo"), F.col("b.first").alias("top"), F.when(got, F.col("b.place")).otherwise(F.col("n")).cast("int").alias("tried"), F.explode_outer("b.asks").alias("_ask"))
+    whole = best.join(hits.drop("first"), asks("_ask"), "left").groupBy("recipe", "slot", "repo", "top", "tried").agg(F.array_sort(F.flatten(F.collect_list("list"))).alias("list"))
+    files = F.when(F.size("list") > 0, F.col("list")).when(F.col("top").isNotNull(), F.array("top"))
+    return whole.select("recipe", "slot", "repo", files.alias("files"), "tried")
 
 
 #: The steps of a plan, in order.

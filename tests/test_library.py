@@ -91,6 +91,19 @@ def test_companions_of_many_files_of_one_name(spark):
     assert most < 3000
 
 
+def test_slots_of_many_recipes_from_one_repository(spark):
+    tree = spark.createDataFrame([("o/r", f"f{k:03}.{('bin', 'gguf')[k % 2]}", False) for k in range(400)] + [("o/r", "f001.gguf", None), ("o/g", "g.bin", True)], "repo string, path string, gated boolean")
+    patterns = [("f002.bin", None, False), (None, "*.gguf", False), (None, "f00?.gguf", True), ("gone", "*.gguf", True), (None, None, True), ("f004.bin", "x", None)]
+    src = [(f"r{k}", "main", place, ("o/g", "o/r")[place], *patterns[k % 6]) for k in range(600) for place in (0, 1)] + [(None, None, 0, "o/r", None, "f00[", True), (None, None, 1, "o/r", "f006.bin", None, True), (None, None, 1, "o/r", None, "f00?.bin", True), ("n", "main", 0, None, None, "*", False)]
+    src = spark.createDataFrame(src, "recipe string, slot string, place int, repo string, path string, glob string, many boolean")
+    got, most = joined(spark, L.resolve_slots(src, tree))
+    few = ["f001.gguf", "f001.gguf", "f003.gguf", "f005.gguf", "f007.gguf", "f009.gguf"]
+    want = [("o/r", ["f002.bin"], 1), ("o/r", ["f001.gguf"], 1), ("o/r", few, 1), (None, None, 2), (None, None, 2), ("o/r", ["f004.bin"], 1)]
+    both = ["f000.bin", "f002.bin", "f004.bin", "f006.bin", "f006.bin", "f008.bin"]
+    assert {r.recipe: (r.repo, r.files, r.tried) for r in got} == {f"r{k}": want[k % 6] for k in range(600)} | {None: ("o/r", both, 1), "n": (None, None, 1)}
+    assert most < 4000
+
+
 def test_collections_skip_broken_files(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"createdAt":"2024","turns":[1,2]}')
     (tmp_path / "b.json").write_text("{broken")

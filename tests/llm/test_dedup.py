@@ -297,6 +297,42 @@ def test_chaining_finds_passages_of_frequent_lines(spark, hot):
     assert all(r.n_words >= len(passage) for r in got.values())
 
 
+@pytest.mark.parametrize("block", [2048, 3])
+def test_chaining_links_passages_of_frequent_seeds_only(spark, monkeypatch, block):
+    """Ten pieces of five words, each frequent and seen first elsewhere, with another word after each: 50 of 60 words match."""
+    monkeypatch.setattr(chaining, "BLOCK", block)
+    rng = random.Random(31)
+    pieces = [words(rng, 5, 10**6) for _ in range(10)]
+    alone = [words(rng, 60, 10**6) + x + words(rng, 60, 10**6) for x in pieces for _ in range(40)]
+    both = [words(rng, 60, 10**6) + [w for x in pieces for w in [*x, *words(rng, 1, 10**6)]] + words(rng, 60, 10**6) for _ in range(2)]
+    # Half the pieces are too few.
+    half = words(rng, 60, 10**6) + [w for x in pieces[:5] for w in [*x, *words(rng, 1, 10**6)]] + words(rng, 60, 10**6)
+    got = {r.doc_id: r for r in chaining.repeated_passages(frame(spark, [" ".join(x) for x in [*alone, *both, half]]), 4, 1).collect()}
+    assert {k: r.component_id for k, r in got.items()} == {400: 400, 401: 400}
+    assert all(r.n_words >= 54 for r in got.values())
+
+
+def test_chaining_words_shared_beside_a_run():
+    rng = np.random.default_rng(8)
+    near = rng.integers(0, 6, (50, chaining.LEFT + chaining.RIGHT)).astype(np.int32)
+    near[rng.random(near.shape) < 0.5] = -1
+    after = rng.integers(0, 5, 50)
+    assert [chaining.beside(n) for n in (4, 7, 8, 15, 16, 23, 24, 31, 32, 39)] == [4, 4, 3, 3, 2, 2, 1, 1, 0, 0]
+    for long, size in ((4, 4), (12, 3), (20, 2)):
+        sides = [[r[: chaining.LEFT].tolist(), r[chaining.LEFT + long :][: chaining.REACH + chaining.DRIFT].tolist()] for r in near]
+        grams = [{g for x in both for k in range(len(x)) if len(g := tuple(x[k : k + size])) == size and min(g) >= 0} for both in sides]
+        want = {(i, j) for i, a in enumerate(grams) for j, b in enumerate(grams) if after[i] < after[j] and a & b}
+        got = {(int(i), int(j)) for x, y in chaining.share_words(near, after, long, size) for i, j in zip(x, y, strict=True)}
+        assert got == want and 0 < len(want)
+    # Every fifth word changed at least, over passages of 40 to 79 words: some run beside any run is that long.
+    for _ in range(2000):
+        n = int(rng.integers(40, 80))
+        miss = np.sort(rng.choice(n, n // 5, replace=False))
+        runs = np.diff(np.concatenate([[-1], miss, [n]])) - 1
+        for k, run in enumerate(runs.tolist()):
+            assert run < chaining.SEED or run >= 40 or max([*runs[:k], *runs[k + 1 :]]) >= chaining.beside(run)
+
+
 def test_chaining_stretches_of_many_rows():
     rng = np.random.default_rng(22)
     for wide in (50, 128, 230):
